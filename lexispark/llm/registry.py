@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import quality
+from lexispark.llm import lines, quality
 from lexispark.llm.common import table
 
 
@@ -16,9 +16,40 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP7_SQL = """
+WITH l AS (
+  SELECT doc_id, g.i - 1 AS line, list_filter(regexp_split_to_array(lower(string_split(text, chr(10))[g.i]), '[ \\t\\r\\f\\x0B]+'), lambda x: x <> '') AS w
+  FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) g
+  WHERE text <> ''
+), m AS (SELECT *, len(w) AS n FROM l WHERE len(w) >= 3),
+u AS (SELECT w, n, min((doc_id, line)) AS first FROM m GROUP BY w, n),
+k AS (
+  SELECT w, n, first, unnest([(n, 'f', w[1:n // 2]), (n, 'l', w[n // 2 + 1:n]), (n + 1, 'f', w[1:(n + 1) // 2]), (n + 1, 'l', w[(n + 1) // 2:n])]) AS key
+  FROM u WHERE n >= 8
+), p AS (SELECT DISTINCT a.w AS w, b.w AS v, a.first, b.first AS earlier FROM k a JOIN k b USING (key) WHERE b.first < a.first AND abs(a.n - b.n) <= 1),
+d AS (
+  SELECT w, bool_or(
+    CASE WHEN len(w) = len(v) THEN len(list_filter(range(1, len(w) + 1), lambda i: w[i] <> v[i])) <= 1
+         WHEN len(w) > len(v) THEN len(list_filter(range(1, len(w) + 1), lambda i: list_concat(w[1:i - 1], w[i + 1:len(w)]) = v)) > 0
+         ELSE len(list_filter(range(1, len(v) + 1), lambda i: list_concat(v[1:i - 1], v[i + 1:len(v)]) = w)) > 0 END) AS gone
+  FROM p GROUP BY w
+), o AS (
+  SELECT m.doc_id, m.line FROM m JOIN u USING (w) LEFT JOIN d USING (w) WHERE (m.doc_id, m.line) <> u.first OR coalesce(d.gone, false)
+), x AS (SELECT doc_id, list(line) AS gone FROM o GROUP BY doc_id)
+SELECT doc_id,
+  CASE WHEN x.gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(x.gone, i - 1)), lambda i: string_split(text, chr(10))[i]), chr(10)) END AS text,
+  CASE WHEN text <> '' THEN len(string_split(text, chr(10))) ELSE 0 END::BIGINT AS n_lines, coalesce(len(x.gone), 0)::BIGINT AS n_dropped
+FROM documents LEFT JOIN x USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality": op8_quality}
+    return {"op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": OP7_SQL}
