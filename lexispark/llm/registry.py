@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import lines, quality
+from lexispark.llm import lines, near, quality
 from lexispark.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near.near_dedup(docs, words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,8 +53,8 @@ FROM documents LEFT JOIN x USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality}
+    return {"op5_near_dedup": op5_near_dedup, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op5_near_dedup": op5_near_dedup, "op7_line_dedup": OP7_SQL}
