@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import lines, near, quality
+import corpus_pipeline
+from lexispark.llm import decontaminate, lines, mixing, near, quality
 from lexispark.llm.common import table
 
 
@@ -16,6 +17,56 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
+  FROM b, LATERAL (SELECT unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i) WHERE len(w) > 0
+), lens AS (SELECT DISTINCT k FROM iw),
+dw AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM d, lens, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) WHERE len(w) >= k
+), h AS (SELECT doc_id, dw.k, i, item_id FROM dw JOIN iw ON dw.s = iw.s AND dw.k = iw.k),
+p AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM h, LATERAL (SELECT unnest(range(i, i + k)) AS j) GROUP BY doc_id),
+q AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
+"""
+
+
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+OP2_SQL = """
+WITH s AS (
+  SELECT source, sum(length(text))::BIGINT AS chars, CASE source WHEN 'src0' THEN 0.2::DOUBLE WHEN 'src1' THEN 0.1::DOUBLE WHEN 'src2' THEN 0.08::DOUBLE END AS target
+  FROM documents GROUP BY source
+), t AS (SELECT sum(chars)::DOUBLE AS all_chars, sum(chars) FILTER (target IS NULL)::DOUBLE AS other_chars, coalesce(sum(target), 0) AS named FROM s WHERE chars > 0),
+r AS (
+  SELECT source, CASE WHEN target IS NOT NULL THEN target / CASE WHEN other_chars IS NULL OR named > 1 THEN named ELSE 1 END
+    ELSE greatest(0, 1 - named) * chars / other_chars END * all_chars / chars AS rate
+  FROM s, t WHERE chars > 0
+), c AS (
+  SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+  FROM r, LATERAL (SELECT unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT + 1)) AS k) WHERE rate > 0
+), l AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM c GROUP BY source),
+n AS (
+  SELECT doc_id, documents.source, text, (SELECT count(*) FROM (SELECT unnest(l.cdf) AS x) WHERE x <= ('0x' || substr(md5('mix:17:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0) AS times
+  FROM documents JOIN l USING (source)
+)
+SELECT doc_id, source, text, copy::INTEGER AS copy, md5('shuffle:17:' || doc_id || ':' || copy) AS mix_key
+FROM n, LATERAL (SELECT unnest(range(1, times + 1)) AS copy)
+"""
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near.near_dedup(docs, words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
@@ -53,8 +104,19 @@ FROM documents LEFT JOIN x USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_near_dedup": op5_near_dedup, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality}
+    return {
+        "pipeline": corpus_pipeline.run,
+        "op1_decontaminate": op1_decontaminate,
+        "op2_mix": op2_mix,
+        "op5_near_dedup": op5_near_dedup,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_quality": op8_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": op5_near_dedup, "op7_line_dedup": OP7_SQL}
+    return {
+        "op1_decontaminate": OP1_SQL,
+        "op2_mix": OP2_SQL,
+        "op7_line_dedup": OP7_SQL,
+    }
