@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lexispark.llm import decontaminate, lines, mixing, near, quality
+from lexispark.llm import decontaminate, lines, matroska, mixing, near, pii, quality
 from lexispark.llm.common import table
 
 
@@ -103,6 +103,14 @@ FROM documents LEFT JOIN x USING (doc_id)
 """
 
 
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digests(matroska.store(table(spark, sf_dir, "documents")))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -111,6 +119,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_dedup": op5_near_dedup,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality": op8_quality,
+        "op9_matroska": op9_matroska,
+        "op10_pii": op10_pii,
     }
 
 
