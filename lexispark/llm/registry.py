@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lexispark.llm import decontaminate, lines, matroska, mixing, near, pii, quality
+from lexispark.llm import decontaminate, lines, matroska, mixing, near, pii, quality, suffix
 from lexispark.llm.common import table
 
 
@@ -67,6 +67,10 @@ FROM n, LATERAL (SELECT unnest(range(1, times + 1)) AS copy)
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near.near_dedup(docs, words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
@@ -116,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": corpus_pipeline.run,
         "op1_decontaminate": op1_decontaminate,
         "op2_mix": op2_mix,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_near_dedup": op5_near_dedup,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality": op8_quality,
