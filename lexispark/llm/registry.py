@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexispark.llm import decontaminate, lines, matroska, mixing, near, pii, quality, suffix
+from lexispark.llm import decontaminate, html, licenses, lines, matroska, mixing, near, pii, quality, suffix
 from lexispark.llm.common import table
 
 
@@ -67,6 +68,10 @@ FROM n, LATERAL (SELECT unnest(range(1, times + 1)) AS copy)
 """
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -76,6 +81,18 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(docs, words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its findings in order, joined, and how many there are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block", "license", "saved", "n_different", "n_extra", "exact"))).alias("findings"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_findings"),
+        F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["license"]))), ","), F.lit("")).alias("licenses"),
+        "findings",
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -120,8 +137,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": corpus_pipeline.run,
         "op1_decontaminate": op1_decontaminate,
         "op2_mix": op2_mix,
+        "op3_main_text": op3_main_text,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_near_dedup": op5_near_dedup,
+        "op6_licenses": op6_licenses,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality": op8_quality,
         "op9_matroska": op9_matroska,
