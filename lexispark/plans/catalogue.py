@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import importlib
+
+#: Modules of queries; each has Q: name -> (function of (spark, sf_dir), SQL or None).
+MODULES = ("text_models",)
+
+
+def _all() -> dict:
+    out: dict = {}
+    for name in MODULES:
+        out |= importlib.import_module(f"lexispark.plans.{name}").Q
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: sql for k, (_, sql) in _all().items() if sql}
