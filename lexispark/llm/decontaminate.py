@@ -51,24 +51,23 @@ def _split(p: Column) -> tuple[Column, Column]:
 
 def _winnowed(df: DataFrame) -> DataFrame:
     """Rows of df (with words w) by fingerprint: print, at."""
-    kept = df.withColumn("grams", _prints("w")).where("grams IS NOT NULL")
-    rows = kept.select(*df.columns, F.explode(_minima("grams")).alias("p"))
+    # the outer form of explode, as for the plain one Spark would work out the array once more to leave out empty ones
+    rows = df.withColumn("grams", _prints("w")).select(*df.columns, F.explode_outer(_minima("grams")).alias("p")).where("p IS NOT NULL")
     a, b = _split(F.col("p"))
     return rows.withColumn("print", a).withColumn("at", b).drop("p")
 
 
 def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(key, found): for each document its lines with items, as an array of (item_id, start, words)."""
-    keyed = docs.select(row_key("doc_id", "text").alias("key"), words("text").alias("w")).where(F.size("w") > 0)
+    keyed = docs.where("text <> ''").select(row_key("doc_id", "text").alias("key"), words("text").alias("w"))
     prints = _winnowed(items.where(F.size("w") >= WINDOW)).select("print", F.col("item_id"), F.col("w").alias("item"), F.col("at").alias("item_at"))
-    mine = keyed.withColumn("grams", _prints("w")).where("grams IS NOT NULL").select("key", F.explode(_minima("grams")).alias("p"))
-    a, b = _split(F.col("p"))
-    hits = mine.select("key", a.alias("print"), b.alias("at")).join(maybe_broadcast(prints, BROADCAST_PRINTS), "print").select("key", "item_id", (F.col("at") - F.col("item_at")).alias("start"), "item")
+    mine = _winnowed(keyed).select("key", "print", "at")
+    hits = mine.join(maybe_broadcast(prints, BROADCAST_PRINTS), "print").select("key", "item_id", (F.col("at") - F.col("item_at")).alias("start"), "item")
     short = items.where(F.size("w") < WINDOW).select(F.size("w").alias("n"), F.xxhash64("w").alias("print"), "item_id", F.col("w").alias("item"))
     lengths = [r.n for r in short.select("n").distinct().orderBy("n").collect()]  # nine at most
     for n in lengths:
         spans = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.xxhash64(F.slice("w", i + 1, n)))
-        at_all = keyed.where(F.size("w") >= n).select("key", F.posexplode(spans).alias("start", "print"))
+        at_all = keyed.select("key", F.posexplode_outer(F.when(F.size("w") >= n, spans)).alias("start", "print")).where("print IS NOT NULL")
         some = short.where(F.col("n") == n).drop("n")
         hits = hits.union(at_all.join(maybe_broadcast(some, BROADCAST_PRINTS), "print").select("key", "item_id", "start", "item"))
     return hits.distinct().groupBy("key").agg(F.collect_list(F.struct("item_id", "start", "item")).alias("found"))
