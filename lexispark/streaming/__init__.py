@@ -1 +1 @@
-
+"""Structured Streaming: the intake queue and its states."""
