@@ -57,6 +57,11 @@ def _winnowed(df: DataFrame) -> DataFrame:
     return rows.withColumn("print", a).withColumn("at", b).drop("p")
 
 
+def _spans(n: int) -> Column:
+    """The hash of every n words in a row."""
+    return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.slice("w", i + 1, n)))
+
+
 def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(key, found): for each document its lines with items, as an array of (item_id, start, words)."""
     keyed = docs.where("text <> ''").select(row_key("doc_id", "text").alias("key"), words("text").alias("w"))
@@ -66,7 +71,7 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     short = items.where(F.size("w") < WINDOW).select(F.size("w").alias("n"), F.xxhash64("w").alias("print"), "item_id", F.col("w").alias("item"))
     lengths = [r.n for r in short.select("n").distinct().orderBy("n").collect()]  # nine at most
     for n in lengths:
-        spans = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.xxhash64(F.slice("w", i + 1, n)))
+        spans = _spans(n)
         at_all = keyed.select("key", F.posexplode_outer(F.when(F.size("w") >= n, spans)).alias("start", "print")).where("print IS NOT NULL")
         some = short.where(F.col("n") == n).drop("n")
         hits = hits.union(at_all.join(maybe_broadcast(some, BROADCAST_PRINTS), "print").select("key", "item_id", "start", "item"))
