@@ -45,6 +45,11 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in each batch that goes to Python from here on, as texts may be long; results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links(a BIGINT, b BIGINT): (node, component), the component being its smallest node.
 

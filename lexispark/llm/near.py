@@ -11,9 +11,9 @@ misses all of them with probability (1 - 0.85^4)^30 = 2e-10. Candidates are rate
 order given both set sizes; those rated below threshold - SLACK (six standard errors) are given up, all others are
 verified on full sets.
 
-No band's group is paired out. First each member meets the group's leader (smallest by one hash for all bands). Only
-members that are then outside the component that most of their group is in (and only those) meet the group's members of
-other components, which makes the links complete: two members of one component need no further comparison.
+No band's group is paired out. First each member meets the group's leader (smallest by one hash for all bands). Two members
+of one component need no further comparison. Those that are then outside their cluster's largest component meet the others
+in blocks of bounded size, inside tasks that return only a forest of links; this makes the links complete.
 
 Nulls: a null text has no words; a null doc_id is linked with nothing (its component_id is null, it is kept). Rows that
 repeat a doc_id are one node. Columns of docs are kept; n_shingles, component_id, kept replace columns of that name."""
@@ -27,13 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import components, materialize, maybe_broadcast
+from lexispark.llm.common import bounded_batches, components, materialize, maybe_broadcast
 
 BANDS, ROWS = 30, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 SLACK = 0.2
 CHUNK = 4096
+#: The most sets, and shingles, of a block that meets another one in a task (about; hashing deals them out).
+BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 #: Ids (16 bytes each) that may be broadcast to pick texts; more of them are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -158,8 +160,79 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _block_links(words: int, percent: int):
+    """Of the texts of two blocks (or of one, side by side with itself) the links between different components, as a forest."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.drop_duplicates(["id", "side"])
+        sets = {i: shingles(t, words) for i, t in zip(x["id"], x["text"], strict=True)}
+        part = dict(zip(x["id"], x["component"], strict=True))
+        left, right = x["id"][x["side"] == 0].tolist(), x["id"][x["side"] == 1].tolist() or x["id"].tolist()
+        sizes = np.array([len(sets[i]) for i in right])
+        owner = np.repeat(np.arange(len(right)), sizes)
+        pool = np.concatenate([sets[i] for i in right])
+        order = np.argsort(pool, kind="stable")
+        pool, owner = pool[order], owner[order]
+        up: dict = {}
+
+        def root(c):
+            while up.get(c, c) != c:
+                up[c] = up.get(up[c], up[c])
+                c = up[c]
+            return c
+
+        rows = []
+        for a in left:
+            own = sets[a]
+            low, high = np.searchsorted(pool, own, "left"), np.searchsorted(pool, own, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            for k in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)).tolist():
+                p, q = root(part[a]), root(part[right[k]])
+                if p != q:
+                    up[p] = q
+                    rows.append((a, right[k]))
+        return pd.DataFrame(rows, columns=["a", "b"])
+
+    return run
+
+
+def _rest(rows: DataFrame, classes: DataFrame, members: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that the leaders have missed: between different components of `found` that share groups.
+
+    Candidates that hang together through groups are a cluster. Its largest component is the main one, the others are
+    strays. Members are dealt into blocks by size class and hash; every block of strays meets the cluster's blocks of the
+    same and the next size class (sets more than one class apart cannot be linked), each pair of blocks in a task of
+    bounded size that counts all intersections and returns a spanning forest of the links. So rows between tasks are
+    members per block, never pairs of members."""
+    loose = components(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    placed = loose.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = placed.join(classes.select("id", "th", "n"), "id")
+    parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("cluster").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("cluster", F.col("m.component").alias("main"))
+    log = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int")
+    dealt = placed.join(mixed, "cluster").select("id", "th", "n", "cluster", "component", (F.col("component") != F.col("main")).alias("stray"), log.alias("size_class"))
+    counts = dealt.groupBy("cluster", "stray", "size_class").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = dealt.join(counts, ["cluster", "stray", "size_class"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")).drop("blocks")
+    dealt = materialize(dealt, "dealt")
+    blocks = counts.select("cluster", "stray", "size_class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    own = ["stray", "size_class", "block"]
+    strays = blocks.where("stray").select("cluster", F.struct(*own).alias("x"))
+    met = strays.withColumn("size_class", F.explode(F.array(*[F.col("x.size_class") + k for k in (-1, 0, 1)])))
+    pairs = met.join(blocks, ["cluster", "size_class"]).select("cluster", "x", F.struct(*own).alias("y")).where("NOT y.stray OR x <= y")
+    sides = pairs.select("cluster", F.xxhash64("cluster", "x", "y").alias("task"), F.posexplode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("side", "block_of"))
+    sides = sides.select("cluster", "task", "side", "block_of.*")
+    sent = dealt.join(sides, ["cluster", *own]).select("task", "side", "id", "th", "component")
+    ids = dealt.select(F.col("id").alias("doc_id"), "th").distinct()
+    texts = rows.join(maybe_broadcast(ids, BROADCAST_IDS), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("id"), "text")
+    sent = sent.drop("th").join(texts, "id")
+    return materialize(sent.groupBy("task").applyInPandas(_block_links(words, percent), "a long, b long"), "rest")
+
+
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, th, n_shingles, component): th is the text's xxhash64."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     sketched = materialize(rows.mapInPandas(_sketch(words), "doc_id long, th long, n int, d1 long, d2 long, regs binary, bands array<long>"), "sketch")
     full = sketched.where("n > 0 AND doc_id IS NOT NULL")
@@ -187,17 +260,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     first = linked(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     found = components(first)
-    # the members that are not where most of their group is
-    at = materialize(members.select("band", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-    parts = at.groupBy("band", "component").agg(F.count("*").alias("size"))
-    most = parts.groupBy("band").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.component").alias("main"))
-    mixed = at.join(most, "band")
-    strays = mixed.where("component <> main").select("band", F.col("id").alias("a"), F.col("component").alias("ca"))
-    others = mixed.select("band", F.col("id").alias("b"), F.col("component").alias("cb"), "main")
-    rest = strays.join(others, "band").where("ca <> cb AND (cb = main OR a < b)").select("a", "b").distinct()
-    done = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    rest = rest.join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    second = linked(rest)
+    second = _rest(rows, classes, members, found, words, percent)
     if not second.isEmpty():
         found = components(first.union(second))
     nodes = sketched.select("doc_id", "th", "n", "d1", "d2")
