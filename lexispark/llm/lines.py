@@ -37,12 +37,11 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, line, words) of the lines that have MIN_WORDS words."""
-    return (
-        docs.where("text <> ''")
-        .select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-        .select("doc", "line", F.array_remove(F.split(F.lower("raw"), "[ \t\r\f\x0b]+", -1), "").alias("words"))
-        .where(F.size("words") >= MIN_WORDS)
-    )
+    # words are made below the explode, which hands them on as values; above it each use would split the line anew
+    plain = F.when(F.col("text").rlike("[\t\r\f\x0b]"), F.translate(F.lower("text"), "\t\r\f\x0b", "    ")).otherwise(F.lower("text"))
+    split = F.transform(F.split(plain, "\n", -1), lambda line: F.array_remove(F.split(line, " ", -1), ""))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
+    return docs.where("text <> ''").select(own, F.posexplode_outer(split).alias("line", "words")).where(F.size("words") >= MIN_WORDS)
 
 
 def _half_keys() -> Column:
@@ -118,7 +117,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of the lines that go; doc is LAST for a null doc_id."""
     own = F.struct("doc", "line")
     lines = _lines(docs)
-    hashed = lines.select("doc", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("line"), F.size("words"), "words").alias("h2"), F.when(F.size("words") >= NEAR_MIN_WORDS, _half_keys()).alias("halves"))
+    h1, h2 = F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("line"), F.size("words"), "words").alias("h2")
+    # written out, as it is read for the different lines and for all their places; the texts need no second pass for it
+    hashed = materialize(lines.select("doc", "line", h1, h2, F.when(F.size("words") >= NEAR_MIN_WORDS, _half_keys()).alias("halves")), "hashed")
     distinct = materialize(hashed.groupBy("h1", "h2").agg(F.min(own).alias("first"), F.max(own).alias("last"), F.first("halves").alias("halves")), "lines")
     again = distinct.where("first <> last").select("h1", "h2", F.col("first.doc").alias("fdoc"), F.col("first.line").alias("fline"))
     exact = hashed.select("doc", "line", "h1", "h2").join(again, ["h1", "h2"]).where("doc <> fdoc OR line <> fline").select("doc", "line")
