@@ -12,8 +12,9 @@ by the rank of the suffix as many bytes further on, 8, 16, ... 128 and then SPAN
 Common prefixes of neighbours come from the kept ranks of the levels (Kasai's walk is sequential; this gives its values, up
 to SPAN, for all neighbours at once). A window repeats if it shares SPAN bytes with a neighbour.
 
-A piece with more than SPLIT occurrences is spread over several shards. Windows of such pieces that found no partner in
-their shard are merged across shards by a 128-bit digest of the window, counted in Spark.
+A piece with more than SPLIT occurrences is spread over several shards. Each of them gives every distinct window of such a
+piece as a 128-bit digest: with its place if it found no partner there, else once, counted as two. Spark adds the counts up
+over the shards, and a window whose sum exceeds one goes wherever it had no partner.
 
 Texts that occur more than once are handled once and go whole if they have SPAN bytes. Null and empty texts have no bytes.
 Columns of docs are not kept but doc_id (any value, null too). Repeated rows get equal results, one row each; two rows with
@@ -192,7 +193,8 @@ def repeated(regions: list[bytes], times: list[int]) -> list[np.ndarray]:
 
 
 def _shard(x: pd.DataFrame) -> pd.DataFrame:
-    """(t1, t2, first, last, digest): runs of repeated windows, and single windows for the merge across shards."""
+    """(t1, t2, first, last, digest, n): runs of repeated windows, and for the merge across shards the digests of split pieces'
+    windows: n is 1 for those single here, with their place, and 2 for those repeated here, once each and without a place."""
     number: dict[bytes, int] = {}
     times: list[int] = []
     which = []
@@ -208,14 +210,21 @@ def _shard(x: pd.DataFrame) -> pd.DataFrame:
     for f in flags:
         edge = np.flatnonzero(np.diff(np.concatenate([[False], f, [False]]).astype(np.int8)))
         runs.append((edge[::2].tolist(), (edge[1::2] - 1).tolist()))
+
+    def digest(i: int, s: int) -> bytes:
+        return hashlib.blake2b(regions[i][s : s + SPAN], digest_size=16).digest()
+
     rows = []
+    spread: set[int] = set()
     for i, t1, t2, places, split in zip(which, x["t1"], x["t2"], x["places"], x["split"], strict=True):
         for p in places:
-            rows += [(t1, t2, p + a, p + b, None) for a, b in zip(*runs[i], strict=True)]
-        if split and times[i] == 1:
-            region = regions[i]
-            rows += [(t1, t2, places[0] + s, places[0] + s, hashlib.blake2b(region[s : s + SPAN], digest_size=16).digest()) for s in np.flatnonzero(~flags[i]).tolist()]
-    return pd.DataFrame(rows, columns=["t1", "t2", "first", "last", "digest"])
+            rows += [(t1, t2, p + a, p + b, None, 0) for a, b in zip(*runs[i], strict=True)]
+        if split:
+            spread.add(i)
+            rows += [(t1, t2, places[0] + s, places[0] + s, digest(i, s), 1) for s in np.flatnonzero(~flags[i]).tolist()]
+    here = {digest(i, s) for i in spread for s in np.flatnonzero(flags[i]).tolist()}
+    rows += [(0, 0, 0, 0, d, 2) for d in here]
+    return pd.DataFrame(rows, columns=["t1", "t2", "first", "last", "digest", "n"])
 
 
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,9 +259,10 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     texts = long.select("id", "t1", "t2", "text").join(mine, "id").dropDuplicates(["id"])
     texts = materialize(texts, "texts")
     regions = texts.mapInPandas(_cut(shards), "shard int, t1 long, t2 long, places array<int>, region binary, split boolean")
-    found = materialize(regions.groupBy("shard").applyInPandas(_shard, "t1 long, t2 long, first int, last int, digest binary"), "runs")
-    single = found.where("digest IS NOT NULL")
-    merged = single.join(single.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digest", "left_semi").select("t1", "t2", "first", "last")
+    found = materialize(regions.groupBy("shard").applyInPandas(_shard, "t1 long, t2 long, first int, last int, digest binary, n int"), "runs")
+    spread = found.where("digest IS NOT NULL")
+    often = spread.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
+    merged = spread.where("n = 1").join(often, "digest", "left_semi").select("t1", "t2", "first", "last")
     runs = found.where("digest IS NULL").select("t1", "t2", "first", "last").union(merged).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     cut = texts.select("t1", "t2", "text").join(runs, ["t1", "t2"]).mapInPandas(_removed, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     result = one.select("t1", "t2", "copies").join(cut if with_kept else cut.drop("kept"), ["t1", "t2"], "left").where("copies > 1 OR n_removed IS NOT NULL")

@@ -169,6 +169,18 @@ def test_suffix_removal(spark, monkeypatch, split):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_removal_of_windows_repeated_in_one_shard_and_single_in_another(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "SPLIT", 30)
+    rng = random.Random(41)
+    passage = prose(rng, 90)
+    texts = []
+    for _ in range(30):  # threes that share the passage and a border of their own
+        before, after = prose(rng, 18), prose(rng, 18)
+        texts += [prose(rng, 60) + before + passage + after + prose(rng, 60) for _ in range(3)]
+    got = suffix.remove_repeats(docs(spark, texts, edges=False)).collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(got, key=lambda r: r.doc_id)] == removed(texts)
+
+
 # 5 near duplicates
 
 
