@@ -254,6 +254,16 @@ def test_license_scan(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_notices_in_a_very_long_line(spark):
+    rng = random.Random(61)
+    english = "the a of and to in that is was for on as with by at from this which or be are not have it software work rights use conditions any".split()
+    filler = " ".join(rng.choice(english) if rng.random() < 0.6 else f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{rng.randrange(5000)}" for _ in range(30_000))
+    names = sorted(licenses.TEMPLATES)
+    texts = [f"{filler[:100_000]} {licenses.TEMPLATES[k]} {filler[100_000:]}" for k in names]
+    got = collections.Counter((r.doc_id, r.license) for r in licenses.scan(docs(spark, texts, edges=False)).where("exact").collect())
+    assert got == collections.Counter(enumerate(names))
+
+
 # 7 lines
 
 
