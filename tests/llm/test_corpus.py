@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -264,6 +265,16 @@ def test_license_notices_in_a_very_long_line(spark):
     assert got == collections.Counter(enumerate(names))
 
 
+def test_license_notices_wrapped_and_several_in_a_line(spark):
+    names = sorted(licenses.TEMPLATES)
+    texts = ["\n".join(f" * {x}" for x in textwrap.wrap(licenses.TEMPLATES[k], 60, break_on_hyphens=False)) for k in names]
+    texts += ["Released under the MIT License. Licensed under CC BY 4.0.", "x\n" + licenses.TEMPLATES["MIT-text"].replace("free of charge", "without any fee").replace("Permission is", "Permission be")]
+    texts += [licenses.TEMPLATES["Apache-2.0-header"].replace("http:", "https:")]
+    got = sorted((r.doc_id, r.block, r.license, r.exact) for r in licenses.scan(docs(spark, texts, edges=False)).collect())
+    n = len(names)
+    assert got == [(i, 0, k, True) for i, k in enumerate(names)] + [(n, 0, "CC-BY-4.0", True), (n, 0, "MIT", True), (n + 1, 1, "MIT-text", False), (n + 2, 0, "Apache-2.0-header", False)]
+
+
 # 7 lines
 
 
