@@ -1,5 +1,9 @@
 """Personal data: format-preserving Feistel pseudonyms; DataFrame functions only.
 
+Cards, IBANs and telephone numbers are read from every place where one can begin, over all lengths that end at the border
+of a group; what passes its check is then looked for as it stands (longest first; of IBANs those of their country's length
+before others), so what fails takes nothing from a value beside it.
+
 Found are payment card numbers (Luhn), IBANs (97 check), telephone numbers, US social security numbers, IPv4 addresses,
 dates (three formats, real days from 1900 to 2099), e-mail addresses and secrets (access keys, tokens, passwords). Numbers and dates that
 fail their check stay as they are. Each value is replaced by one of the same format, by a permutation with a key:
@@ -36,7 +40,17 @@ PATTERNS = {
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ -]?(?:\([0-9]{2,4}\)[ -]?)?[0-9]{2,4}(?:[ -][0-9]{2,4}){1,4}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What stands before and after a value of the kinds whose check decides where it ends, and what ends a group of it.
+CHECKED = {"iban": (NOT_WORD, "(?![A-Za-z0-9])", " "), "phone": (r"(?<![0-9+])", "(?![0-9])", "[ -]"), "card": ("(?<![0-9])", "(?![0-9])", "[ -]")}
+#: Lengths of IBANs, as their registry fixes them.
+IBAN_LENGTHS = {
+    length: countries.split()
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
 FIRST_DAY, DAYS = "1900-01-01", 73049
 #: Factors whose product is the number of days, or little more; and that of addresses.
 DAY_FACTORS, ADDRESS_FACTORS = (271, 270), (65536, 65536)
@@ -190,13 +204,59 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
     return out
 
 
+def _valid(kind: str, v: Column) -> Column:
+    digits = F.regexp_replace(v, "[^0-9]", "")
+    if kind == "card":
+        return F.length(digits).between(13, 19) & (_luhn_sum(F.split(digits, ""), 0) % 10 == 0)
+    if kind == "phone":
+        return F.length(F.regexp_replace(F.regexp_replace(v, r"^\+[0-9]{1,3}", ""), "[^0-9]", "")).between(7, 14)
+    plain = F.regexp_replace(v, " ", "")
+    return _mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
+
+
+def readings(text: Column, kind: str) -> Column:
+    """The valid values of the kind that stand anywhere in text, overlapping ones too, those to be taken first in front."""
+    full, gap = PATTERNS[kind], CHECKED[kind][2]
+    longest = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({full}))"), F.lit(1)))
+
+    def shorter(v: Column) -> Column:
+        groups = F.split(v, f"(?={gap})")
+        return F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), ""))
+
+    passing = F.filter(F.array_distinct(F.flatten(F.transform(longest, shorter))), lambda v: F.when(v.rlike(f"^(?:{full})$"), _valid(kind, v)).otherwise(F.lit(False)))
+
+    def fixed(v: Column) -> Column:
+        out = F.lit(False)
+        for length, countries in IBAN_LENGTHS.items() if kind == "iban" else ():
+            out = out | ((F.length(F.regexp_replace(v, " ", "")) == length) & F.substring(v, 1, 2).isin(countries))
+        return out
+
+    rated = F.transform(passing, lambda v: F.struct(fixed(v).alias("fixed"), F.length(v).alias("n"), v.alias("v")))
+    return F.transform(F.sort_array(rated, asc=False), lambda s: s["v"])
+
+
+def _pattern(text: Column) -> Column:
+    """What to look for in text: PATTERNS, with valid readings in place of the checked kinds."""
+    parts = []
+    for kind, pattern in PATTERNS.items():
+        if kind not in CHECKED:
+            parts.append(F.lit(f"(?:{pattern})"))
+            continue
+        before, after, _ = CHECKED[kind]
+        found = readings(text, kind)
+        # made of letters, digits, blanks, hyphens, and of phones + and brackets; made plain for the expression
+        some = F.regexp_replace(F.array_join(found, "|"), r"([+()])", r"\\$1")
+        parts.append(F.when(some != "", F.concat(F.lit(f"(?:{before}(?:"), some, F.lit(f"){after})"))).otherwise(F.lit("(?!)")))
+    return F.concat_ws("|", *parts)
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with text pseudonymised, n_pii (values replaced) and kinds (sorted, of those replaced)."""
     docs = docs.drop("n_pii", "kinds")
-    found = docs.withColumn("_found", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    found = docs.withColumn("_any", _pattern(F.col("text"))).withColumn("_found", F.regexp_extract_all("text", F.col("_any"), F.lit(0)))
     new = F.transform("_found", lambda v: F.transform(F.array(F.struct(v.alias("v"), kind_of(v).alias("kind"))), lambda s: F.struct(s["v"].alias("v"), s["kind"].alias("kind"), pseudonym(s["v"], s["kind"], key).alias("new")))[0])
     made = found.withColumn("_new", F.when(F.size("_found") > 0, new))
-    pieces = F.zip_with(F.split("text", ANY, -1), "_new", lambda p, n: F.concat(p, F.coalesce(n["new"], n["v"], F.lit(""))))
+    pieces = F.zip_with(F.split("text", F.col("_any"), -1), "_new", lambda p, n: F.concat(p, F.coalesce(n["new"], n["v"], F.lit(""))))
     replaced = F.filter("_new", lambda n: n["new"].isNotNull())
     return made.select(
         *[F.when(F.col("_new").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],

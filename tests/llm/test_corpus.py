@@ -406,6 +406,16 @@ def test_pseudonyms_keep_format_links_and_differences(spark):
     assert other[0] != got[0].text
 
 
+def test_values_beside_others_that_make_the_longest_reading_fail(spark):
+    card, iban, phone = "4111 1111 1111 1111", "BE68 5390 0754 7034", "+44 20 7946 0958"
+    texts = [f"{card} 12/27", f"{card} 123", f"{iban} BIC GEBABEBB", f"{iban} PLEASE PAY", f"1234 {card}", f"{card} 12/27/2025", f"{phone} 22 {card}", f"{card} {card}", "4111 1111 1111 1112 12/27"]
+    kinds = [["card"], ["card"], ["iban"], ["iban"], ["card"], ["card", "slash_date"], ["card", "phone"], ["card"], []]
+    got = sorted(pii.pseudonymise(docs(spark, texts, edges=False)).collect(), key=lambda r: r.doc_id)
+    assert [r.kinds for r in got] == kinds and [r.n_pii for r in got] == [1, 1, 1, 1, 1, 2, 2, 2, 0]
+    assert not any(x in r.text for r in got for x in (card, iban, phone))
+    assert got[0].text[19:] == " 12/27" and got[1].text[:19] == got[0].text[:19] and got[2].text[19:] == " BIC GEBABEBB" and got[4].text[:5] == "1234 " and got[8].text == texts[8]
+
+
 def test_days_and_addresses_are_permuted(spark):
     df = spark.range(3000).withColumn("x", pii.feistel_number(common.F.col("id"), "t", "k", (60, 50)))
     got = [r.x for r in df.collect()]
