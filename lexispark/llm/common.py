@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, but in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexispark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -40,6 +42,16 @@ def row_key(*cols: str) -> Column:
     return F.struct(F.xxhash64(*flat).alias("a"), F.xxhash64(F.lit("lexispark"), *flat).alias("b"))
 
 
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """df's columns as one struct `row`, so that their names can't meet those of working columns, and more."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *more)
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """The columns that `packed` has put into `row`."""
+    return [F.col(f"row.`{c}`").alias(c) for c in columns]
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its row count, checked here, is within the bound; else df, for a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
