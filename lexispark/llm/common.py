@@ -42,14 +42,15 @@ def row_key(*cols: str) -> Column:
     return F.struct(F.xxhash64(*flat).alias("a"), F.xxhash64(F.lit("lexispark"), *flat).alias("b"))
 
 
-def packed(df: DataFrame, *more: Column) -> DataFrame:
-    """df's columns as one struct `row`, so that their names can't meet those of working columns, and more."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *more)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many _ in front as it takes to differ from all columns of df (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    return ["_" * next(n for n in range(len(taken) + 1) if "_" * n + name.lower() not in taken) + name for name in names]
 
 
-def unpacked(columns: list[str]) -> list[Column]:
-    """The columns that `packed` has put into `row`."""
-    return [F.col(f"row.`{c}`").alias(c) for c in columns]
+def kept(df: DataFrame) -> list[Column]:
+    """All of df's columns, whatever characters their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import materialize, maybe_broadcast, packed, row_key, unpacked
+from lexispark.llm.common import fresh, kept, materialize, maybe_broadcast, row_key
 
 WINDOW, GRAM = 10, 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -126,12 +126,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), words("text").alias("w")).where(F.size("w") > 0).distinct()
     # a match of hashes only proposes a line: two items of equal hash would both be compared
     items = materialize(items.select("item_id", "w", F.xxhash64("item_id", "w").alias("item")), "items")
-    found = maybe_broadcast(hits(docs, items), BROADCAST_HITS)
-    joined = packed(docs, row_key("doc_id", "text").alias("key")).join(found, "key", "left")
+    (key,) = fresh(docs, "key")
+    found = maybe_broadcast(hits(docs, items).withColumnRenamed("key", key), BROADCAST_HITS)
+    joined = docs.withColumn(key, row_key("doc_id", "text")).join(found, key, "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        *unpacked(docs.columns),
-        F.size(words("row.text")).cast("long").alias("n_words"),
+        *kept(docs),
+        F.size(words("text")).cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),

@@ -1,57 +1,61 @@
 """Main text of web pages, with site templates removed.
 
-Each page is parsed into a tree (tolerant of open and stray tags). What its markup names as no article goes: head, scripts,
-styles, menus, headers, footers, asides, forms, and elements whose class, id or role says so (adverts, notices, comments,
-...). What is left of the outermost articles (else of the main element, else of the body) is cut into blocks.
+Each page is parsed once into a tree (tolerant of open and stray tags). What is no article by its markup goes: scripts, styles,
+menus (nav, menu), the page's headers and footers, asides, forms and their controls, and elements whose role, class or id names
+them as a menu, header, footer, sidebar, notice, advert, form or reader comment; likewise what is not shown (hidden, template,
+a closed dialog). Of the main element (else the body) the outermost articles make the text if they hold half of it or more,
+all of them, whatever their size; else all of it does. What is left is cut into blocks.
 
-Site templates: every element subtree that is left is hashed (tag and text); Spark counts, per host, the different page
-titles that a hash occurs under. A subtree under at least MIN_TITLES titles and SHARE of the host's titles is template and
-is deleted with all it holds. Counting titles, not pages, keeps articles that are published at several addresses.
+Site templates: every block element that is left has a hash of its subtree (tag, text and subtrees). Spark counts, per host and
+per section of it (the first part of the path), the different pages that hold a hash; pages are different if the texts
+left of them are, so an article that is published at several addresses counts once. A subtree on MIN_PAGES different pages or
+more that are SHARE or more of the host's or the section's different pages is template: it is deleted with all it holds.
 
 White space in a block becomes one space, blocks are trimmed, empty ones go; the rest is joined by line feeds. Null and empty
-html gives an empty text; a null url is a host of its own without templates. Columns of pages are kept; text and n_chars
-replace columns of that name. Repeated rows get equal results; an empty table an empty result."""
+html gives an empty text; a null url, or one without host, has no templates. All columns of pages but html are kept, whatever
+their names; text and n_chars replace columns of that name. Repeated rows get equal results; an empty table an empty result."""
 
 from __future__ import annotations
 
 import html as references
 import re
-from collections.abc import Iterator
+from collections import Counter
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import maybe_broadcast, row_key
+from lexispark.llm.common import fresh, kept, materialize, maybe_broadcast
 
-MIN_TITLES, SHARE = 4, 0.3
-#: Pages with templates in what is left of them (some 100 bytes each) that may be broadcast; more of them are shuffled.
-BROADCAST_PAGES = 200_000
+MIN_PAGES, SHARE = 4, 0.5
+#: Hosts and sections with templates that may be broadcast; each holds twice the subtrees of its mean page at most. More are shuffled.
+BROADCAST_SITES = 50_000
 
-# Element names of HTML, and names that sites give to what is no article.
+# Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp svg math".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
-DROPPED = frozenset("head script style noscript template textarea title iframe svg math nav footer aside form button select option menu dialog object audio video canvas label fieldset input".split())
+DROPPED = frozenset("head script style noscript template textarea title iframe svg nav menu footer aside form button select option input".split())
 ENDS_P = BLOCKS - {"body", "html", "tbody", "tfoot", "thead", "tr"}
 SCOPES = frozenset("article aside body blockquote button details dialog div dd dt figcaption figure footer form header html li main nav section table td th ul ol".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "thead": {"tr", "td", "th"}, "tfoot": {"tr", "td", "th", "tbody"}}
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+# What sites call menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner billboard sponsor sponsored promo promotion promoted outbrain taboola "
-    "nav navbar navigation navi menu submenu breadcrumb breadcrumbs pagination pager toc toolbar topbar masthead skip skiplink "
-    "header siteheader footer sitefooter bottom copyright legal imprint disclaimer "
-    "sidebar side aside rail widget widgets related recommended recommendations recommend teaser teasers popular trending more "
-    "cookie cookies consent gdpr ccpa notice notices notification alert popup modal overlay lightbox interstitial paywall "
-    "newsletter subscribe subscription signup login signin register search searchbox form contact "
-    "share sharing social socials follow facebook twitter comment comments commentlist respond reply replies disqus discussion "
-    "hidden invisible offscreen sr".split()
+    "nav navbar navigation navi menu submenu breadcrumb breadcrumbs pagination pager "
+    "header siteheader masthead footer sitefooter sidebar aside "
+    "cookie cookies consent gdpr notice notices banner popup modal paywall newsletter "
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo "
+    "form searchform search login signup subscribe comment comments commentlist disqus".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-CONTENT = frozenset("content article post entry story main body text maincontent articlebody".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Parts of a name by which it is the article's own (post-header) while it stands inside one.
+OWN = frozenset("content article post entry story main body text".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACE = re.compile(r"\s+")
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s>/])[^>]*>", re.I) for tag in RAW}
 
 
 class Node:
@@ -68,12 +72,16 @@ class Node:
 
 def parse(page: str) -> Node:
     root = Node("#root")
-    stack, at = [root], 0
+    stack, open_, at = [root], Counter(), 0
 
     def text(raw: str) -> None:
         if raw:
             stack[-1].children.append(references.unescape(raw) if "&" in raw else raw)
 
+    def close(place: int) -> None:
+        open_.subtract(x.tag for x in stack[place:])
+        del stack[place:]
+
     while m := TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
@@ -83,16 +91,15 @@ def parse(page: str) -> Node:
             continue
         tag = m[3].lower()
         if m[2]:
-            place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if place:
-                del stack[place:]
+            if open_[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             elif tag == "p":  # as browsers do: an end without a beginning is an empty paragraph
                 stack[-1].children.append(Node("p"))
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and open_["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPES:
                     break
@@ -100,29 +107,27 @@ def parse(page: str) -> Node:
             closes = SAME[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in closes:
-                    del stack[i:]
-                elif stack[i].tag in SCOPES and stack[i].tag not in closes:
+                    close(i)
+                elif stack[i].tag in SCOPES:
                     break
         node = Node(tag, m[4] or "")
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if end:
-                if tag == "title":
-                    node.children.append(references.unescape(page[at : end.start()]))
+            if end := ENDS[tag].search(page, at):
+                if tag == "xmp":
+                    node.children.append(page[at : end.start()])
                 at = end.end()
-            elif tag == "title":
-                continue
-            else:
+            elif tag != "title":
                 at = len(page)
         elif tag not in VOID and not (m[4] or "").rstrip().endswith("/"):
             stack.append(node)
+            open_[tag] += 1
     text(page[at:])
     return root
 
 
-def _all(node: Node, found: list) -> list:
-    work = [node]
+def _all(node: Node) -> list[Node]:
+    found, work = [], [node]
     while work:
         x = work.pop()
         found.append(x)
@@ -130,43 +135,31 @@ def _all(node: Node, found: list) -> list:
     return found
 
 
-def _text(node: Node) -> str:
-    out, work = [], [node]
-    while work:
-        x = work.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag == "br" or x.tag in BLOCKS or x.tag in ("td", "th"):
-            out.append(" ")
-            work.append(" ")
-            work.extend(reversed(x.children))
-        else:
-            work.extend(reversed(x.children))
-    return SPACE.sub(" ", "".join(out)).strip()
-
-
 def _named_away(node: Node, in_article: bool) -> bool:
-    """Whether the markup itself says that this is no part of an article."""
+    """Whether the markup says that this is no part of an article."""
     if node.tag in DROPPED:
         return True
-    if node.tag == "header" and not (in_article and any(x.tag in ("h1", "h2") for x in _all(node, []))):
+    if node.tag == "header" and not (in_article and any(x.tag in ("h1", "h2") for x in _all(node))):
         return True
-    if not node.attributes or node.tag in ("html", "body", "article", "main") and "comment" not in node.attributes.lower():
-        return False
+    if not node.attributes.strip("/ "):
+        return node.tag == "dialog"
     named = node.named()
-    if "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", "")):
+    if "hidden" in named or UNSEEN.search(named.get("style", "")) or (node.tag == "dialog" and "open" not in named):
         return True
+    if node.tag in ("html", "body"):
+        return False
     if named.get("role", "").lower() in ROLES:
         return True
-    words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{named.get('class', '')} {named.get('id', '')}").lower())
-    if not NAMES.isdisjoint(words):
-        # "post-header", "article-body-text" name parts of an article; "content-ad" doesn't
-        return not (in_article and {"header", "body", "text", "main"} & set(words) and not (NAMES - {"header", "main", "more", "side"}) & set(words))
+    for token in f"{named.get('class', '')} {named.get('id', '')}".split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if x]
+        # what a name begins or ends with says what it is: site-footer, comment-list; but post-header is part of the post
+        if parts and (parts[0] in NAMES or parts[-1] in NAMES) and not (in_article and parts[-1] == "header" and parts[0] in OWN):
+            return True
     return False
 
 
-def _pruned(node: Node, in_article: bool = False) -> None:
-    work = [(node, in_article)]
+def _pruned(node: Node) -> None:
+    work = [(node, False)]
     while work:
         x, inside = work.pop()
         inside = inside or x.tag in ("article", "main")
@@ -174,119 +167,122 @@ def _pruned(node: Node, in_article: bool = False) -> None:
         work.extend((c, inside) for c in x.children if isinstance(c, Node))
 
 
-def _roots(tree: Node) -> list[Node]:
-    """The outermost articles that hold much of the text, else the main element, else a named content element, else all."""
-    nodes = _all(tree, [])
-    for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main" or 'role="main"' in x.attributes):
-        inner: set[int] = set()
-        found = []
-        for x in nodes:
-            if wanted(x) and id(x) not in inner:
-                inner.update(id(y) for y in _all(x, []))
-                found.append((x, len(_text(x))))
-        if most := max((n for _, n in found), default=0):
-            return [x for x, n in found if n >= 0.3 * most]
-    total = len(_text(tree))
-    best = None
-    for x in nodes:
-        if x.attributes and x.tag in ("div", "section", "td"):
-            named = x.named()
-            words = set(re.split(r"[^a-z0-9]+", f"{named.get('class', '')} {named.get('id', '')}".lower()))
-            if words & CONTENT and len(_text(x)) >= 0.5 * max(total, 1):
-                best = x  # the innermost that still holds half of all text
-    return [best or tree]
-
-
-def _linked(node: Node) -> bool:
-    """A menu in all but name: most of its text is links."""
-    links = sum(len(_text(x)) for x in _all(node, []) if x.tag == "a")
-    return links > 0 and links >= 0.6 * len(_text(node)) and sum(x.tag == "a" for x in _all(node, [])) >= 2
-
-
-def content(page: str | None) -> tuple[str, list[Node]]:
-    """The page's title and the elements that hold its article."""
-    tree = parse(page or "")
-    title = next((_text(x) for x in _all(tree, []) if x.tag == "title"), "")
-    _pruned(tree)
-    roots = _roots(tree)
-    for root in roots:
-        if root.tag not in ("article", "main"):
-            for x in _all(root, []):
-                x.children = [c for c in x.children if isinstance(c, str) or c.tag not in ("ul", "ol", "div", "p", "table", "section", "dl") or not _linked(c)]
-    return title, roots
+def _size(node: Node) -> int:
+    return sum(len(c) - c.count(" ") for x in _all(node) for c in x.children if isinstance(c, str))
 
 
-def subtree_hash(node: Node, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{node.tag}\x00{text}") - 2**63
+def _outermost(region: Node, wanted) -> list[Node]:
+    found, work = [], [c for c in reversed(region.children) if isinstance(c, Node)]
+    while work:
+        x = work.pop()
+        if wanted(x):
+            found.append(x)
+        else:
+            work.extend(c for c in reversed(x.children) if isinstance(c, Node))
+    return found
 
 
-def hashes(roots: list[Node]) -> set[int]:
-    """Of all subtrees with text, but for the roots themselves."""
-    return {subtree_hash(x, t) for root in roots for x in _all(root, [])[1:] if (t := _text(x))}
+def roots(page: str | None) -> list[Node]:
+    """The elements of the page that hold its text, without what the markup names away."""
+    tree = parse(page or "")
+    _pruned(tree)
+    mains = [x for x in _outermost(tree, lambda x: x.tag == "main" or x.named().get("role", "").lower() == "main") if _size(x)]
+    regions = mains or [tree]
+    articles = [a for r in regions for a in _outermost(r, lambda x: x.tag == "article")]
+    return articles if articles and 2 * sum(map(_size, articles)) >= sum(map(_size, regions)) else regions
 
 
-def blocks(roots: list[Node], template: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """The roots' blocks in page order, without subtrees whose hash is in template."""
-    out, run = [], []
+def cut(page: str | None) -> tuple[list[str], list[int], list[int], list[int]]:
+    """The page's blocks in order, the block element (by number, -1: none) that each stands in, and those elements' subtree
+    hashes and parents. An element has a smaller number than those inside it; roots have none."""
+    texts, owners, hashes, parents, run = [], [], [], [], []
+    inside = [-1]  # the elements that are being walked
+    parts: list[list[str]] = [[]]  # of each: what its hash is made of
 
     def flush() -> None:
         if t := SPACE.sub(" ", "".join(run)).strip():
-            out.append(t)
+            texts.append(t)
+            owners.append(inside[-1])
+            parts[-1].append(t)
         run.clear()
 
-    work: list = [(r, True) for r in reversed(roots)]
-    while work:
-        x, enter = work.pop()
-        if isinstance(x, str):
-            run.append(x)
-        elif not enter:
-            flush()
-        elif x.tag == "br" or x.tag in ("td", "th", "img"):
-            run.append(" ")
-            work.extend((c, True) for c in reversed(x.children))
-        else:
-            if template and (t := _text(x)) and subtree_hash(x, t) in template:
-                continue
-            if x.tag in BLOCKS or x.tag.startswith("#"):
+    for root in roots(page):
+        inside, parts = [-1], [[]]
+        work: list = [(c, True) for c in reversed(root.children)]
+        while work:
+            x, enter = work.pop()
+            if isinstance(x, str):
+                run.append(x)
+            elif not enter:
+                flush()
+                number, own = inside.pop(), parts.pop()
+                if own:
+                    digest = xxhash.xxh64_intdigest("\x00".join([x.tag, *own])) - 2**63
+                    hashes[number] = digest
+                    parts[-1].append(f"<{digest}")
+            elif x.tag in BLOCKS:
                 flush()
                 work.append((x, False))
-            work.extend((c, True) for c in reversed(x.children))
-    flush()
-    return out
+                work.extend((c, True) for c in reversed(x.children))
+                parents.append(inside[-1])
+                inside.append(len(hashes))
+                hashes.append(0)
+                parts.append([])
+            else:
+                if x.tag in ("br", "td", "th", "img"):
+                    run.append(" ")
+                work.extend((c, True) for c in reversed(x.children))
+        flush()
+    return texts, owners, hashes, parents
+
+
+PARSED = "page long, texts array<string>, owners array<int>, hashes array<long>, parents array<int>"
+
+
+def _parsed(pages: pd.Series) -> pd.DataFrame:
+    rows = []
+    for page in pages:
+        texts, owners, hashes, parents = cut(page)
+        rows.append((xxhash.xxh64_intdigest("\n".join(texts)) - 2**63, texts, owners, hashes, parents))
+    return pd.DataFrame(rows, columns=["page", "texts", "owners", "hashes", "parents"])
 
 
-def _surveyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        titles, found = [], []
-        for page in x["html"]:
-            title, roots = content(page)
-            titles.append(xxhash.xxh64_intdigest(title or "\n".join(blocks(roots))[:200]) - 2**63)
-            found.append(sorted(hashes(roots)))
-        yield pd.DataFrame({"a": x["a"], "b": x["b"], "host": x["host"], "title": titles, "subtrees": found})
+def assembled(texts, owners, hashes, parents, templates: set[int]) -> str:
+    """The blocks that stand in no template."""
+    gone = []
+    for h, p in zip(hashes, parents, strict=True):
+        gone.append(h in templates or (p >= 0 and gone[p]))
+    return "\n".join(t for t, o in zip(texts, owners, strict=True) if o < 0 or not gone[o])
 
 
-def _extracted(pages: pd.Series, templates: pd.Series) -> pd.Series:
-    return pd.Series(["\n".join(blocks(content(page)[1], set() if t is None else set(t))) for page, t in zip(pages, templates, strict=True)], dtype=object)
+def _assembled(parsed: pd.DataFrame, mine: pd.Series, sites: pd.Series) -> pd.Series:
+    known = ({*(() if a is None else a), *(() if b is None else b)} for a, b in zip(mine, sites, strict=True))
+    return pd.Series([assembled(*row, t) for row, t in zip(zip(parsed["texts"], parsed["owners"], parsed["hashes"], parsed["parents"], strict=True), known, strict=True)], dtype=object)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(key, template): of the pages that have some, the hashes of their template subtrees; key as of row_key(url, html)."""
-    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    rows = pages.where("html <> ''").select(row_key("url", "html").alias("key"), host.alias("host"), "html").where("host <> ''")
-    rows = rows.select("key.a", "key.b", F.xxhash64("host").alias("host"), "html")
-    surveyed = rows.mapInPandas(_surveyed, "a bigint, b bigint, host bigint, title bigint, subtrees array<bigint>")
-    surveyed = surveyed.select(F.struct("a", "b").alias("key"), "host", "title", "subtrees")
-    titles = surveyed.groupBy("host", "title").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("titles")).where(F.col("titles") >= MIN_TITLES)
-    # partly summed where the pages are, so a host with very many pages is no single task's
-    seen = surveyed.select("host", "title", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("under"))
-    known = seen.where(F.col("under") >= MIN_TITLES).join(titles, "host").where(F.col("under") >= SHARE * F.col("titles")).select("host", "subtree")
-    return surveyed.select("key", "host", F.explode("subtrees").alias("subtree")).join(maybe_broadcast(known, BROADCAST_PAGES), ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
+def templates(parsed: DataFrame) -> DataFrame:
+    """(site, templates): the hashes of subtrees on many of a site's different pages; of parsed(site, page, hashes)."""
+    own = parsed.where("site IS NOT NULL")
+    pages = own.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    # distinct, then counted with sums where the rows are: a host with very many pages is no single task's
+    seen = own.select("site", "page", F.explode("hashes").alias("subtree")).where("subtree <> 0").distinct().groupBy("site", "subtree").agg(F.count("*").alias("on")).where(F.col("on") >= MIN_PAGES)
+    return seen.join(pages, "site").where(F.col("on") >= SHARE * F.col("pages")).groupBy("site").agg(F.collect_list("subtree").alias("templates"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """pages with text and n_chars."""
+    """pages with text and n_chars in place of html."""
     pages = pages.drop("text", "n_chars")
-    found = maybe_broadcast(templates(pages).select(F.col("key").alias("_key"), "template"), BROADCAST_PAGES)
-    joined = pages.withColumn("_key", row_key("url", "html")).join(found, "_key", "left")
-    text = F.pandas_udf(_extracted, "string")("html", "template")
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop("_key", "template")
+    rest = pages.drop("html")
+    host, section, parsed, a, b = fresh(rest, "host", "section", "parsed", "a", "b")
+    address = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)(?:/([^/?#]*)(?=/))?"
+    name, first = F.lower(F.regexp_extract("url", address, 1)), F.regexp_extract("url", address, 2)
+    places = [F.when(name != "", F.xxhash64(name)).alias(host), F.when(name != "", F.xxhash64(name, first)).alias(section)]
+    # written out: texts and hashes serve the counts and the result, and no page is parsed again
+    done = materialize(pages.select(*kept(rest), *places, F.pandas_udf(_parsed, PARSED)("html").alias(parsed)), "pages")
+    joined = done
+    for by, found in ((host, a), (section, b)):
+        counted = done.select(F.col(by).alias("site"), f"{parsed}.page", f"{parsed}.hashes")
+        known = materialize(templates(counted), "templates").select(F.col("site").alias(by), F.col("templates").alias(found))
+        joined = joined.join(maybe_broadcast(known, BROADCAST_SITES), by, "left")
+    text = F.pandas_udf(_assembled, "string")(parsed, a, b)
+    return joined.select(*kept(rest), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -109,8 +109,9 @@ PAGE = """<html><head><title>{t}</title><style>p{{}}</style></head><body><header
 <div>Read our terms of use before you go on, all of them.</div><aside>more</aside><form>f</form><footer>end</footer></body></html>"""
 
 
-def test_main_text_of_marked_up_pages():
-    cases = [
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
         ("<article><h1>A &amp; B</h1><p>one\n two<p>three<br>four<script>x</script></article><footer>no", "A & B\none two\nthree four"),
         ("<body><div id=cookie-notice>c</div><main><p>x</p><div class='comments'><p>c</p></div><ul><li>a<li>b</ul></main>", "x\na\nb"),
         ("<div class='sidebar'>s</div><p>p&eacute;<!-- <p>no</p> -->q", "péq"),
@@ -119,21 +120,56 @@ def test_main_text_of_marked_up_pages():
         (None, ""),
         ("<p>" + "long " * 20000, ("long " * 20000).strip()),
         ("</div></p>tail", "tail"),
-    ]
-    for page, text in cases:
-        assert "\n".join(html.blocks(html.content(page)[1])) == text
+        ("<article><p>a long one</p></article><article>b</article>", "a long one\nb"),
+        ("<main><div>the text is here, beside a card</div><article>card</article></main>", "the text is here, beside a card\ncard"),
+        ("<article><div class='more-content'>q</div><math><mi>y</mi></math><label>l</label><dialog>no</dialog><dialog open>yes</dialog></article>", "q\nyl\nyes"),
+        ("<article><div class='post-header'>title</div><div class='site-header'>no</div><div class='ad-box'>no</div><p hidden>no<p>b</article>", "title\nb"),
+        ("<p title='a > b'>in<p title=\"x>broken", "in\nbroken"),
+        ("<body><ul><li><a href=1>first source</a><li><a href=2>second source</a></ul>", "first source\nsecond source"),
+        ("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>end", "deep\nend"),
+        ("<div>a" * 3000, "\n".join("a" * 3000)),
+    ],
+)
+def test_main_text_of_marked_up_pages(page, text):
+    assert "\n".join(html.cut(page)[0]) == text
+
+
+def templates_gone(rows):
+    """The texts of (url, html), with templates found by comparing all pages of a host and of a section."""
+    done = [(re.match(r"https?://([^/]+)(?:/([^/]*)(?=/))?", u or ""), html.cut(h)) for u, h in rows]
+    out = []
+    for m, (texts, owners, hashes, parents) in done:
+        template = set()
+        for group in ((1,), (1, 2)) if m else ():
+            others = {"\n".join(c[0]): set(c[2]) for o, c in done if o and [o[g] for g in group] == [m[g] for g in group]}
+            for h in hashes:
+                on = sum(h in x for x in others.values())
+                if on >= html.MIN_PAGES and on >= html.SHARE * len(others):
+                    template.add(h)
+        gone = [h in template for h in hashes]
+        for i, parent in enumerate(parents):
+            gone[i] = gone[i] or (parent >= 0 and gone[parent])
+        out.append("\n".join(t for t, o in zip(texts, owners, strict=True) if o < 0 or not gone[o]))
+    return out
 
 
 def test_templates_of_a_host_go_and_articles_stay(spark):
-    rows = [(i, f"http://a.example/{i}", PAGE.format(t=f"T{i}", pre="", body=f"<p>Article {i} says {i * 7}.</p>")) for i in range(8)]
+    rows = [(i, f"http://a.example/{i}", PAGE.format(t="T", pre="", body=f"<p>Article {i} says {i * 7}.</p>")) for i in range(8)]
     rows += [(20 + i, f"http://a.example/copy{i}", rows[0][2]) for i in range(9)]  # one article at many addresses
     rows += [(40, "http://b.example/", rows[1][2]), (41, None, "<p>x"), (42, "http://a.example/n", None)]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS _key2")
-    got = {r.page_id: r.text for r in html.extract(d).collect()}
-    assert len(got) == len(rows)
+    # a banner in one section of a large host; a remark that recurs in some articles
+    rows += [(100 + i, f"http://c.example/{'news' if i % 5 == 0 else f's{i % 3}'}/{i}", f"<p>Own text {i}.</p>" + ("<div>Read the news every day!</div>" if i % 5 == 0 else "") + (f"<p>See below.</p><p><b>Note:</b> of {i}</p>" if i % 4 == 0 else "")) for i in range(60)]
+    rows += [rows[-1]]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS host", "2 AS section", "3 AS parsed", "4 AS a", "5 AS by", "6 AS templates", "7 AS site", "8 AS n_chars")
+    got = html.extract(d)
+    assert sorted(got.columns) == sorted(c for c in d.columns if c != "html")
+    got = {r.page_id: r for r in got.collect()}
+    assert [got[r[0]].text for r in rows] == templates_gone([r[1:] for r in rows])
+    assert all((r.host, r.section, r.parsed, r.a, r.by, r.templates, r.site, r.n_chars) == (1, 2, 3, 4, 5, 6, 7, len(r.text)) for r in got.values())
     for i in range(8):
-        assert got[i] == f"Article {i} says {i * 7}."
-    assert got[20] == got[0] and "terms of use" in got[40] and got[41] == "x" and got[42] == ""
+        assert got[i].text == f"Article {i} says {i * 7}."
+    assert got[20].text == got[0].text and "terms of use" in got[40].text and got[41].text == "x" and got[42].text == ""
+    assert got[100].text == "Own text 0.\nSee below.\nNote: of 0" and got[108].text.endswith("See below.\nNote: of 8")
     assert html.extract(d.limit(0)).count() == 0
 
 
