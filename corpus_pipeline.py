@@ -19,8 +19,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one has; those of which nothing is left go."""
-    done = lines.dedup_lines(docs)
+    """Documents without lines (of three words or more: shorter ones recur by chance) that an earlier one has; those of which
+    nothing is left go."""
+    done = lines.dedup_lines(docs, min_words=3)
     emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"\S")
     return _counted(done.where(~emptied).select(*docs.columns))
 

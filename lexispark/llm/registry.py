@@ -102,7 +102,7 @@ WITH l AS (
   SELECT doc_id, g.i - 1 AS line, list_filter(regexp_split_to_array(lower(string_split(text, chr(10))[g.i]), '[ \\t\\r\\f\\x0B]+'), lambda x: x <> '') AS w
   FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) g
   WHERE text <> ''
-), m AS (SELECT *, len(w) AS n FROM l WHERE len(w) >= 3),
+), m AS (SELECT *, len(w) AS n FROM l WHERE len(w) >= 1),
 u AS (SELECT w, n, min((doc_id, line)) AS first FROM m GROUP BY w, n),
 k AS (
   SELECT w, n, first, unnest([(n, 'f', w[1:n // 2]), (n, 'l', w[n // 2 + 1:n]), (n + 1, 'f', w[1:(n + 1) // 2]), (n + 1, 'l', w[(n + 1) // 2:n])]) AS key

@@ -314,32 +314,44 @@ def test_license_notices_wrapped_and_several_in_a_line(spark):
 # 7 lines
 
 
-def test_line_dedup(spark):
+def lines_left(rows, min_words=lines.MIN_WORDS, near_words=lines.NEAR_WORDS):
+    """Per (doc_id, text) the text without lines that an earlier line drops; rows as the operator orders them."""
+    seen, out = [], {}
+    for doc_id, t in rows:
+        if (doc_id, t) in out:
+            continue
+        keep = []
+        for line in (t or "").split("\n"):
+            x = line.lower().split()
+            if len(x) < min_words or not x or not any(x == y or (min(len(x), len(y)) >= near_words and lines.near(x, y)) for y in seen):
+                keep.append(line)
+            if x and len(x) >= min_words:
+                seen.append(x)
+        out[doc_id, t] = "\n".join(keep)
+    return out
+
+
+@pytest.mark.parametrize(("min_words", "near_words"), [(1, 8), (3, 4)])
+def test_line_dedup(spark, min_words, near_words):
     rng = random.Random(7)
     a, b, c = (prose(rng, n) for n in (12, 9, 40))
     w = c.split()
     variants = [" ".join(w[:i] + ["new"] + w[i + 1 :]) for i in range(0, 40, 7)] + [" ".join(w[:i] + w[i + 1 :]) for i in range(0, 40, 9)] + [" ".join(w[:i] + ["more"] + w[i:]) for i in range(0, 41, 8)]
-    texts = [f"{a}\n{b}\n{a.upper()}", f"  {b}\t\n\n{c}", "\n".join(variants), "w1 w2\nw1 w2", "one two three\none two three", f"{a} x y", prose(rng, 3000)]
-    texts += ["\n".join([prose(rng, 15), c])]
+    texts = [f"{a}\n{b}\n{a.upper()}", f"  {b}\t\n\n{c}", "\n".join(variants), "w1 w2\nw1 w2\n漢字かな交じり文\n漢字かな交じり文", "one two three\none two three", f"{a} x y", prose(rng, 3000)]
+    texts += ["\n".join([prose(rng, 15), c]), "a b c d e f\na b c d x f"]
     d = docs(spark, texts).union(docs(spark, texts[:1], edges=False))
-    seen, want = [], {}
-    for i, t in sorted({(2**63 if r.doc_id is None else r.doc_id, r.text or "") for r in d.collect()}):
-        keep = []
-        mine = []
-        for n, line in enumerate(t.split("\n")):
-            x = line.lower().split()
-            if len(x) >= lines.MIN_WORDS and any(x == y or (min(len(x), len(y)) >= lines.NEAR_MIN_WORDS and lines.near(x, y)) for y in seen + mine):
-                pass
-            else:
-                keep.append(line)
-            if len(x) >= lines.MIN_WORDS:
-                mine.append(x)
-        seen += mine
-        want[i] = "\n".join(keep)
-    got = lines.dedup_lines(d).collect()
+    # rows of no id, and rows of one id: each is a document of its own, none drops its own lines
+    more = [(None, f"lone {i} {prose(rng, 10)}\n{b}", None, "x", "y", "z") for i in range(3)] + [(3, f"{prose(rng, 11)}\nlast words of it all", "s", "x", "y", "z")] * 2
+    d = d.union(spark.createDataFrame(more, TEXTS)).selectExpr("*", "1 AS doc", "2 AS row", "3 AS line", "4 AS gone", "5 AS n_lines", "6 AS h1", "7 AS words")
+    order = d.select(*lines._row(), "doc_id", "text").collect()
+    want = lines_left([r[2:] for r in sorted(order, key=lambda r: r[:2])], min_words, near_words)
+    got = lines.dedup_lines(d, min_words, near_words).collect()
     assert len(got) == d.count()
+    n = collections.Counter()
     for r in got:
-        assert (r.text or "") == want[2**63 if r.doc_id is None else r.doc_id], r.doc_id
+        assert (r.doc, r.row, r.line, r.gone, r.h1, r.words) == (1, 2, 3, 4, 6, 7)
+        n[r.doc_id, r.text or ""] += 1
+    assert n == collections.Counter((r.doc_id, want[r.doc_id, r.text]) for r in order)
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
