@@ -6,15 +6,15 @@ track, timestamp, byte range, key frame flag, lacing, cluster, and whether a cue
 variable length, unknown sizes (segments and clusters), SimpleBlocks and BlockGroups, and all four lacings (none, Xiph, fixed,
 EBML). Both run per row; nothing is gathered across rows.
 
-Nulls and empty texts are 64 zero bytes. A null or damaged file gives the packets before the damage and an `error` text;
-equal texts give equal files. Empty tables give empty results."""
+Nulls and empty texts are 64 zero bytes. A null or damaged file gives the packets before the damage and an `error` text (so do
+timestamps beyond a bigint and a time scale of 0); elements may be nested to any depth. Equal texts give equal files, repeated
+rows equal results. doc_id may be of any type, null too; other columns are not kept. Empty tables give empty results."""
 
 from __future__ import annotations
 
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -148,14 +148,24 @@ def read_file(content: bytes | None) -> tuple[list[dict], str | None]:
             packets.append({"track": track, "time": state["time"] + offset, "offset": at, "size": size, "key_frame": bool(flags & 0x80) if key is None else key, "lacing": lacing, "lace": n, "cluster": state["n"]})
             at += size
 
-    def walk(at: int, end: int, parent: int) -> int:
-        nonlocal scale
-        first = len(packets)
-        while at < end:
+    error = None
+    try:
+        code, at, _ = _read_vint(data, 0, len(data), keep=True)
+        if code != EBML:
+            raise Damaged("no EBML header")
+        at, end, parent, first, outer = 0, len(data), 0, 0, []  # outer: (end, parent, first packet, size known) around the element
+        while True:
+            if at >= end:
+                if not outer:
+                    break
+                end, parent, first, _ = outer.pop()
+                continue
             begin = at
             code, at, _ = _read_vint(data, at, end, keep=True)
-            if parent == CLUSTER_ID and code in TOP:
-                return begin  # a cluster of unknown size ends at the next one
+            if code in TOP and outer and not outer[-1][3]:
+                # a cluster (and what is open in it) of unknown size ends at the next element of the segment
+                while parent not in (SEGMENT, 0) and outer and not outer[-1][3]:
+                    end, parent, first, _ = outer.pop()
             size, at, unknown = _read_vint(data, at, end)
             stop = end if unknown else at + size
             if stop > end:
@@ -169,7 +179,8 @@ def read_file(content: bytes | None) -> tuple[list[dict], str | None]:
                 state["time"] = 0
                 places[state["n"]] = begin - state["segment"]
             if code in MASTERS:
-                at = walk(at, stop, code) if unknown else (walk(at, stop, code), stop)[1]
+                outer.append((end, parent, first, not unknown))
+                end, parent, first = stop, code, len(packets)
                 continue
             value = int.from_bytes(data[at:stop], "big") if size <= 8 else 0
             if code == TIMESTAMP:
@@ -186,19 +197,15 @@ def read_file(content: bytes | None) -> tuple[list[dict], str | None]:
                 for p in packets[first:]:
                     p["key_frame"] = False
             at = stop
-        return at
-
-    error = None
-    try:
-        code, at, _ = _read_vint(data, 0, len(data), keep=True)
-        if code != EBML:
-            raise Damaged("no EBML header")
-        walk(0, len(data), 0)
     except Damaged as e:
         error = str(e)
-    for p in packets:
+    if not scale:
+        error, scale = error or "the time scale is 0", 1_000_000
+    for n, p in enumerate(packets):
         p["timestamp_ns"] = p.pop("time") * scale
         p["cued"] = places.get(p["cluster"], -1) in cues
+        if not (-(2**63) <= p["timestamp_ns"] < 2**63 and p["track"] < 2**63):
+            return packets[:n], f"packet {n} has a time or track out of range"
     return packets, error
 
 
@@ -210,45 +217,40 @@ def padded(text: str | None) -> tuple[int, bytes]:
 PACKETS = "track bigint, timestamp_ns bigint, offset bigint, size bigint, key_frame boolean, lacing int, lace int, cluster int, cued boolean"
 
 
-def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        both = [padded(t) for t in x["text"]]
-        yield pd.DataFrame({"doc_id": x["doc_id"], "n_bytes": [n for n, _ in both], "media": [write_file(p) for _, p in both]})
+def _store(texts: pd.Series) -> pd.DataFrame:
+    both = [padded(t) for t in texts]
+    return pd.DataFrame({"n_bytes": [n for n, _ in both], "media": [write_file(p) for _, p in both]})
 
 
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) of docs(doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_store, "doc_id long, n_bytes long, media binary")
+    made = F.pandas_udf(_store, "n_bytes long, media binary")("text")
+    return docs.select("doc_id", made.alias("made")).select("doc_id", "made.*")
 
 
-def packets(media: DataFrame) -> DataFrame:
-    """(doc_id, packet number, packet columns, error): one row per frame; a file without frames has one row without packet."""
+def _read(files: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read_file(x) for x in files], columns=["packets", "error"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            rows = []
-            for doc_id, content in zip(x["doc_id"], x["media"], strict=True):
-                found, error = read_file(content)
-                rows.append({"doc_id": doc_id, "packets": found, "error": error})
-            yield pd.DataFrame(rows, columns=["doc_id", "packets", "error"])
 
-    read = media.select("doc_id", "media").mapInPandas(run, f"doc_id long, packets array<struct<{PACKETS.replace(' ', ':').replace(',:', ',')}>>, error string")
-    return read.select("doc_id", F.posexplode_outer("packets").alias("packet", "p"), "error").select("doc_id", "packet", "p.*", "error")
+def packets(media: DataFrame) -> DataFrame:
+    """(doc_id, packet number, packet columns, error): one row per frame; a file without frames has one row without packet."""
+    read = F.pandas_udf(_read, f"packets array<struct<{PACKETS.replace(', ', ',').replace(' ', ':')}>>, error string")("media")
+    return media.select("doc_id", read.alias("read")).select("doc_id", F.posexplode_outer("read.packets").alias("packet", "p"), "read.error").select("doc_id", "packet", "p.*", "error")
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        rows = []
-        for doc_id, n_bytes, media in zip(x["doc_id"], x["n_bytes"], x["media"], strict=True):
-            found, error = read_file(media)
-            payload = b"".join(media[p["offset"] : p["offset"] + p["size"]] for p in found)
-            s = np.frombuffer(payload, np.uint8).astype(np.int64)
-            crossings = int(((s[1:] >= 128) != (s[:-1] >= 128)).sum())
-            feature = f"A_PCM/INT/LIT;rate={RATE};packets={len(found)};clusters={len({p['cluster'] for p in found})};cued={sum(p['cued'] for p in found)};last_ns={found[-1]['timestamp_ns'] if found else -1};sum={int(s.sum())};energy={int(((s - 128) ** 2).sum())};crossings={crossings};peak={int(s.max(initial=0))}" + (f";error={error}" if error else "")
-            rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+def _digest(files: pd.Series) -> pd.DataFrame:
+    rows = []
+    for media in files:
+        found, error = read_file(media)
+        payload = b"".join(media[p["offset"] : p["offset"] + p["size"]] for p in found)
+        s = np.frombuffer(payload, np.uint8).astype(np.int64)
+        crossings = int(((s[1:] >= 128) != (s[:-1] >= 128)).sum())
+        feature = f"A_PCM/INT/LIT;rate={RATE};packets={len(found)};clusters={len({p['cluster'] for p in found})};cued={sum(p['cued'] for p in found)};last_ns={found[-1]['timestamp_ns'] if found else -1};sum={int(s.sum())};energy={int(((s - 128) ** 2).sum())};crossings={crossings};peak={int(s.max(initial=0))}" + (f";error={error}" if error else "")
+        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media or b""), hashlib.sha256(media or b"").hexdigest(), feature))
+    return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def digests(media: DataFrame) -> DataFrame:
     """What the stored bytes hold: payload and file digests, and a feature text of track, packets and samples."""
-    return media.mapInPandas(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    made = F.pandas_udf(_digest, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")("media")
+    return media.select("doc_id", "n_bytes", made.alias("made")).select("doc_id", "n_bytes", "made.*")

@@ -8,16 +8,16 @@ same on each run and for any partitioning. The copies go to hashed partitions an
 (seed, doc_id, copy), which is a global shuffle.
 
 Character counts per source are pre-aggregated; no step gathers a source's rows, so a hot source costs nothing extra.
-Nulls: rows without source are a source of their own; a null doc_id is replaced by the text's hash. Sources without any
-characters have rate 0 (their rows, all empty, go). Repeated rows are repeated alike. Columns of docs are kept; copy and
-mix_key replace columns of that name. An empty table gives an empty result."""
+Nulls: a null text has no characters; rows without source are a source of their own; a null doc_id is replaced by the text's hash. Sources without any
+characters have rate 0 (their rows, all empty, go). Repeated rows are repeated alike. Columns of docs are kept, whatever
+their names; copy and mix_key replace columns of that name. An empty table gives an empty result."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import maybe_broadcast
+from lexispark.llm.common import fresh, kept, maybe_broadcast
 
 #: Shares of the mixture used in production; the sources that are not named share the rest.
 TARGETS = {"src0": 0.2, "src1": 0.1, "src2": 0.08}
@@ -59,10 +59,11 @@ def rates(docs: DataFrame, targets: dict[str, float], epochs: float) -> DataFram
 def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: int = SEED, epochs: float = EPOCHS) -> DataFrame:
     """The mixture: rows of docs, with copy (1, 2, ...) and mix_key (the order within the shuffled partitions)."""
     docs = docs.drop("copy", "mix_key")
-    table = maybe_broadcast(rates(docs, targets, epochs).select(F.col("source").alias("_source"), "cdf"), BROADCAST_SOURCES)
+    own, cdf, u, times = fresh(docs, "own", "cdf", "u", "times")
+    table = maybe_broadcast(rates(docs.select("source", "text"), targets, epochs).select(F.col("source").alias(own), F.col("cdf").alias(cdf)), BROADCAST_SOURCES)
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
-    joined = docs.join(table, F.col("source").eqNullSafe(F.col("_source")))
-    times = joined.withColumn("_u", uniform(F.lit(f"mix:{seed}:"), name)).withColumn("_times", F.size(F.filter("cdf", lambda c: c <= F.col("_u"))))
-    copies = times.where("_times > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
+    joined = docs.join(table, F.col("source").eqNullSafe(F.col(own)))
+    counted = joined.withColumn(u, uniform(F.lit(f"mix:{seed}:"), name)).withColumn(times, F.size(F.filter(cdf, lambda c: c <= F.col(u))))
+    copies = counted.where(F.col(times) > 0).select(*kept(docs), F.explode(F.sequence(F.lit(1), F.col(times))).alias("copy"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat(F.lit(f"shuffle:{seed}:"), name, F.lit(":"), F.col("copy").cast("string"))))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key", "copy")

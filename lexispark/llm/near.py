@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import bounded_batches, components, materialize, maybe_broadcast
+from lexispark.llm.common import bounded_batches, components, fresh, kept, materialize, maybe_broadcast
 
 BANDS, ROWS = 30, 4
 REGISTERS = BANDS * ROWS
@@ -233,7 +233,7 @@ def _rest(rows: DataFrame, classes: DataFrame, members: DataFrame, found: DataFr
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, th, n_shingles, component): th is the text's xxhash64."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     sketched = materialize(rows.mapInPandas(_sketch(words), "doc_id long, th long, n int, d1 long, d2 long, regs binary, bands array<long>"), "sketch")
     full = sketched.where("n > 0 AND doc_id IS NOT NULL")
     reps = full.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"))
@@ -271,11 +271,12 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with n_shingles, component_id and kept."""
     docs = docs.drop("n_shingles", "component_id", "kept")
+    id_, th, own, own_th = fresh(docs, "id", "th", "own", "own_th")
     found = near_components(docs, words, percent).dropDuplicates(["doc_id", "th"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    found = found.select(F.col("doc_id").alias(id_), F.col("th").alias(th), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
     return (
-        docs.withColumn("_i", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64("text"))
-        .join(found, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left")
-        .withColumn("kept", F.col("component_id").isNull() | (F.col("_i") == F.col("component_id")))
-        .drop("_i", "_t", "_id", "_th")
+        docs.withColumn(own, F.col("doc_id").try_cast("long")).withColumn(own_th, F.xxhash64("text"))
+        .join(found, F.col(own).eqNullSafe(F.col(id_)) & (F.col(own_th) == F.col(th)), "left")
+        .withColumn("kept", F.col("component_id").isNull() | (F.col(own) == F.col("component_id")))
+        .select(*kept(docs), "n_shingles", "component_id", "kept")
     )

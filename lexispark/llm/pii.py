@@ -15,16 +15,21 @@ fail their check stay as they are. Each value is replaced by one of the same for
 So equal values become equal pseudonyms in all documents, different values of a kind stay different, and who has the key
 can invert them. A date written in another format is the same day's pseudonym in that format.
 
-Nulls and empty texts stay; n_pii is 0. Repeated rows get equal results. Columns of docs are kept; n_pii and kinds replace
-columns of that name. Without a shuffle: every row is worked on where it is."""
+The key is an argument or the session's setting KEY_SETTING; none is built in, and without one pseudonymise fails.
+
+Nulls and empty texts stay; n_pii is 0. Repeated rows get equal results. Columns of docs are kept, whatever their names; n_pii
+and kinds replace columns of that name. An empty table gives an empty result. Without a shuffle: every row is worked on where it is."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.llm.common import fresh
+
 ROUNDS = 8
-KEY = "lexispark-development-key"
+#: The session setting that holds the key. Keep it secret: who has it can undo the pseudonyms.
+KEY_SETTING = "spark.lexispark.pii.key"
 NOT_WORD = r"(?<![A-Za-z0-9_])"
 #: Kinds in order of precedence where matches begin at the same place. The value of a secret is what follows its mark.
 PATTERNS = {
@@ -250,16 +255,26 @@ def _pattern(text: Column) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text pseudonymised, n_pii (values replaced) and kinds (sorted, of those replaced)."""
+def key_of(spark: SparkSession) -> str:
+    """The session's key; an error if there is none."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        raise ValueError(f"pseudonyms need a secret key: pass one, or set {KEY_SETTING}")
+    return found
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """docs with text pseudonymised by the key (default: the session's), n_pii (values replaced) and kinds (sorted)."""
+    key = key or key_of(docs.sparkSession)
     docs = docs.drop("n_pii", "kinds")
-    found = docs.withColumn("_any", _pattern(F.col("text"))).withColumn("_found", F.regexp_extract_all("text", F.col("_any"), F.lit(0)))
-    new = F.transform("_found", lambda v: F.transform(F.array(F.struct(v.alias("v"), kind_of(v).alias("kind"))), lambda s: F.struct(s["v"].alias("v"), s["kind"].alias("kind"), pseudonym(s["v"], s["kind"], key).alias("new")))[0])
-    made = found.withColumn("_new", F.when(F.size("_found") > 0, new))
-    pieces = F.zip_with(F.split("text", F.col("_any"), -1), "_new", lambda p, n: F.concat(p, F.coalesce(n["new"], n["v"], F.lit(""))))
-    replaced = F.filter("_new", lambda n: n["new"].isNotNull())
-    return made.select(
-        *[F.when(F.col("_new").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+    wanted, hits, made = fresh(docs, "wanted", "hits", "made")
+    found = docs.withColumn(wanted, _pattern(F.col("text"))).withColumn(hits, F.regexp_extract_all("text", F.col(wanted), F.lit(0)))
+    new = F.transform(hits, lambda v: F.transform(F.array(F.struct(v.alias("v"), kind_of(v).alias("kind"))), lambda s: F.struct(s["v"].alias("v"), s["kind"].alias("kind"), pseudonym(s["v"], s["kind"], key).alias("new")))[0])
+    found = found.withColumn(made, F.when(F.size(hits) > 0, new))
+    pieces = F.zip_with(F.split("text", F.col(wanted), -1), made, lambda p, n: F.concat(p, F.coalesce(n["new"], n["v"], F.lit(""))))
+    replaced = F.filter(made, lambda n: n["new"].isNotNull())
+    return found.select(
+        *[F.when(F.col(made).isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(F.size(replaced), F.lit(0)).cast("long").alias("n_pii"),
         F.coalesce(F.array_sort(F.array_distinct(F.transform(replaced, lambda n: n["kind"]))), F.array().cast("array<string>")).alias("kinds"),
     )
