@@ -1,16 +1,16 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text.
 
-A text is cut into blocks of BLOCK bytes; every block (so the whole text) is compressed with either dictionary. The sum of
-the sizes gives the normalised difference (good - bad) / max(good, bad) and the rate good / bytes; a logistic curve over the
-two, fitted on labelled rows that the dictionaries have not seen, makes the score from 0 to 1.
+A text is cut into blocks of BLOCK bytes; every block (so the whole text) is compressed with either dictionary. The difference
+of the sums, bad less good, by the text's bytes is its normalised difference; a logistic curve over it, fitted on labelled rows
+that the dictionaries have not seen, makes the score from 0 to 1.
 
-Fitting reads a bounded sample: at most SAMPLE texts of each label for the dictionaries (a slice of PIECE bytes at a hashed
-place of each) and at most CALIBRATION labelled texts, whole, for the curve; which ones, a hash of doc_id decides. Scores
-cover all rows. Only text enters a score.
+Fitting reads a bounded sample of rows, each of them whole: at most SAMPLE texts of each label for the dictionaries and at most
+CALIBRATION labelled texts for the curve; which ones, a hash of doc_id decides. Scores cover all rows. Only text enters a score.
 
-Nulls and empty texts: scored as the curve's value at no difference and an average rate. Rows without doc_id are scored but
-never learnt from. Without labelled rows of both kinds every score is the share of label 1 (0.5 with no label). Repeated
-rows get equal scores; columns of docs are kept, and `held_out`, `score`, `predicted` replace columns of that name."""
+Nulls and empty texts: scored as the curve's value at no difference. Rows without an integer doc_id are scored but never
+learnt from. Without labelled rows of both kinds every score is the share of label 1 (0.5 with no label). Repeated rows get equal
+scores; columns of docs are kept, whatever their names, and `held_out`, `score`, `predicted` replace columns of that name. An
+empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -24,8 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, LEVEL = 2048, 3
-SAMPLE, PIECE, DICTIONARY = 600, 2048, 112_640
+BLOCK, LEVEL = 1024, 3
+SAMPLE, DICTIONARY = 600, 400_000
 CALIBRATION = 4000
 #: A row is held out of learning if crc32 of its doc_id as text leaves this remainder.
 FOLDS, HELD_FOLD = 5, 0
@@ -34,13 +34,12 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries and the curve; small (a few 100 KB), so it travels with the tasks."""
+    """Two dictionaries and the curve; small (under 1 MB), so it travels with the tasks."""
 
     good: bytes
     bad: bytes
-    centre: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
+    scale: float
+    weights: tuple[float, float]
 
 
 def _coder(data: bytes) -> zstandard.ZstdCompressor:
@@ -49,25 +48,18 @@ def _coder(data: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _features(texts: pd.Series, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
-    out = np.full((len(texts), 2), np.nan)
+def _differences(texts: pd.Series, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
+    out = np.zeros(len(texts))
     for row, text in enumerate(texts):
         data = text.encode("utf-8", "replace") if isinstance(text, str) else b""
-        if not data:
-            continue
-        g = b = 0
-        for at in range(0, len(data), BLOCK):
-            block = data[at : at + BLOCK]
-            g += len(good.compress(block))
-            b += len(bad.compress(block))
-        out[row] = (g - b) / max(g, b), g / len(data)
+        blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+        out[row] = sum(len(bad.compress(x)) - len(good.compress(x)) for x in blocks) / max(1, len(data))
     return out
 
 
 def _score(x: np.ndarray, model: Model) -> np.ndarray:
-    z = (x - np.array(model.centre)) / np.array(model.scale)
-    z = np.where(np.isnan(z), 0.0, z)
-    return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(z)), z] @ np.array(model.weights), -30, 30)))
+    a, b = model.weights
+    return 1 / (1 + np.exp(-np.clip(a + b * x / model.scale, -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
@@ -84,7 +76,7 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     """Learn from labels(doc_id, quality) and the texts of docs; held-out rows are left aside. A float: no model, a base rate."""
-    marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    marked = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("quality").try_cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.xxhash64("doc_id", F.lit("fit"))
     # The bound of the sample: the labelled ids of lowest hash, of each label so many.
     chosen = {}
@@ -98,35 +90,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     for_dictionary = [i for i, (_, n, size) in chosen.items() if n < min(SAMPLE, (size + 1) // 2)]
     spark = docs.sparkSession
     roles = F.broadcast(spark.createDataFrame([(i, v[0], i in set(for_dictionary)) for i, v in chosen.items()], "doc_id long, _q int, _d boolean"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''").join(roles, "doc_id")
-    # a slice at a hashed place, so that it need not be a text's beginning
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1).cast("int") + 1
-    pieces = rows.where("_d").select("doc_id", "_q", F.substring(F.col("text"), start, F.lit(PIECE)).alias("piece")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").where("text <> ''").join(roles, "doc_id")
+    pieces = rows.where("_d").select("doc_id", "_q", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     made = {}
     for label in (1, 0):
-        own = [r.piece.encode("utf-8", "replace") for r in pieces if r._q == label]
+        own = [r.text.encode("utf-8", "replace") for r in pieces if r._q == label]
         try:
             made[label] = zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, own)) // 4)), own).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: its content itself is the dictionary
             made[label] = b"".join(own)[-DICTIONARY:] or b"-"
-    plain = Model(made[1], made[0], (0.0, 0.0), (1.0, 1.0), (0.0, 0.0, 0.0))
+    learnt = made[1], made[0]
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        good, bad = _coder(plain.good), _coder(plain.bad)
+        good, bad = map(_coder, learnt)
         for x in batches:
-            f = _features(x["text"], good, bad)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "q": x["_q"], "x0": f[:, 0], "x1": f[:, 1]})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "q": x["_q"], "x": _differences(x["text"], good, bad)})
 
-    got = rows.where("NOT _d").mapInPandas(measured, "doc_id long, q int, x0 double, x1 double").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    got = rows.where("NOT _d").mapInPandas(measured, "doc_id long, q int, x double").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     if got["q"].nunique() < 2:
         return float(np.mean(kinds))
-    x, y = got[["x0", "x1"]].to_numpy(), got["q"].to_numpy(float)
-    centre, scale = x.mean(0), x.std(0) + 1e-9
+    x, y = got["x"].to_numpy(), got["q"].to_numpy(float)
+    scale = float(x.std()) + 1e-9
     # The sample takes equal numbers of each label where it can; each row counts by its label's share of all labels.
-    share = dict(marked.groupBy("quality").count().where("quality IN (0, 1)").toPandas().to_numpy().tolist())
-    w = _logistic(np.c_[np.ones(len(x)), (x - centre) / scale], y)
+    share = dict(marked.groupBy("quality").count().toPandas().to_numpy().tolist())
+    a, b = _logistic(np.c_[np.ones(len(x)), x / scale], y)
     prior = np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return Model(plain.good, plain.bad, tuple(centre), tuple(scale), (w[0] + prior, *w[1:]))
+    return Model(*learnt, scale, (float(a + prior), float(b)))
 
 
 def score(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:
@@ -140,7 +129,7 @@ def score(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -
         def scored_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             good, bad = _coder(model.good), _coder(model.bad)
             for texts in batches:
-                yield pd.Series(_score(_features(texts, good, bad), model))
+                yield pd.Series(_score(_differences(texts, good, bad), model))
 
         scored = scored_texts(F.col("text"))
     return docs.withColumn("held_out", held_out()).withColumn("score", scored).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
