@@ -9,14 +9,15 @@ keep one such piece make a region. Regions go to shards by their piece, so all e
 
 Each shard sorts the suffixes of its distinct regions as Larsson and Sadakane do: groups of equal first bytes are refined
 by the rank of the suffix as many bytes further on, 8, 16, ... 128 and then SPAN, and only groups not yet single are touched.
-Common prefixes of neighbours come from the kept ranks of the levels (Kasai's walk is sequential; this gives its values, up
-to SPAN, for all neighbours at once). A window repeats if it shares SPAN bytes with a neighbour.
+Common prefixes of neighbours come from Kasai's walk through the text, taken through all regions side by side, up to SPAN bytes.
+A window repeats if it shares SPAN bytes with a neighbour.
 
 A piece with more than SPLIT occurrences is spread over several shards. Each of them gives every distinct window of such a
 piece as a 128-bit digest: with its place if it found no partner there, else once, counted as two. Spark adds the counts up
-over the shards, and a window whose sum exceeds one goes wherever it had no partner.
+over the shards, and a window whose sum exceeds one goes wherever it had no partner. (Searching every such shard's sorted array
+for the windows of each other one gives the same, but grows with the square of the shards.)
 
-Texts that occur more than once are handled once and go whole if they have SPAN bytes. Null and empty texts have no bytes.
+Texts that occur more than once are handled once and go whole if they have SPAN bytes; their rows are dealt out by a salt. Null and empty texts have no bytes.
 Columns of docs are not kept but doc_id (any value, null too). Repeated rows get equal results, one row each; two rows with
 equal doc_id and text are two occurrences. An empty table gives an empty result."""
 
@@ -30,11 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import materialize
+from lexispark.llm.common import materialize, maybe_broadcast
 
 SPAN, GRAM = 200, 32
 WINDOW = SPAN - GRAM + 1
 SPLIT = 2000
+#: Rows of a text with more than SPLIT copies are dealt to SALTS tasks; texts of that kind (20 bytes each) that may be broadcast.
+SALTS, BROADCAST_HOT = 64, 1_000_000
 SHARD_BYTES = 4_000_000
 PLACE_BITS = 24
 CHUNK = (1 << PLACE_BITS) - 4 * SPAN
@@ -129,7 +132,7 @@ def _cut(shards: int):
 
 
 def suffix_array(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at starts, sorted by their first SPAN bytes, and the common prefix of each with the next (SPAN at most).
+    """The suffixes at starts, sorted by their first SPAN bytes, and at each place of data the 8 bytes that begin there.
 
     data ends in 2 * SPAN bytes that no start reaches."""
     n = len(data) - SPAN
@@ -137,58 +140,75 @@ def suffix_array(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     for i in range(8):
         key = key << np.uint64(8) | data[i : i + n].astype(np.uint64)
     order = np.argsort(key)
-    levels = []
 
     def ranked(changed: np.ndarray) -> np.ndarray:
         return np.maximum.accumulate(np.where(changed, np.arange(len(changed)), 0))
 
     slot = ranked(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    rank = np.empty(n + SPAN, np.int64)
-    rank[n:] = 0
+    rank = np.zeros(n + SPAN, np.int64)
     rank[order] = slot
-    wanted = np.zeros(n, bool)
-    wanted[starts] = True
-    for step, to in ((8, 16), (16, 32), (32, 64), (64, 128), (72, SPAN)):
-        levels.append((to // 2 if to < SPAN else 128, rank.copy()))
+    for step in (8, 16, 32, 64, 72):
         alone = np.concatenate([slot[1:] != slot[:-1], [True]]) & np.concatenate([[True], slot[1:] != slot[:-1]])
         open_ = np.flatnonzero(~alone)  # slots of groups that hold several suffixes
         if not len(open_):
-            continue
+            break
         at = order[open_]
         by = slot[open_].astype(np.uint64) << np.uint64(32) | rank[at + step].astype(np.uint64)
         turned = np.argsort(by, kind="stable")
         order[open_], by = at[turned], by[turned]
         new = ranked(np.concatenate([[True], by[1:] != by[:-1]]))
         slot[open_] = open_[new]
-        rank = rank.copy()
         rank[order[open_]] = slot[open_]
-    sorted_ = order[wanted[order]]
-    a, b = sorted_[:-1], sorted_[1:]
-    common = np.zeros(len(a), np.int64)
-    for size, level in reversed(levels):
-        for _ in range(2 if size == 8 else 1):
-            # a rank one level down speaks for `size` bytes; never look beyond the window
-            same = (level[np.minimum(a + common, n)] == level[np.minimum(b + common, n)]) & (common + size <= SPAN)
-            common += same * size
-    for _ in range(8):
-        same = (common < SPAN) & (data[a + np.minimum(common, SPAN - 1)] == data[b + np.minimum(common, SPAN - 1)])
-        common += same
-    return sorted_, common
+    wanted = np.zeros(n, bool)
+    wanted[starts] = True
+    return order[wanted[order]], key
+
+
+def common_prefixes(order: np.ndarray, key: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many bytes (SPAN at most) each suffix of order shares with the one before it; the first with none.
+
+    Kasai's walk: if the suffix at i shares h bytes with the one before it in order, that at i + 1 shares h - 1 or more with its
+    own, provided that the earlier one's next suffix stands before it in order; else the count begins anew. All regions
+    (counts[r] suffixes from begins[r] on) take their step at once."""
+    place = np.full(len(key) + 1, -1, np.int64)
+    place[order] = np.arange(len(order))
+    found = np.zeros(len(order), np.int64)
+    turned = np.argsort(-counts, kind="stable")
+    begins, counts = begins[turned], counts[turned]
+    h, before = np.zeros(len(begins), np.int64), np.full(len(begins), len(key), np.int64)
+    for i in range(int(counts[0]) if len(counts) else 0):
+        live = int(np.searchsorted(-counts, -i, "left"))  # regions with more than i suffixes
+        at = begins[:live] + i
+        r = place[at]
+        follows = place[np.minimum(before[:live] + 1, len(key))]
+        h = np.where((follows >= 0) & (follows < r), np.maximum(h[:live] - 1, 0), 0)
+        before = np.where(r > 0, order[r - 1], len(key))
+        todo = np.flatnonzero((r > 0) & (h < SPAN))
+        while len(todo):
+            x = key[at[todo] + h[todo]] ^ key[before[todo] + h[todo]]
+            same = (x == 0).astype(np.int64)
+            for bits in range(8, 64, 8):  # leading bytes that agree
+                same += x < np.uint64(1 << bits)
+            h[todo] = np.minimum(h[todo] + same, SPAN)
+            todo = todo[(same == 8) & (h[todo] < SPAN)]
+        found[r] = np.where(r > 0, h, 0)
+    return found
 
 
 def repeated(regions: list[bytes], times: list[int]) -> list[np.ndarray]:
     """For each distinct region, which of its windows occur in another place; times: how often the region itself occurs."""
     data = np.frombuffer(b"".join(regions) + bytes(3 * SPAN), np.uint8)
-    ends = np.cumsum([len(r) for r in regions])
-    begins = ends - [len(r) for r in regions]
+    sizes = np.array([len(r) for r in regions], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
     valid = np.zeros(len(data), bool)
-    for b, e, in zip(begins, ends, strict=True):
+    for b, e in zip(begins, ends, strict=True):
         valid[b : e - SPAN + 1] = True
-    order, common = suffix_array(data, np.flatnonzero(valid))
+    order, key = suffix_array(data, np.flatnonzero(valid))
+    full = np.flatnonzero(common_prefixes(order, key, begins, ends - begins - SPAN + 1) >= SPAN)
     dup = np.zeros(len(data), bool)
-    full = common >= SPAN
-    dup[order[:-1][full]] = True
-    dup[order[1:][full]] = True
+    dup[order[full]] = True
+    dup[order[full - 1]] = True
     return [np.ones(e - b - SPAN + 1, bool) if t > 1 else dup[b : e - SPAN + 1] for b, e, t in zip(begins, ends, times, strict=True)]
 
 
@@ -252,7 +272,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     # written out, so that both sides of the join come from exchanges of their own and a hot piece's rows can be split
     twice = materialize(twice, "twice")
     hits = prints.select("print", "id", "at").join(twice, "print").groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("hits"))
-    one = long.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    one = materialize(long.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "one")
     mine = materialize(hits.join(one, "id").select("id", F.col("hits.at").alias("ats"), F.col("hits.n").alias("ns")), "hits")
     pieces = mine.agg(F.coalesce(F.sum(F.size("ats")), F.lit(0))).first()[0]
     shards = max(64, int(pieces * (WINDOW // 2 + SPAN) / SHARD_BYTES))
@@ -269,7 +289,12 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     whole = F.col("copies") > 1
     empty = F.sha2(F.lit("").cast("binary"), 256)
     own = rows.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("full_sha256"), *([F.col("text").cast("binary").alias("full")] if with_kept else []))
-    joined = own.join(result, ["t1", "t2"], "left")
+    # rows of a text with very many copies go to several tasks; there are few such texts, as each has SPLIT rows and more
+    hot = one.where(F.col("copies") > SPLIT).select("t1", "t2", F.lit(SALTS).alias("salts"))
+    salt = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.coalesce("salts", F.lit(1))).cast("int")
+    own = own.join(maybe_broadcast(hot, BROADCAST_HOT), ["t1", "t2"], "left").withColumn("salt", salt).drop("salts")
+    spread_out = F.explode(F.sequence(F.lit(0), F.when(F.col("copies") > SPLIT, SALTS - 1).otherwise(0)))
+    joined = own.join(result.withColumn("salt", spread_out), ["t1", "t2", "salt"], "left")
     return joined.select(
         "doc_id",
         "n_bytes",

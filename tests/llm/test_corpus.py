@@ -206,18 +206,39 @@ def test_suffix_removal(spark, monkeypatch, split):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
 
-def test_suffix_removal_of_windows_repeated_in_one_shard_and_single_in_another(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "SPLIT", 30)
-    rng = random.Random(41)
-    passage = prose(rng, 90)
+@pytest.mark.parametrize("split", [2, 3, 5])
+def test_suffix_removal_over_many_random_tables(spark, monkeypatch, split):
+    """60 tables in one, of words of their own each: groups of texts of any size share passages with borders of any length."""
+    monkeypatch.setattr(suffix, "SPLIT", split)
     texts = []
-    for _ in range(30):  # threes that share the passage and a border of their own
-        before, after = prose(rng, 18), prose(rng, 18)
-        texts += [prose(rng, 60) + before + passage + after + prose(rng, 60) for _ in range(3)]
+    for seed in range(60):
+        rng = random.Random(seed)
+        words = [f"{seed}.{i}" for i in range(rng.choice([3, 40, 4000]))]
+        some = lambda n, rng=rng, words=words: " ".join(rng.choice(words) for _ in range(n))
+        passages = [some(rng.randrange(30, 90)) for _ in range(3)]
+        borders = [some(rng.randrange(1, 40)) for _ in range(3)]
+        mine = []
+        for _ in range(rng.randrange(3, 14)):
+            mine.append(" ".join([some(rng.randrange(40)), *(f"{rng.choice(borders)} {rng.choice(passages)}" for _ in range(rng.randrange(3))), rng.choice(borders), some(rng.randrange(40))]))
+        texts += mine + rng.choices(mine, k=rng.randrange(3))
     got = suffix.remove_repeats(docs(spark, texts, edges=False)).collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(got, key=lambda r: r.doc_id)] == removed(texts)
 
 
+def test_common_prefixes_are_those_of_all_neighbours():
+    rng = np.random.default_rng(3)
+    regions = [bytes(rng.integers(97, 97 + rng.choice([1, 2, 26]), rng.integers(200, 380)).astype(np.uint8)) for _ in range(40)]
+    regions += [r[20:] + b"x" * 20 for r in regions[:10]]
+    data = np.frombuffer(b"".join(regions) + bytes(600), np.uint8)
+    ends = np.cumsum([len(r) for r in regions])
+    begins, counts = ends - [len(r) for r in regions], np.array([len(r) - 199 for r in regions])
+    order, key = suffix.suffix_array(data, np.concatenate([np.arange(b, b + n) for b, n in zip(begins, counts, strict=True)]))
+    windows = [data[i : i + 200].tobytes() for i in order]
+    assert windows == sorted(windows)
+    got = suffix.common_prefixes(order, key, begins, counts)
+    assert got.tolist() == [0] + [next((k for k in range(200) if a[k] != b[k]), 200) for a, b in zip(windows, windows[1:], strict=False)]
+
+
 # 5 near duplicates
 
 
