@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +60,26 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in each batch that goes to Python from here on, as texts may be long; results don't depend on it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, salts: int = 32) -> DataFrame:
+    """The inner join of big with a side that is small as a rule: broadcast if its row count, checked here, is within the bound.
+    Else it is repeated for each salt, so that a key that very many rows of big have is no single task's."""
+    if small.limit(rows + 1).count() <= rows:
+        return big.join(F.broadcast(small), on)
+    (salt,) = fresh(big, "salt")
+    spread = big.withColumn(salt, F.pmod(F.xxhash64(*kept(big)), F.lit(salts)).cast("int"))
+    return spread.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, salt]).drop(salt)
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within it, fewer rows in each batch that goes to Python, as texts may be long; results don't depend on it."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -15,8 +15,9 @@ No band's group is paired out. First each member meets the group's leader (small
 of one component need no further comparison. Those that are then outside their cluster's largest component meet the others
 in blocks of bounded size, inside tasks that return only a forest of links; this makes the links complete.
 
-Nulls: a null text has no words; a null doc_id is linked with nothing (its component_id is null, it is kept). Rows that
-repeat a doc_id are one node. Columns of docs are kept; n_shingles, component_id, kept replace columns of that name."""
+Nulls: a null text has no words; a doc_id that is null or no integer is linked with nothing (its component_id is null, it is
+kept). Rows that repeat a doc_id are one node. Columns of docs are kept, whatever their names; n_shingles, component_id, kept
+replace columns of that name. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import bounded_batches, components, fresh, kept, materialize, maybe_broadcast
+from lexispark.llm.common import bounded_batches, components, fresh, kept, materialize, maybe_broadcast, small_join
 
 BANDS, ROWS = 30, 4
 REGISTERS = BANDS * ROWS
@@ -36,8 +37,8 @@ SLACK = 0.2
 CHUNK = 4096
 #: The most sets, and shingles, of a block that meets another one in a task (about; hashing deals them out).
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
-#: Ids (16 bytes each) that may be broadcast to pick texts; more of them are shuffled.
-BROADCAST_IDS = 500_000
+#: Ids (16 bytes each) that may be broadcast to pick texts, and clusters (or their size classes); more of them are shuffled.
+BROADCAST_IDS = BROADCAST_CLUSTERS = 500_000
 
 _RANDOM = np.random.default_rng(20240501)
 _BYTES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
@@ -209,12 +210,15 @@ def _rest(rows: DataFrame, classes: DataFrame, members: DataFrame, found: DataFr
     loose = components(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     placed = loose.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = placed.join(classes.select("id", "th", "n"), "id")
+    placed = materialize(placed, "placed")
     parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("cluster").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("cluster", F.col("m.component").alias("main"))
+    mixed = materialize(mixed, "mixed")
     log = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int")
-    dealt = placed.join(mixed, "cluster").select("id", "th", "n", "cluster", "component", (F.col("component") != F.col("main")).alias("stray"), log.alias("size_class"))
+    dealt = small_join(placed, mixed, ["cluster"], BROADCAST_CLUSTERS).select("id", "th", "n", "cluster", "component", (F.col("component") != F.col("main")).alias("stray"), log.alias("size_class"))
     counts = dealt.groupBy("cluster", "stray", "size_class").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = dealt.join(counts, ["cluster", "stray", "size_class"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")).drop("blocks")
+    counts = materialize(counts, "counts")
+    dealt = small_join(dealt, counts, ["cluster", "stray", "size_class"], BROADCAST_CLUSTERS).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")).drop("blocks")
     dealt = materialize(dealt, "dealt")
     blocks = counts.select("cluster", "stray", "size_class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     own = ["stray", "size_class", "block"]
@@ -232,7 +236,11 @@ def _rest(rows: DataFrame, classes: DataFrame, members: DataFrame, found: DataFr
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, th, n_shingles, component): th is the text's xxhash64."""
-    bounded_batches(docs.sparkSession)
+    with bounded_batches(docs.sparkSession):
+        return _near_components(docs, words, percent)
+
+
+def _near_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     sketched = materialize(rows.mapInPandas(_sketch(words), "doc_id long, th long, n int, d1 long, d2 long, regs binary, bands array<long>"), "sketch")
     full = sketched.where("n > 0 AND doc_id IS NOT NULL")
