@@ -1,34 +1,36 @@
 """Tokens against annotation dictionaries.
 
 hit(file_id, token, cnt) holds a file's distinct tokens; tag(model, tag, class, is_regex, lang) the dictionary. A match is a
-hit and a node (model, class, tag). Literal tags are an equi join. Patterns meet the distinct tokens only, in a nested loop
-whose dictionary side is small; what matches is joined back by token. Malformed patterns are left out when the dictionary is
-checked (`valid_patterns`), as one of them would fail the whole job."""
+hit and a node (model, class, tag). Literal tags are an equi join. Patterns meet the distinct tokens only: those that begin or end
+with plain characters are joined on them and then verified, the others meet every token in a nested loop; what matches is joined
+back by token. Malformed patterns are left out (`valid_patterns`), as one of them would fail the whole job."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.columns import full_match, is_pattern, without_quotes
 
-#: Patterns of a dictionary that may be broadcast against the distinct tokens.
-MOST_PATTERNS = 50_000
+#: So many plain characters at either end of a pattern are joined on.
+MOST_PLAIN = 4
 
 
 def valid_patterns(tag: DataFrame) -> DataFrame:
-    """tag without rows whose pattern does not compile; the distinct patterns, a dictionary's size, are tried on the driver."""
-    spark = tag.sparkSession
-    rows = [r.tag for r in tag.where("is_regex").select("tag").distinct().limit(MOST_PATTERNS + 1).collect()]
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns")
-    bad = []
-    for p in rows:
-        try:
-            spark._jvm.java.util.regex.Pattern.compile(f"^(?:{p})$")
-        except Exception:  # noqa: BLE001 the JVM's PatternSyntaxException arrives wrapped
-            bad.append(p)
-    return tag.where(~(F.col("is_regex") & F.col("tag").isin(bad))) if bad else tag
+    """tag without rows whose pattern does not compile."""
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit("^(?:"), F.col("tag"), F.lit(")$")))
+    return tag.where(~F.col("is_regex") | compiled.isNotNull())
+
+
+def plain_ends(pattern: Column) -> tuple[Column, Column]:
+    """What every text that the pattern matches begins and ends with, as far as that is plain to see; empty where it isn't."""
+    # an alternative outside brackets, or an embedded flag, can change both ends
+    open_ = pattern.rlike(r"^[^(]*\||\)[^(]*\||\(\?|\\\\Q")
+    head = F.regexp_extract(pattern, r"^([A-Za-z0-9]*)", 1)
+    head = F.when(F.substring(pattern, F.length(head) + 1, F.lit(1)).isin("*", "?", "{"), F.substring(head, F.lit(1), F.greatest(F.length(head) - 1, F.lit(0)))).otherwise(head)
+    tail = F.regexp_extract(pattern, r"(?:^|[^A-Za-z0-9\\])([A-Za-z0-9]*)$", 1)
+    none = F.lit("")
+    return F.when(open_, none).otherwise(F.substring(head, 1, MOST_PLAIN)), F.when(open_, none).otherwise(F.substring(tail, F.greatest(F.length(tail) - MOST_PLAIN + 1, F.lit(1)), F.lit(MOST_PLAIN)))
 
 
 def prefilter(hit: DataFrame, tag: DataFrame) -> DataFrame:
@@ -43,9 +45,16 @@ def literal_matches(hit: DataFrame, tag: DataFrame) -> DataFrame:
 
 
 def regex_matches(hit: DataFrame, tag: DataFrame) -> DataFrame:
-    patterns = valid_patterns(tag.where("is_regex")).select("model", "class", "tag", "lang")
+    head, tail = plain_ends(F.col("tag"))
+    patterns = valid_patterns(tag.where("is_regex")).select("model", "class", "tag", "lang", head.alias("head"), tail.alias("tail"))
     tokens = hit.select("token").distinct().withColumn("_t", without_quotes(F.col("token")))
-    found = tokens.join(F.broadcast(patterns), full_match(F.col("_t"), F.col("tag"))).drop("_t")
+    sizes = F.sequence(F.lit(1), F.least(F.length("_t"), F.lit(MOST_PLAIN)))
+    begin = F.explode(F.when(F.length("_t") > 0, F.transform(sizes, lambda n: F.substring("_t", F.lit(1), n)))).alias("head")
+    end = F.explode(F.when(F.length("_t") > 0, F.transform(sizes, lambda n: F.substring("_t", F.length("_t") - n + 1, n)))).alias("tail")
+    by_head = tokens.select("token", "_t", begin).join(patterns.where("head <> ''").drop("tail"), "head").drop("head")
+    by_tail = tokens.select("token", "_t", end).join(patterns.where("head = '' AND tail <> ''").drop("head"), "tail").drop("tail")
+    rest = tokens.join(patterns.where("head = '' AND tail = ''").drop("head", "tail"))
+    found = by_head.unionByName(by_tail).unionByName(rest).where(full_match(F.col("_t"), F.col("tag"))).drop("_t")
     return hit.join(found, "token").select(*hit.columns, "model", "class", "tag", "lang").withColumn("kind", F.lit("pattern"))
 
 

@@ -9,13 +9,13 @@ COVERAGE = 0.4
 
 
 def scores(hit: DataFrame, found: DataFrame) -> DataFrame:
-    """Per file and model: different_hit_types (nodes), exclusive_hit_types (nodes reached by hits with one match),
+    """Per file and model: different_hit_types (nodes, each a class with its tag), exclusive_hit_types (nodes reached by hits with one match),
     hit_count_total and exclusive_hit_count_total (counts, each node once: of its hits the largest, then the least token),
     coverage (nodes per distinct token of the file)."""
     # Hits of one file are bounded by its own tokens, so grouping by (file, token) is safe for hot tokens.
     degree = found.groupBy("file_id", "token").agg(F.count("*").alias("degree"))
     edges = found.join(degree, ["file_id", "token"])
-    node = edges.groupBy("file_id", "model", "tag").agg(F.max("cnt").alias("cnt"), F.max(F.when(F.col("degree") == 1, F.col("cnt"))).alias("own"))
+    node = edges.groupBy("file_id", "model", "class", "tag").agg(F.max("cnt").alias("cnt"), F.max(F.when(F.col("degree") == 1, F.col("cnt"))).alias("own"))
     per_file = hit.groupBy("file_id").agg(F.count("*").alias("tokens"))
     by_model = node.groupBy("file_id", "model").agg(
         F.count("*").alias("different_hit_types"),

@@ -26,6 +26,7 @@ TAGS = [
     ("MIXLEX", "Determiner", "the", False, ""),
     ("MIXLEX", "Determiner", "la", False, ""),
     ("MIXLEX", "Symbol", "a", False, ""),
+    ("MIXLEX", "Pronoun", "la", False, ""),
     ("MIXLEX", "Adverb", "th(er|is|at)", True, ""),
 ]
 #: Class edges with a diamond, a cycle and an anonymous node: src is below dst.
@@ -101,7 +102,7 @@ resource_file AS (
 ), found AS (
   SELECT m.* FROM (SELECT * FROM literal_match UNION ALL SELECT * FROM regex_match) m LEFT JOIN file_language f USING (file_id) WHERE m.lang = '' OR m.lang = f.lang
 ), edges AS (SELECT *, count(*) OVER (PARTITION BY file_id, token) AS degree FROM found),
-node AS (SELECT file_id, model, tag, max(cnt) AS cnt, max(cnt) FILTER (degree = 1) AS own FROM edges GROUP BY ALL),
+node AS (SELECT file_id, model, class, tag, max(cnt) AS cnt, max(cnt) FILTER (degree = 1) AS own FROM edges GROUP BY ALL),
 scores AS (
   SELECT file_id, model, count(*)::BIGINT AS different_hit_types, count(own)::BIGINT AS exclusive_hit_types, sum(cnt)::BIGINT AS hit_count_total, coalesce(sum(own), 0)::BIGINT AS exclusive_hit_count_total,
     round(count(*)::DOUBLE / any_value(t.tokens), 6) AS coverage

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexispark.operators import graph, matching, roles
 from lexispark.plans import derived as t
 from lexispark.plans.derived import SQL
+from lexispark.plans.durable import written
 
 #: Tabular cells: each conversation is a file, its turns are rows with an index, a role, a text and a feature column.
 CELLS = """, conll AS (
@@ -59,7 +60,7 @@ def closure(s, d):
 
 @query("lowest_classes", "SELECT DISTINCT file_id, class FROM found f WHERE NOT EXISTS (SELECT 1 FROM found g JOIN closure c ON g.class = c.src WHERE g.file_id = f.file_id AND c.dst = f.class)")
 def lowest_classes(s, d):
-    found = matching.matches(t.token_count(s, d), t.tag_dict(s), t.file_language(s, d))
+    found = matching.matches(written(t.token_count(s, d)), t.tag_dict(s), t.file_language(s, d)).select("file_id", "class").distinct()
     return graph.lowest(found, graph.closure(t.class_edge(s)), "file_id", "class")
 
 
@@ -91,7 +92,7 @@ def tag_to_concept(s, d):
 
 @query("concepts_of_hits", f"SELECT DISTINCT file_id, token, c.dst AS concept FROM found JOIN closure c ON class = src WHERE c.dst IN ({', '.join(repr(x) for x in TOP)}) AND src <> dst")
 def concepts_of_hits(s, d):
-    found = matching.matches(t.token_count(s, d), t.tag_dict(s), t.file_language(s, d))
+    found = matching.matches(written(t.token_count(s, d)), t.tag_dict(s), t.file_language(s, d))
     mapped = graph.concepts(t.tag_dict(s), graph.closure(t.class_edge(s)), _top(s))
     return found.join(mapped.drop("tag").distinct(), "class").select("file_id", "token", "concept").distinct()
 
@@ -127,12 +128,12 @@ def models_by_namespace(s, d):
     return graph.named_models(t.tag_dict(s).select("class").distinct(), s.createDataFrame(NAMES, "ordinal int, model string, namespace string"))
 
 
-@query("orphan_hits", "SELECT file_id, token, cnt FROM token_count c WHERE length(token) = 4 AND NOT EXISTS (SELECT 1 FROM found f WHERE f.file_id = c.file_id AND f.token = c.token)")
+@query("orphan_hits", "SELECT c.file_id, c.token, c.cnt FROM token_count c LEFT JOIN (SELECT DISTINCT file_id, token FROM found) f ON f.file_id = c.file_id AND f.token = c.token WHERE f.token IS NULL")
 def orphan_hits(s, d):
-    hit = t.token_count(s, d)
+    hit = written(t.token_count(s, d))
     found = matching.matches(hit, t.tag_dict(s), t.file_language(s, d))
     key = F.concat_ws(":", F.col("file_id").cast("string"), "token").alias("hit_id")
-    named = hit.where(F.length("token") == 4).select("file_id", "token", "cnt", key, F.lit("t").alias("kind"))
+    named = hit.select("file_id", "token", "cnt", key, F.lit("t").alias("kind"))
     return graph.orphans(named, found.select(key), "l").select("file_id", "token", "cnt")
 
 

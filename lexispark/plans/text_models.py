@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from lexispark.operators import matching, scoring, search
 from lexispark.plans import derived as t
 from lexispark.plans.derived import SQL
+from lexispark.plans.durable import written
 
 
 def _found(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    hit = t.token_count(s, d)
-    return hit, matching.matches(hit, t.tag_dict(s), t.file_language(s, d))
+    """A file's tokens and their matches, written out: scores, degrees and properties read them, no text is split again."""
+    hit = written(t.token_count(s, d))
+    return hit, written(matching.matches(hit, t.tag_dict(s), t.file_language(s, d)))
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
@@ -107,9 +109,9 @@ def total_token_counts(s, d):
     return found.join(hit.groupBy("file_id").agg(F.sum("cnt").cast("long").alias("total")), "file_id").select("file_id", "token", "model", "tag", "total")
 
 
-@query("recovered_denominator", "SELECT file_id, model, round(different_hit_types / coverage)::BIGINT AS tokens FROM scores WHERE coverage >= 0.05")
+@query("recovered_denominator", "SELECT file_id, model, round(different_hit_types / coverage)::BIGINT AS tokens FROM scores WHERE coverage > 0")
 def recovered_denominator(s, d):
-    return scoring.scores(*_found(s, d)).where("coverage >= 0.05").select("file_id", "model", F.round(F.col("different_hit_types") / F.col("coverage")).cast("long").alias("tokens"))
+    return scoring.scores(*_found(s, d)).where("coverage > 0").select("file_id", "model", F.round(F.col("different_hit_types") / F.col("coverage")).cast("long").alias("tokens"))
 
 
 def _languages(s, d):
@@ -133,9 +135,9 @@ def search_and(s, d):
     return search.all_of(_languages(s, d), ["eng", "deu"], only_selected=False)
 
 
-@query("search_and_models", "SELECT url FROM resource_file WHERE selected AND source IN ('src0', 'src1') GROUP BY url HAVING count(DISTINCT source) = 2")
+@query("search_and_models", "SELECT url FROM resource_file WHERE selected AND source IN ('src0', 'src2') GROUP BY url HAVING count(DISTINCT source) = 2")
 def search_and_models(s, d):
-    return search.all_of(_sources(s, d), ["src0", "src1"])
+    return search.all_of(_sources(s, d), ["src0", "src2"])
 
 
 @query("search_exclusive_or", "SELECT DISTINCT url FROM resource_file WHERE selected AND lang IN ('eng', 'spa') AND url IN (SELECT url FROM resource_file GROUP BY url HAVING count(DISTINCT lang) = 1)")
