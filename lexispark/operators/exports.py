@@ -17,12 +17,24 @@ def escaped(value: Column) -> Column:
     return out
 
 
+def iri(value: Column) -> Column:
+    """An IRI in its brackets, characters that must not stand in them as percent codes."""
+    for char in ("<", ">", '"', "{", "}", "|", "^", "`", "\\", " ", "\n", "\r", "\t"):
+        value = F.replace(value, F.lit(char), F.lit(f"%{ord(char):02X}"))
+    return F.concat(F.lit("<"), value, F.lit(">"))
+
+
+def xml_text(value: Column) -> Column:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(char), F.lit(name))
+    return value
+
+
 def ntriples(files: DataFrame) -> DataFrame:
     """(line) of accepted files: a data set per resource, a distribution per file, the languages."""
-    uri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    line = lambda p, o: F.concat(uri(F.col("url")), F.lit(f" <{p}> "), o, F.lit(" ."))
+    line = lambda p, o: F.concat(iri(F.col("url")), F.lit(f" <{p}> "), o, F.lit(" ."))
     node = F.concat("url", F.lit("#"), F.sha2(F.col("file_id").cast("string"), 256))
-    lines = F.array(line(TYPE, F.lit(f"<{DATASET}>")), line(DISTRIBUTION, uri(node)), line(LANGUAGE, F.concat(F.lit('"'), escaped(F.col("lang")), F.lit('"'))))
+    lines = F.array(line(TYPE, F.lit(f"<{DATASET}>")), line(DISTRIBUTION, iri(node)), line(LANGUAGE, F.concat(F.lit('"'), escaped(F.col("lang")), F.lit('"'))))
     return files.where("status = 'ACCEPTED'").select(F.explode(lines).alias("line")).distinct()
 
 
@@ -34,8 +46,8 @@ def nested_json(files: DataFrame) -> DataFrame:
 
 def records(files: DataFrame) -> DataFrame:
     """(url, record): a library record as XML text."""
-    safe = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    per = files.groupBy("url").agg(F.array_join(F.sort_array(F.collect_set("lang")), " ").alias("l"), F.count("*").alias("n"))
+    safe = xml_text(F.col("url"))
+    per = files.groupBy("url").agg(xml_text(F.array_join(F.sort_array(F.collect_set("lang")), " ")).alias("l"), F.count("*").alias("n"))
     return per.select("url", F.concat(F.lit("<record><identifier>"), safe, F.lit("</identifier><languages>"), "l", F.lit("</languages><files>"), F.col("n").cast("string"), F.lit("</files></record>")).alias("record"))
 
 

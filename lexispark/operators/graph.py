@@ -1,10 +1,13 @@
 """Class graphs: edge(src, dst, relation), src standing below dst.
 
-Paths are walked by a recursive query (`paths`) that carries the nodes passed, so cycles end. Where only reachability counts,
-`closure` joins and deduplicates to a fixpoint instead, which stays small when paths are many."""
+Paths are walked by a recursive query (`paths`) that carries the nodes passed, so cycles end; what it returns can be exponential
+in the graph. Where only reachability counts, `closure` joins and deduplicates to a fixpoint instead, and `shortest` keeps one
+path per node."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,19 +23,21 @@ def build(triples: DataFrame) -> DataFrame:
     return triples.select(F.col("s").alias("src"), F.col("o").alias("dst"), F.try_element_at(relation, name).alias("relation")).where("relation IS NOT NULL").distinct()
 
 
-def paths(edge: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """(src, dst, path): every simple path of at least one edge, from start(src) if given."""
+def paths(edge: DataFrame, start: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
+    """(src, dst, path): every simple path of at least one edge and at most `depth`, from start(src) if given."""
     spark = edge.sparkSession
-    edge.select("src", "dst").distinct().createOrReplaceTempView("_edge")
-    first = "_edge"
-    if start is not None:
-        edge.select("src", "dst").distinct().join(start.select("src").distinct(), "src", "left_semi").createOrReplaceTempView("_first")
-        first = "_first"
-    return spark.sql(f"""
-        WITH RECURSIVE p(src, dst, path) MAX RECURSION LEVEL {DEPTH} AS (
+    edges, first = (f"lexispark_{uuid.uuid4().hex}" for _ in range(2))
+    pairs = edge.select("src", "dst").distinct()
+    pairs.createOrReplaceTempView(edges)
+    (pairs if start is None else pairs.join(start.select("src").distinct(), "src", "left_semi")).createOrReplaceTempView(first)
+    found = spark.sql(f"""
+        WITH RECURSIVE p(src, dst, path) MAX RECURSION LEVEL {depth} AS (
           SELECT src, dst, array(src, dst) FROM {first} WHERE src <> dst
-          UNION ALL SELECT p.src, e.dst, concat(p.path, array(e.dst)) FROM p JOIN _edge e ON p.dst = e.src WHERE NOT array_contains(p.path, e.dst)
+          UNION ALL SELECT p.src, e.dst, concat(p.path, array(e.dst)) FROM p JOIN {edges} e ON p.dst = e.src WHERE NOT array_contains(p.path, e.dst)
         ) SELECT src, dst, path FROM p""")
+    for name in (edges, first):
+        spark.catalog.dropTempView(name)
+    return found
 
 
 def closure(edge: DataFrame, rounds: int = 30) -> DataFrame:
@@ -56,10 +61,23 @@ def lowest(members: DataFrame, closed: DataFrame, group: str, node: str) -> Data
     return members.select(group, node).distinct().join(below, [group, node], "left_anti")
 
 
-def shortest(found: DataFrame, targets: DataFrame) -> DataFrame:
-    """(src, dst, path): the shortest path from each src to a target, the least by its nodes among equals; anonymous nodes hidden."""
-    hit = found.join(targets.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
-    one = hit.groupBy("src").agg(F.min(F.struct(F.size("path").alias("n"), "path", "dst")).alias("m"))
+def shortest(edge: DataFrame, targets: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(src, dst, path): the shortest path of one edge or more from each src to a target, the least by its nodes among equals;
+    anonymous nodes hidden. Breadth first, back from the targets: a round keeps the least path per node and target, so diamonds
+    cost nothing extra; each round is written out."""
+    from lexispark.plans.durable import written
+
+    pairs = written(edge.select("src", "dst").where("src <> dst").distinct())
+    front = pairs.join(targets.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", F.array("src", "dst").alias("path"))
+    front = known = written(front)
+    for _ in range(rounds):
+        step = pairs.select(F.col("src").alias("before"), F.col("dst").alias("src")).join(front, "src").where("before <> dst")
+        best = step.groupBy(F.col("before").alias("src"), "dst").agg(F.min("path").alias("path"))
+        front = written(best.select("src", "dst", F.concat(F.array("src"), "path").alias("path")).join(known.select("src", "dst"), ["src", "dst"], "left_anti"))
+        if front.isEmpty():
+            break
+        known = written(known.union(front))
+    one = known.groupBy("src").agg(F.min(F.struct(F.size("path").alias("n"), "path", "dst")).alias("m"))
     return one.select("src", F.col("m.dst").alias("dst"), visible(F.col("m.path")).alias("path"))
 
 
@@ -73,11 +91,14 @@ def longest(found: DataFrame, node: str) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(node, visible(F.col("path")).alias("path"))
 
 
-def reach_suffix(found: DataFrame, suffix: str) -> DataFrame:
-    """Nodes from which one that ends in suffix is reached, or that do themselves."""
-    up = found.where(F.col("dst").endswith(suffix)).select(F.col("src").alias("node"))
-    own = found.where(F.col("src").endswith(suffix)).select(F.col("src").alias("node"))
-    return up.union(own).distinct()
+def reach_suffix(edge: DataFrame, closed: DataFrame, suffix: str, tier: DataFrame | None = None) -> DataFrame:
+    """Nodes that end in suffix or are of tier(node, tier) FEATS, and those from which such a node is reached."""
+    nodes = edge.select(F.col("src").alias("node")).union(edge.select("dst")).distinct()
+    goal = nodes.where(F.col("node").endswith(suffix))
+    if tier is not None:
+        goal = goal.union(nodes.join(tier.where("tier = 'FEATS'"), "node", "left_semi")).distinct()
+    below = closed.join(goal.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+    return below.union(goal).distinct()
 
 
 def concepts(tags: DataFrame, closed: DataFrame, top: DataFrame) -> DataFrame:
@@ -87,7 +108,7 @@ def concepts(tags: DataFrame, closed: DataFrame, top: DataFrame) -> DataFrame:
 
 def named_models(classes: DataFrame, namespaces: DataFrame) -> DataFrame:
     """(class, model): the model whose namespace pattern matches the class; the later namespace (ordinal) overrides."""
-    hit = classes.join(F.broadcast(namespaces), F.expr("class RLIKE concat('^(?:', namespace, ')')"))
+    hit = classes.join(namespaces, F.expr("class RLIKE concat('^(?:', namespace, ')')"))
     return hit.groupBy("class").agg(F.max_by("model", "ordinal").alias("model"))
 
 

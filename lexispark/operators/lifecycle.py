@@ -46,13 +46,13 @@ def guarded(old: Column, new: Column) -> Column:
 
 
 def update_state(found: DataFrame, known: DataFrame) -> DataFrame:
-    """found(url, size, hash) with state: Invalid (no size), Duplicate (the hash under another URL), NotInDB, Changed, NotChanged."""
+    """found(url, size, hash, ...) with state, against known of one row per url: Invalid (no size), Duplicate (the hash under another URL), NotInDB, Changed, NotChanged."""
     by_url = known.select("url", F.col("hash").alias("_hash"), F.col("size").alias("_size"))
     others = known.where("hash <> ''").groupBy("hash").agg(F.min("url").alias("_first"), F.max("url").alias("_last"))
     joined = found.join(by_url, "url", "left").join(others, "hash", "left")
     elsewhere = (F.col("_first") != F.col("url")) | (F.col("_last") != F.col("url"))
     state = F.when(F.coalesce("size", F.lit(0)) <= 0, "Invalid").when(elsewhere & F.col("_hash").isNull(), "Duplicate").when(F.col("_hash").isNull(), "NotInDB").when((F.col("_hash") != F.col("hash")) | (F.col("_size") != F.col("size")), "Changed").otherwise("NotChanged")
-    return joined.select("url", state.alias("state"))
+    return joined.select(*found.columns, state.alias("state"))
 
 
 def same_hash(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -118,9 +118,9 @@ def propagated(source: DataFrame, target: DataFrame) -> DataFrame:
     of the source are added or kept, others are removed."""
     columns = F.sort_array(F.collect_set("col"))
     wanted = source.agg(columns.alias("cols"))
-    fits = target.groupBy("file_id").agg(columns.alias("cols")).join(F.broadcast(wanted), "cols").select("file_id")
+    fits = target.groupBy("file_id").agg(columns.alias("cols")).join(wanted, "cols").select("file_id")
     mine = target.join(fits, "file_id", "left_semi").select("file_id", "col", "value").distinct().withColumn("_t", F.lit(True))
-    given = fits.join(F.broadcast(source.select("col", "value").distinct())).withColumn("_s", F.lit(True))
+    given = fits.crossJoin(source.select("col", "value").distinct()).withColumn("_s", F.lit(True))
     both = given.join(mine, ["file_id", "col", "value"], "full_outer")
     return both.select("file_id", "col", "value", F.when(F.col("_t").isNull(), "added").when(F.col("_s").isNull(), "removed").otherwise("kept").alias("state"))
 

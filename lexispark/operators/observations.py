@@ -11,6 +11,17 @@ MOST_LITERAL = 35
 #: Predicates whose objects are remarks, and those that name languages.
 REMARKS = ("#comment", "#versionInfo", "#label")
 LANGUAGE_PREDICATES = ("language", "lang", "inLanguage")
+#: Words that tell of language resources, with their weights.
+BUZZ_WORDS = {
+    "language": 1, "phonolog": 1, "lexic": 1, "synta": 1, "morpholog": 1, "annotat": 1, "gramma": 1, "linguistic": 1, "corpus": 1, "corpora": 1, "verb": 1, "noun": 1, "semantic": 1,
+    "subject": 1, "object": 1, "library": 1, "database": 1, "dataset": 1, "resource": 1, "linked data": 1, "language resource": 1000, "semantic web": 1000, "text corp": 1000, "llod": 1000,
+    "rdf": 1000, "conll": 1000, "sparql": 1000,
+}
+
+
+def buzz_score(text: Column) -> Column:
+    """The weights of the words that the text holds, as they are written, each once."""
+    return sum((F.when(text.contains(w), n).otherwise(0) for w, n in BUZZ_WORDS.items()), F.lit(0)).cast("long")
 
 
 def object_allowed(p: Column, o: Column, kind: Column) -> Column:
@@ -29,7 +40,10 @@ def object_counts(triples: DataFrame) -> DataFrame:
 
 def sampled_object_counts(triples: DataFrame, most: int, order: str) -> DataFrame:
     """Counts while sampling: once a predicate has `most` different objects, counting of its objects stops altogether."""
-    first = triples.groupBy("p", "o").agg(F.min(order).alias("at"))
+    first = triples.groupBy("p", "o").agg(F.min(order).alias("at")).withColumn("salt", F.pmod(F.xxhash64("o"), F.lit(64)))
+    # the first `most` of each part hold the first `most` of all, so a predicate with very many objects is no single task's
+    part = Window.partitionBy("p", "salt").orderBy("at", "o")
+    first = first.withColumn("k", F.row_number().over(part)).where(F.col("k") <= most).drop("k", "salt")
     last = first.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("at", "o"))).where(F.col("n") == most).select("p", F.col("at").alias("stop"))
     return triples.join(last, "p", "left").where(F.col("stop").isNull() | (F.col(order) <= F.col("stop"))).groupBy("p", "o").agg(F.count("*").alias("cnt"))
 
@@ -37,13 +51,13 @@ def sampled_object_counts(triples: DataFrame, most: int, order: str) -> DataFram
 def allowed_predicates(objects: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(p, allowed): whether any object of the predicate is in the dictionary."""
     known = dictionary.select(F.col("tag").alias("o")).distinct().withColumn("known", F.lit(True))
-    return objects.join(F.broadcast(known), "o", "left").groupBy("p").agg(F.bool_or(F.coalesce("known", F.lit(False))).alias("allowed"))
+    return objects.join(known, "o", "left").groupBy("p").agg(F.bool_or(F.coalesce("known", F.lit(False))).alias("allowed"))
 
 
 def found_per_attribute(objects: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(p, tags): the dictionary's tags among each predicate's objects; an empty list stays."""
     known = dictionary.select(F.col("tag").alias("o")).distinct().withColumn("tag", F.col("o"))
-    return objects.join(F.broadcast(known), "o", "left").groupBy("p").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    return objects.join(known, "o", "left").groupBy("p").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
 
 
 def predicate_quality(seen: DataFrame) -> DataFrame:
@@ -55,7 +69,7 @@ def predicate_quality(seen: DataFrame) -> DataFrame:
 
 def vocabularies(namespaces: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Vocabularies of which a namespace is the beginning, or that begin a namespace."""
-    return namespaces.select("namespace").distinct().join(F.broadcast(dictionary), F.expr("startswith(namespace, prefix) OR startswith(prefix, namespace)")).select("vocabulary").distinct()
+    return namespaces.select("namespace").distinct().join(dictionary, F.expr("startswith(namespace, prefix) OR startswith(prefix, namespace)")).select("vocabulary").distinct()
 
 
 def by_format(urls: DataFrame) -> DataFrame:

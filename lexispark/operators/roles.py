@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 POS_SHARE, SAMPLE_TOKENS, NUMERIC_TAGS = 0.4, 40, 100
 #: Feature names that carry no annotation.
-IGNORED = ["SpaceAfter", "SpacesAfter", "SpacesBefore", "Translit", "LTranslit", "Gloss", "Ref", "Entity", "Bridge", "start_char", "end_char", "ner"]
+IGNORED = [
+    "word", "msd", "Translit", "LTranslit", "ref", "Gloss", "MGloss", "MSeg", "LGloss", "LId", "LDeriv", "Vib", "PLemma", "PForm", "Root", "VForm", "Vform", "MorphInd",
+    "MWE", "LvtbNodeId", "Id", "En", "Orig", "Morphs", "Offset", "LNumValue", "ChunkId", "Tam", "AltTag", "Alt", "Morf",
+]
 DELIMITERS = ["+", "|", ":", ",", "-", "."]
 
 
@@ -46,13 +49,13 @@ def feature_columns(cell: DataFrame) -> DataFrame:
 
 def pattern_columns(cell: DataFrame) -> DataFrame:
     """(file_id, col, delimiter, n): columns with three values or more built of parts with a delimiter; a hyphen also needs more
-    than two parts on average."""
+    than two parts on average, and as many in every value (a word now and then has a hyphen, too)."""
     delimiters = cell.sparkSession.createDataFrame([(d,) for d in DELIMITERS], "delimiter string")
     quoted = F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E"))
     form = F.concat(F.lit("^([A-Za-z0-9]+"), quoted, F.lit(")+[A-Za-z0-9]+$"))
     hit = cell.join(F.broadcast(delimiters)).where(F.regexp("value", form))
     parts = F.length("value") - F.length(F.expr("replace(value, delimiter, '')")) + 1
-    return hit.groupBy("file_id", "col", "delimiter").agg(F.count("*").alias("n"), F.avg(parts).alias("parts")).where("n >= 3 AND (delimiter <> '-' OR parts > 2)").select("file_id", "col", "delimiter", "n")
+    return hit.groupBy("file_id", "col", "delimiter").agg(F.count("*").alias("n"), F.avg(parts).alias("parts"), F.count_distinct(parts).alias("forms")).where("n >= 3 AND (delimiter <> '-' OR parts > 2 AND forms = 1)").select("file_id", "col", "delimiter", "n")
 
 
 def pos_columns(cell: DataFrame, tag: DataFrame) -> DataFrame:
@@ -75,10 +78,12 @@ def vector_columns(cell: DataFrame) -> DataFrame:
     return one.groupBy("file_id").agg(F.min("col").alias("col"))
 
 
-def text_columns(cell: DataFrame, rows: DataFrame) -> DataFrame:
-    """Columns with a vocabulary of a third of the rows or of 140, and no _."""
+def text_columns(cell: DataFrame, rows: DataFrame, spoken: DataFrame | None = None) -> DataFrame:
+    """Columns with a vocabulary of a third of the rows or of 140, and no _; of these, if given, those of spoken(file_id, col), in
+    which a language has been detected."""
     per = cell.groupBy("file_id", "col").agg(F.count_distinct("value").alias("types"), F.bool_or(F.col("value") == "_").alias("blank"))
-    return per.join(rows, "file_id").where("NOT blank AND (types >= rows / 3 OR types >= 140)").select("file_id", "col")
+    found = per.join(rows, "file_id").where("NOT blank AND (types >= rows / 3 OR types >= 140)").select("file_id", "col")
+    return found if spoken is None else found.join(spoken.select("file_id", "col").distinct(), ["file_id", "col"], "left_semi")
 
 
 def column_tokens(cell: DataFrame, separator: str = ":") -> DataFrame:

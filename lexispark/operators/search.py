@@ -50,7 +50,7 @@ def by_single_type(types: DataFrame, wanted: str) -> DataFrame:
     """Resources of a type; UNKNOWN means that it is the only type edge."""
     if wanted != "UNKNOWN":
         return types.where(F.col("type") == wanted).select("url").distinct()
-    return types.groupBy("url").agg(F.count("*").alias("n"), F.max("type").alias("type")).where("n = 1 AND type = 'UNKNOWN'").select("url")
+    return types.distinct().groupBy("url").agg(F.count("*").alias("n"), F.max("type").alias("type")).where("n = 1 AND type = 'UNKNOWN'").select("url")
 
 
 def with_status(files: DataFrame, status: str, every: bool) -> DataFrame:

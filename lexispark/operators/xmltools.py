@@ -18,8 +18,11 @@ def frequencies(overview: DataFrame) -> DataFrame:
 
 def reduced(counts: DataFrame, most: int) -> DataFrame:
     """The most frequent values of each attribute, at most so many."""
-    w = Window.partitionBy("path", "attr").orderBy(F.col("n").desc(), "value")
-    return counts.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+    order = [F.col("n").desc(), F.col("value")]
+    some = counts.withColumn("_s", F.pmod(F.xxhash64("value"), F.lit(64)))
+    for keys in (["path", "attr", "_s"], ["path", "attr"]):  # first within parts, as an attribute can have very many values
+        some = some.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= most)
+    return some.drop("_k", "_s")
 
 
 def key_space(overview: DataFrame) -> DataFrame:
@@ -54,13 +57,16 @@ def word_path(overview: DataFrame) -> DataFrame:
 
 def sentence_path(overview: DataFrame) -> DataFrame:
     """The longest beginning that all paths of several elements share; if it is the word path itself, without its last element."""
+    from lexispark.plans.durable import written
+
     counts = overview.where("attr = ''").groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
     parts = counts.select("path", F.posexplode(F.expr("slice(split(path, '/'), 2, 100)")).alias("at", "element"))
+    counts = written(counts)
     total = counts.agg(F.count("*").alias("total"))
     shared = parts.groupBy("at").agg(F.count_distinct("element").alias("types"), F.count("*").alias("n"), F.first("element").alias("element")).join(F.broadcast(total))
     kept = shared.where("types = 1 AND n = total").agg(F.sort_array(F.collect_list(F.struct("at", "element"))).alias("s"))
     prefix = kept.select(F.concat(F.lit("/"), F.array_join(F.transform(F.filter("s", lambda x, i: x["at"] == i), lambda x: x["element"]), "/")).alias("path"))
-    word = word_path(overview).select(F.col("path").alias("word"))
+    word = counts.agg(F.max(F.struct("n", "path")).alias("m")).select(F.col("m.path").alias("word"))
     return prefix.join(F.broadcast(word)).select(F.when(F.col("path") == F.col("word"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")).alias("path"))
 
 

@@ -8,6 +8,7 @@ from lexispark.functions.columns import first_lines, format_of, host_of, last_se
 from lexispark.operators import exports, lifecycle, observations, xmltools
 from lexispark.plans import derived as t
 from lexispark.plans.derived import SQL
+from lexispark.plans.durable import written
 from lexispark.sources import readers
 
 Q: dict = {}
@@ -128,8 +129,10 @@ def url_pool(s, d):
     return observations.pool(p, p.where("page_id % 5 = 0"))
 
 
-@query("html_links", """SELECT page_id, href, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '/') THEN base || href ELSE base || '/' || href END AS url
-  FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS href FROM pages)""")
+@query("html_links", r"""SELECT page_id, href, url, contains(regexp_extract(url, '^[^/]+//[^/?#]*(?:/[^/?#]*)*/([^/?#]*)', 1), '.') AS is_file FROM (
+  SELECT page_id, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN split_part(base, '//', 1) || href WHEN starts_with(href, '/') THEN base || href ELSE base || folder || href END AS url
+  FROM (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS base, coalesce(nullif(regexp_extract(url, '^[^/]+//[^/?#]*(/(?:[^/?#]*/)*)', 1), ''), '/') AS folder,
+    replace(unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]*)', 1)), '&amp;', '&') AS href FROM pages) WHERE href <> '')""")
 def html_links(s, d):
     return readers.html_links(t.table(s, d, "pages"))
 
@@ -211,16 +214,17 @@ def prefix_update(s, d):
     return t.files(s, d).select("file_id", "url", F.when(F.col("url").startswith("http://r.example/1"), "ACCEPTED").otherwise(F.col("status")).alias("status"))
 
 
-@query("update_state", """SELECT n.url, CASE WHEN n.size <= 0 THEN 'Invalid' WHEN k.url IS NULL AND EXISTS (SELECT 1 FROM (SELECT url, md5(html) AS hash FROM pages WHERE page_id % 3 <> 0) o WHERE o.hash = n.hash AND o.url <> n.url) THEN 'Duplicate' WHEN k.url IS NULL THEN 'NotInDB'
+KNOWN = "SELECT url, arg_max(length(html), page_id) AS size, arg_max(md5(html), page_id) AS hash FROM pages WHERE page_id % 3 <> 0 GROUP BY url"
+
+
+@query("update_state", f"""SELECT n.page_id, n.url, CASE WHEN n.size <= 0 THEN 'Invalid' WHEN k.url IS NULL AND EXISTS (SELECT 1 FROM ({KNOWN}) o WHERE o.hash = n.hash AND o.url <> n.url) THEN 'Duplicate' WHEN k.url IS NULL THEN 'NotInDB'
   WHEN k.hash <> n.hash OR k.size <> n.size THEN 'Changed' ELSE 'NotChanged' END AS state
-  FROM (SELECT url, CASE WHEN page_id % 11 = 0 THEN 0 ELSE length(html) END AS size, md5(CASE WHEN page_id % 7 = 0 THEN html || 'x' ELSE html END) AS hash FROM pages WHERE url IN (SELECT url FROM pages GROUP BY url HAVING count(*) = 1)) n
-  LEFT JOIN (SELECT url, length(html) AS size, md5(html) AS hash FROM pages WHERE page_id % 3 <> 0) k ON k.url = n.url""")
+  FROM (SELECT page_id, url, CASE WHEN page_id % 11 = 0 THEN 0 ELSE length(html) END AS size, md5(CASE WHEN page_id % 7 = 0 THEN html || 'x' ELSE html END) AS hash FROM pages) n LEFT JOIN ({KNOWN}) k ON k.url = n.url""")
 def update_state(s, d):
     p = t.table(s, d, "pages")
-    once = p.groupBy("url").agg(F.count("*").alias("n")).where("n = 1").select("url")
-    known = p.where("page_id % 3 <> 0").select("url", F.length("html").alias("size"), F.md5("html").alias("hash"))
-    found = p.join(once, "url").select("url", F.when(F.col("page_id") % 11 == 0, 0).otherwise(F.length("html")).alias("size"), F.md5(F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html"))).alias("hash"))
-    return lifecycle.update_state(found, known)
+    known = p.where("page_id % 3 <> 0").groupBy("url").agg(F.max_by(F.length("html"), "page_id").alias("size"), F.max_by(F.md5("html"), "page_id").alias("hash"))
+    found = p.select("page_id", "url", F.when(F.col("page_id") % 11 == 0, 0).otherwise(F.length("html")).alias("size"), F.md5(F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html"))).alias("hash"))
+    return lifecycle.update_state(found, known).select("page_id", "url", "state")
 
 
 @query("dup_by_hash", "SELECT md5, sha256, count(DISTINCT doc_id) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents WHERE text <> '') GROUP BY ALL HAVING count(DISTINCT doc_id) > 1")
@@ -370,7 +374,7 @@ QUALITY = f"""SELECT id, round(i / u, 6) AS accuracy, round(i / n, 6) AS precisi
 
 @query("template_quality", QUALITY)
 def template_quality(s, d):
-    return xmltools.template_quality(s.createDataFrame(TEMPLATES, "id string, p string"), readers.xml_overview(xml_docs(s, d)))
+    return xmltools.template_quality(s.createDataFrame(TEMPLATES, "id string, p string"), written(readers.xml_overview(xml_docs(s, d))))
 
 
 @query("best_template", f"SELECT arg_max(id, (recall, accuracy, precision)) AS id FROM ({QUALITY})")
@@ -383,7 +387,11 @@ def word_path(s, d):
     return xmltools.word_path(readers.xml_overview(xml_docs(s, d)))
 
 
-@query("sentence_path", "SELECT '/s' AS path")
+@query("sentence_path", f"""SELECT * FROM (WITH p AS (SELECT path, count(*) AS n FROM {OVERVIEW} WHERE attr = '' GROUP BY path HAVING count(*) > 1),
+  parts AS (SELECT path, string_split(path, '/')[2:] AS e FROM p),
+  common AS (SELECT k, '/' || array_to_string(any_value(e[1:k]), '/') AS prefix FROM parts, LATERAL (SELECT unnest(range(1, len(e) + 1)) AS k) GROUP BY k HAVING count(DISTINCT e[1:k]) = 1 AND count(*) = (SELECT count(*) FROM parts)),
+  longest AS (SELECT arg_max(prefix, k) AS path FROM common), word AS (SELECT max((n, path))[2] AS path FROM p)
+  SELECT CASE WHEN l.path = w.path THEN regexp_replace(l.path, '/[^/]*$', '') ELSE l.path END AS path FROM longest l, word w)""")
 def sentence_path(s, d):
     return xmltools.sentence_path(readers.xml_overview(xml_docs(s, d)))
 
@@ -413,11 +421,12 @@ def library_records(s, d):
     return exports.records(t.files(s, d))
 
 
-@query("buzz_words", "SELECT doc_id, (3 * contains(lower(text), 'there')::INT + 2 * contains(lower(text), 'tionst')::INT + 5 * contains(lower(text), 'ungkeit')::INT)::BIGINT AS score FROM documents")
+BUZZ = "(VALUES " + ", ".join(f"('{w}', {n})" for w, n in observations.BUZZ_WORDS.items()) + ")"
+
+
+@query("buzz_words", f"SELECT page_id, coalesce(sum(n), 0)::BIGINT AS score FROM pages LEFT JOIN {BUZZ} b(word, n) ON contains(html, word) GROUP BY page_id")
 def buzz_words(s, d):
-    weights = {"there": 3, "tionst": 2, "ungkeit": 5}
-    total = sum((F.when(F.lower("text").contains(w), n).otherwise(0) for w, n in weights.items()), F.lit(0))
-    return t.table(s, d, "documents").select("doc_id", total.cast("long").alias("score"))
+    return t.table(s, d, "pages").select("page_id", observations.buzz_score(F.col("html")).alias("score"))
 
 
 @query("ngram_language_score", """SELECT doc_id, lang FROM (SELECT doc_id, p.lang, row_number() OVER (PARTITION BY doc_id ORDER BY sum(g.cnt * p.w) DESC, p.lang) AS k FROM

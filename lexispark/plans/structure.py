@@ -67,7 +67,7 @@ def lowest_classes(s, d):
 @query("shortest_path", f"""SELECT src, m[3] AS dst, list_filter(m[2], lambda x: NOT starts_with(x, '#')) AS path FROM (
   SELECT src, min((len(path), path, dst)) AS m FROM (SELECT DISTINCT * FROM closure WHERE src <> dst AND dst IN ({', '.join(repr(x) for x in TOP)})) GROUP BY src)""")
 def shortest_path(s, d):
-    return graph.shortest(graph.paths(t.class_edge(s)), _top(s))
+    return graph.shortest(t.class_edge(s), _top(s))
 
 
 @query("longest_upper_path", f"SELECT src, list_filter(path, lambda x: NOT starts_with(x, '#')) AS path FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY len(path) DESC, path) AS n FROM ({PATHS})) WHERE n = 1")
@@ -80,9 +80,10 @@ def longest_lower_path(s, d):
     return graph.longest(graph.paths(t.class_edge(s)), "dst")
 
 
-@query("reach_suffix", "SELECT DISTINCT node FROM (SELECT src AS node FROM closure WHERE dst LIKE '%Word' AND src <> dst UNION ALL SELECT src FROM class_edge WHERE src LIKE '%Word')")
+@query("reach_suffix", "SELECT DISTINCT node FROM (SELECT src AS node FROM closure WHERE (dst LIKE '%entWord' OR dst = 'Nominal') AND src <> dst UNION ALL SELECT unnest([src, dst]) FROM class_edge) WHERE node LIKE '%entWord' OR node = 'Nominal' OR node IN (SELECT src FROM closure WHERE dst LIKE '%entWord' OR dst = 'Nominal')")
 def reach_suffix(s, d):
-    return graph.reach_suffix(graph.paths(t.class_edge(s)), "Word")
+    edge = t.class_edge(s)
+    return graph.reach_suffix(edge, graph.closure(edge), "entWord", s.createDataFrame([("Nominal", "FEATS"), ("Symbol", "POS")], "node string, tier string"))
 
 
 @query("tag_to_concept", f"SELECT DISTINCT tag, class, c.dst AS concept FROM tag_dict JOIN closure c ON class = src WHERE c.dst IN ({', '.join(repr(x) for x in TOP)}) AND src <> dst")
@@ -114,10 +115,15 @@ def class_degrees(s, d):
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-@query("graph_from_triples", "SELECT * FROM (VALUES ('a', 'b', 'SUB'), ('b', 'n1', 'UNION'), ('n1', 'c', 'COLL'), ('c', 'd', 'EQUIV')) t(src, dst, relation)")
+OWL = ["rdfs#subClassOf", "owl#equivalentClass", "owl#unionOf", "rdf#first", "rdfs#label"]
+
+
+@query("graph_from_triples", f"""SELECT DISTINCT 'http://x/' || p_type AS src, 'http://x/' || p_brand AS dst, CASE p_size % 5 WHEN 0 THEN 'SUB' WHEN 1 THEN 'EQUIV' WHEN 2 THEN 'UNION' ELSE 'COLL' END AS relation
+  FROM part WHERE p_size % 5 <> 4""")
 def graph_from_triples(s, d):
-    rows = [("a", "http://x/rdfs#subClassOf", "b"), ("a", "http://x/rdfs#subClassOf", "b"), ("b", "http://x/owl#unionOf", "n1"), ("n1", "http://x/rdf#first", "c"), ("c", "http://x/owl#equivalentClass", "d"), ("a", "http://x/rdfs#label", "A")]
-    return graph.build(s.createDataFrame(rows, "s string, p string, o string"))
+    predicate = F.concat(F.lit("http://x/"), F.element_at(F.array(*[F.lit(x) for x in OWL]), (F.col("p_size") % 5 + 1).cast("int")))
+    rows = t.table(s, d, "part").select(F.concat(F.lit("http://x/"), "p_type").alias("s"), predicate.alias("p"), F.concat(F.lit("http://x/"), "p_brand").alias("o"))
+    return graph.build(rows)
 
 
 NAMES = [(0, "M1", "Con.*"), (1, "M2", ".*Word"), (2, "M3", "Pr.*")]
@@ -181,7 +187,7 @@ def feature_columns(s, d):
 
 
 @query("pattern_columns", """SELECT file_id, col, x AS delimiter, count(*) AS n FROM cell, (VALUES ('+'), ('|'), (':'), (','), ('-'), ('.')) v(x)
-  WHERE regexp_full_match(value, '([A-Za-z0-9]+[' || CASE x WHEN '-' THEN '\\-' ELSE x END || '])+[A-Za-z0-9]+') GROUP BY ALL HAVING count(*) >= 3 AND (x <> '-' OR avg(len(string_split(value, x))) > 2)""")
+  WHERE regexp_full_match(value, '([A-Za-z0-9]+[' || CASE x WHEN '-' THEN '\\-' ELSE x END || '])+[A-Za-z0-9]+') GROUP BY ALL HAVING count(*) >= 3 AND (x <> '-' OR avg(len(string_split(value, x))) > 2 AND count(DISTINCT len(string_split(value, x))) = 1)""")
 def pattern_columns(s, d):
     return roles.pattern_columns(cell(s, d))
 
@@ -211,13 +217,13 @@ def column_tokens(s, d):
     return roles.column_tokens(cell(s, d))
 
 
-FEATS = "SELECT CASE WHEN p_partkey % 50 = 0 THEN '_' ELSE 'brand=' || p_brand || '|size=' || p_size || '|type=' || p_type || '|MWEx=1|empty=' END AS feats FROM part"
+FEATS = "SELECT CASE WHEN p_partkey % 50 = 0 THEN '_' ELSE 'brand=' || p_brand || '|size=' || p_size || '|type=' || p_type || '|SpaceAfter=No|Gloss=g|MWEx=1|empty=' END AS feats FROM part"
 
 
-@query("feature_counts", f"SELECT f[1] AS name, f[2] AS value, count(*) AS cnt FROM (SELECT string_split(unnest(string_split(feats, '|')), '=') AS f FROM ({FEATS}) WHERE feats <> '_') WHERE len(f) >= 2 AND f[2] <> '' AND NOT starts_with(f[1], 'MWE') GROUP BY ALL")
+@query("feature_counts", f"SELECT f[1] AS name, f[2] AS value, count(*) AS cnt FROM (SELECT string_split(unnest(string_split(feats, '|')), '=') AS f FROM ({FEATS}) WHERE feats <> '_') WHERE len(f) >= 2 AND f[2] <> '' AND NOT starts_with(f[1], 'MWE') AND f[1] <> 'Gloss' GROUP BY ALL")
 def feature_counts(s, d):
     p = t.table(s, d, "part")
-    feats = F.concat(F.lit("brand="), "p_brand", F.lit("|size="), F.col("p_size").cast("string"), F.lit("|type="), "p_type", F.lit("|MWEx=1|empty="))
+    feats = F.concat(F.lit("brand="), "p_brand", F.lit("|size="), F.col("p_size").cast("string"), F.lit("|type="), "p_type", F.lit("|SpaceAfter=No|Gloss=g|MWEx=1|empty="))
     return roles.feature_counts(p.select(F.when(F.col("p_partkey") % 50 == 0, "_").otherwise(feats).alias("feats")))
 
 

@@ -165,7 +165,7 @@ def name_like(s, d):
     return t.files(s, d).where(F.col("url").rlike("^(?:.*/3.*7.*)$") & (F.col("type") != "ONTOLOGY")).select("url").distinct()
 
 
-@query("search_by_type", "SELECT url FROM files GROUP BY url HAVING count(*) = 1 AND max(type) = 'UNKNOWN'")
+@query("search_by_type", "SELECT url FROM files GROUP BY url HAVING count(DISTINCT type) = 1 AND max(type) = 'UNKNOWN'")
 def search_by_type(s, d):
     return search.by_single_type(t.files(s, d).select("url", "type"), "UNKNOWN")
 

@@ -5,9 +5,8 @@ are walked per row in `mapInPandas`, as Spark's own XML source wants one row tag
 
 from __future__ import annotations
 
-import xml.sax
-import xml.sax.handler
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +18,21 @@ MIN_ROWS, MAX_ROWS = 100, 2000
 
 
 
+def unescaped(body: Column) -> Column:
+    """A literal's text, its escapes read once from left to right."""
+    pieces = F.regexp_extract_all(body, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
+
+    def plain(x: Column) -> Column:
+        mark = F.substring(x, 2, 1)
+        point = F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32")
+        char = F.when(mark.isin("u", "U") & (F.length(x) > 2), point)
+        for name, value in (("n", "\n"), ("t", "\t"), ("r", "\r"), ("b", "\b"), ("f", "\f")):
+            char = char.when(mark == name, F.lit(value))
+        return F.when(~x.startswith("\\"), x).otherwise(char.otherwise(mark))
+
+    return F.when(body.contains("\\"), F.array_join(F.transform(pieces, plain), "")).otherwise(body)
+
+
 def parse_triples(lines: DataFrame, line: str = "value") -> DataFrame:
     """lines with s, p, o, o_kind (uri, blank, literal), o_lang, o_type and corrupt (a line that is no triple, comment or blank)."""
     part = lambda n: F.regexp_extract(line, TRIPLE, n)
@@ -26,8 +40,7 @@ def parse_triples(lines: DataFrame, line: str = "value") -> DataFrame:
     o = part(3)
     literal = o.startswith('"')
     body = F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1)
-    for mark, char in (("\\\\n", "\n"), ("\\\\t", "\t"), ('\\\\"', '"'), ("\\\\\\\\", "\\\\")):
-        body = F.regexp_replace(body, mark, char)
+    body = unescaped(body)
     good = part(2) != ""
     return lines.where(~F.col(line).rlike(r"^\s*(#.*)?$")).select(
         *[c for c in lines.columns if c != line],
@@ -46,12 +59,24 @@ def ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parse_triples(lines)
 
 
+def _ordered(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, block, at, value): lines of text files; (block, at) is their order in a file, whatever its splits."""
+    where = [F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    return spark.read.text(path).select(*where, "value")
+
+
 def conll(spark: SparkSession, path: str, least: int = MIN_ROWS, most: int = MAX_ROWS, comment: str = "#") -> DataFrame:
-    """(file_id, row_no, col, value): files with `least` rows or more, each cut at `most` (-1: whole), blank and comment lines left out."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_id"), F.split("value", "\r?\n", -1).alias("lines"))
-    rows = lines.select("file_id", F.filter("lines", lambda x: (F.trim(x) != "") & ~x.startswith(comment)).alias("lines")).where(F.size("lines") >= least)
-    rows = rows.select("file_id", (F.slice("lines", 1, most) if most >= 0 else F.col("lines")).alias("lines"))
-    return rows.select("file_id", F.posexplode("lines").alias("row_no", "line")).select("file_id", "row_no", F.posexplode(F.split("line", "\t", -1)).alias("col", "value"))
+    """(file_id, row_no, col, value): files with `least` rows or more, each cut at `most` (-1: whole), blank and comment lines left out.
+
+    Files are read by lines and may be of any size; a split's rows beyond `most` are dropped before they are sorted."""
+    rows = _ordered(spark, path).where((F.trim("value") != "") & ~F.col("value").startswith(comment))
+    long = rows.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("file_id")
+    if most >= 0:
+        part = Window.partitionBy("file_id", "block").orderBy("at")
+        rows = rows.withColumn("k", F.row_number().over(part)).where(F.col("k") <= most).drop("k")
+    rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("file_id").orderBy("block", "at")) - 1)
+    rows = rows.where(F.col("row_no") < most) if most >= 0 else rows
+    return rows.join(long, "file_id", "left_semi").select("file_id", "row_no", F.posexplode(F.split("value", "\t", -1)).alias("col", "value"))
 
 
 def url_seeds(spark: SparkSession, path: str) -> DataFrame:
@@ -74,46 +99,78 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
 
 
-def html_links(pages: DataFrame) -> DataFrame:
-    """(page_id, href, url): link targets as written and resolved against the page's host."""
-    href = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))).alias("href")
-    links = pages.select("page_id", F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1).alias("base"), href)
-    resolved = F.when(F.col("href").rlike("^[a-z]+://"), F.col("href")).when(F.col("href").startswith("/"), F.concat("base", "href")).otherwise(F.concat("base", F.lit("/"), "href"))
-    return links.select("page_id", "href", resolved.alias("url"))
-
+def decoded(text: Column) -> Column:
+    """The character references that addresses and plain texts hold."""
+    for reference, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return text
 
-def html_text(html: str) -> Column:
-    """Markup out, a handful of references decoded, white space collapsed: text enough to search in."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
-    for reference, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(reference), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
 
+def resolved(href: Column, page: Column) -> Column:
+    """The address of a link that stands on a page, with . and .. taken out of its path."""
+    base = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(F.regexp_extract(path, "^(.*/)?", 0), F.when(path.contains("/"), "").otherwise("/"))
+    relative = F.when(href.startswith("?"), F.concat(F.when(path == "", "/").otherwise(path), href)).when(href.startswith("/"), href).otherwise(F.concat(folder, href))
+    place, rest = F.regexp_extract(relative, "^[^?#]*", 0), F.regexp_extract(relative, "[?#].*$", 0)
+    step = lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))).when(x == ".", out).otherwise(F.concat(out, F.array(x)))
+    parts = F.aggregate(F.slice(F.split(place, "/", -1), 2, 100_000), F.array(F.lit("")), step)
+    clean = F.when(place.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(parts, "/"), F.when(place.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(place)
+    whole = F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.substring_index(base, "//", 1), href))
+    return whole.otherwise(F.concat(base, clean, rest))
 
-class _Walker(xml.sax.handler.ContentHandler):
-    def __init__(self, most: int):
-        super().__init__()
-        self.rows, self.path, self.text, self.no, self.most = [], [], [], 0, most
 
-    def startElement(self, name, attributes):  # noqa: N802
-        if 0 <= self.most <= self.no:
-            raise StopIteration
-        self.path.append(name.rpartition(":")[2])
-        self.text.append([self.no, ""])
-        where = "/" + "/".join(self.path)
-        self.rows.append((self.no, where, "", ""))
-        self.rows += [(self.no, where, k, v) for k, v in attributes.items()]
-        self.no += 1
+def html_links(pages: DataFrame) -> DataFrame:
+    """(page_id, href, url, is_file): link targets as written, resolved against the page's address, and whether the last part of
+    the path holds a dot."""
+    found = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    href = decoded(F.trim(F.regexp_replace(F.col("raw"), "^[\"']|[\"']$", "")))
+    links = pages.select("page_id", F.col("url").alias("page"), F.explode(found).alias("raw")).select("page_id", "page", href.alias("href")).where("href <> ''")
+    last = F.regexp_extract("url", r"^[^/]+//[^/?#]*(?:/[^/?#]*)*/([^/?#]*)", 1)
+    return links.select("page_id", "href", resolved(F.col("href"), F.col("page")).alias("url")).withColumn("is_file", last.contains("."))
 
-    def characters(self, content):
-        if self.text:
-            self.text[-1][1] += content
 
-    def endElement(self, name):  # noqa: N802
-        no, text = self.text.pop()
-        if text.strip():
-            self.rows.append((no, "/" + "/".join(self.path), "text()", text.strip()))
-        self.path.pop()
+def html_text(html: str) -> Column:
+    """Markup out, a handful of references decoded, white space collapsed: text enough to search in."""
+    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    return F.trim(F.regexp_replace(decoded(out), r"\s+", " "))
+
+
+class _Enough(Exception):
+    """So many elements were wanted."""
+
+
+def walked(text: str, most: int) -> list[tuple[int, str, str, str]]:
+    """(node_no, path, attr, value) of one document."""
+    rows: list[tuple[int, str, str, str]] = []
+    open_: list[tuple[int, str, list[str]]] = []
+    count = 0
+
+    def start(name: str, attributes: list[str]) -> None:
+        nonlocal count
+        if 0 <= most <= count:
+            raise _Enough
+        where = f"{open_[-1][1] if open_ else ''}/{name.rpartition(':')[2]}"
+        open_.append((count, where, []))
+        rows.append((count, where, "", ""))
+        rows.extend((count, where, k, v) for k, v in zip(attributes[::2], attributes[1::2], strict=True))
+        count += 1
+
+    def end(name: str) -> None:
+        no, where, own = open_.pop()
+        if content := "".join(own).strip():
+            rows.append((no, where, "text()", content))
+
+    parser = expat.ParserCreate()
+    parser.ordered_attributes = True
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda content: open_ and open_[-1][2].append(content)
+    try:
+        parser.Parse(text, True)
+    except (_Enough, expat.ExpatError):
+        pass
+    return rows
 
 
 def xml_overview(docs: DataFrame, most: int = -1) -> DataFrame:
@@ -124,23 +181,20 @@ def xml_overview(docs: DataFrame, most: int = -1) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
+            rows: list[tuple] = []
             for file_id, text in zip(x["file_id"], x["xml"], strict=True):
-                walker = _Walker(most)
-                parser = xml.sax.make_parser()
-                parser.setFeature(xml.sax.handler.feature_external_ges, False)
-                parser.setContentHandler(walker)
-                try:
-                    parser.feed(text or "")
-                    parser.close()
-                except (StopIteration, xml.sax.SAXException):
-                    pass
-                yield pd.DataFrame([(file_id, *r) for r in walker.rows], columns=["file_id", "node_no", "path", "attr", "value"])
+                rows += [(file_id, *r) for r in walked(text or "", most)]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=["file_id", "node_no", "path", "attr", "value"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["file_id", "node_no", "path", "attr", "value"])
 
     return docs.select(F.col("file_id").cast("long").alias("file_id"), "xml").mapInPandas(run, "file_id long, node_no int, path string, attr string, value string")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_id, line_no, value): for files that fit one task; line_no counts in file order."""
-    w = Window.partitionBy("file_id").orderBy("at")
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_id"), F.monotonically_increasing_id().alias("at"), "value")
+    """(file_id, line_no, value): line_no counts in file order; a file's lines are numbered in one task."""
+    w = Window.partitionBy("file_id").orderBy("block", "at")
+    rows = _ordered(spark, path)
     return rows.select("file_id", (F.row_number().over(w) - 1).alias("line_no"), "value")
