@@ -135,9 +135,10 @@ def search_and(s, d):
     return search.all_of(_languages(s, d), ["eng", "deu"], only_selected=False)
 
 
-@query("search_and_models", "SELECT url FROM resource_file WHERE selected AND source IN ('src0', 'src2') GROUP BY url HAVING count(DISTINCT source) = 2")
+@query("search_and_models", "SELECT url FROM files WHERE status <> 'DISABLED' AND format IN ('RDF', 'XML') GROUP BY url HAVING count(DISTINCT format) = 2")
 def search_and_models(s, d):
-    return search.all_of(_sources(s, d), ["src0", "src2"])
+    models = t.files(s, d).select("url", F.col("format").alias("value"), (F.col("status") != "DISABLED").alias("selected"))
+    return search.all_of(models, ["RDF", "XML"])
 
 
 @query("search_exclusive_or", "SELECT DISTINCT url FROM resource_file WHERE selected AND lang IN ('eng', 'spa') AND url IN (SELECT url FROM resource_file GROUP BY url HAVING count(DISTINCT lang) = 1)")
