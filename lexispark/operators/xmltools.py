@@ -79,12 +79,73 @@ def rows(overview: DataFrame, path: str, columns: list[str], features: list[str]
     return wide.select("file_id", "node_no", F.concat_ws("\t", *[F.col(f"c{i}") for i in range(len(columns))], F.when(feats == "", "_").otherwise(feats)).alias("line"))
 
 
-def ngram_language(docs: DataFrame, profile: DataFrame, n: int) -> DataFrame:
-    """(doc_id, lang): the language whose profile(lang, gram, w) weighs most in the text's n-grams; ties by code."""
-    # only grams of the profile are counted, so what is grouped are a text's few hits
-    chars = docs.select("doc_id", F.split(F.lower("text"), "", -1).alias("c"))
-    grams = F.transform("c", lambda x, i: F.array_join(F.slice("c", i + 1, n), ""))
-    hits = chars.select("doc_id", F.explode_outer(grams).alias("gram")).join(F.broadcast(profile), "gram")
-    per = hits.groupBy("doc_id", "lang").agg(F.sum("w").alias("score"))
-    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "lang")
-    return per.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("doc_id", "lang")
+def subtrees(overview: DataFrame, path: str) -> DataFrame:
+    """overview's rows that stand in an element of the path, with root_no, that element's number: one tree each."""
+    own = F.when((F.col("path") == path) & (F.col("attr") == ""), F.col("node_no"))
+    inside = (F.col("path") == path) | F.col("path").startswith(path + "/")
+    before = Window.partitionBy("file_id").orderBy("node_no").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return overview.where(inside).withColumn("root_no", F.max(own).over(before))
+
+
+def sampled_subtrees(trees: DataFrame, k: int, seed: int) -> DataFrame:
+    """(file_id, root_no): k trees by the order of a seeded hash."""
+    order = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("file_id").cast("string"), F.col("root_no").cast("string")))
+    return trees.select("file_id", "root_no").distinct().orderBy(order).limit(k)
+
+
+def parents(overview: DataFrame) -> DataFrame:
+    """(path, attributes, rank): elements by how many different attributes they have."""
+    n = overview.where("attr NOT IN ('', 'text()')").groupBy("path").agg(F.count_distinct("attr").alias("attributes"))
+    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.col("attributes").desc(), "path")))
+
+
+def pruned(overview: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(path, attr, state, n): allowed(path, attr) that are there are kept, or else missing; others are dropped."""
+    there = overview.where("attr <> ''").groupBy("path", "attr").agg(F.count("*").alias("n"))
+    both = there.join(allowed.select("path", "attr").distinct().withColumn("a", F.lit(True)), ["path", "attr"], "full_outer")
+    return both.select("path", "attr", F.when(F.col("n").isNull(), "missing").when(F.col("a").isNull(), "dropped").otherwise("kept").alias("state"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def attribute_sample(overview: DataFrame, most: int) -> DataFrame:
+    """(path, attr, kind, value): the first values of each attribute, literals and addresses apart."""
+    kind = F.when(F.col("value").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), "url").otherwise("literal")
+    some = overview.where("attr <> ''").select("path", "attr", kind.alias("kind"), "value").distinct().withColumn("_s", F.pmod(F.xxhash64("value"), F.lit(64)))
+    for keys in (["path", "attr", "kind", "_s"], ["path", "attr", "kind"]):
+        some = some.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("value"))).where(F.col("_k") <= most)
+    return some.drop("_k", "_s")
+
+
+def template_similarity(templates: DataFrame) -> DataFrame:
+    """(a, b, similarity) of templates(id, p), a before b: shared paths by all paths of both; pairs that share none are left out."""
+    own = templates.select("id", "p").distinct()
+    size = own.groupBy("id").agg(F.count("*").alias("n"))
+    shared = own.alias("x").join(own.alias("y"), "p").where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("both"))
+    sized = shared.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("similarity"))
+
+
+def chosen_elements(overview: DataFrame, written, most_urls: int = 2) -> DataFrame:
+    """(path, attr): attributes worth annotating. Those with at most `most_urls` values, all addresses, or with values of one
+    character only are dropped. Of the elements that carry an attribute of one name, those that cover its values are taken, greedily:
+    each round the one that adds most (of equal ones the least path); all attributes of the elements taken stay."""
+    values = written(overview.where("attr NOT IN ('', 'text()')").select("path", "attr", "value").distinct())
+    url = F.col("value").rlike("^[A-Za-z][A-Za-z0-9+.-]*://")
+    per = values.groupBy("path", "attr").agg(F.bool_and(url).alias("urls"), F.count("*").alias("n"), F.max(F.length("value")).alias("longest"))
+    good = per.where(~((F.col("urls") & (F.col("n") <= most_urls)) | (F.col("longest") <= 1))).select("path", "attr")
+    left = written(values.join(good, ["path", "attr"], "left_semi"))
+    taken = None
+    while not left.isEmpty():
+        gain = left.groupBy("attr", "path").agg(F.count("*").alias("n")).groupBy("attr").agg(F.min(F.struct((-F.col("n")).alias("n"), "path")).alias("m")).select("attr", "m.path")
+        gain = written(gain)
+        taken = gain if taken is None else taken.union(gain)
+        left = written(left.join(left.join(gain, ["attr", "path"]).select("attr", "value").distinct(), ["attr", "value"], "left_anti").select("path", "attr", "value"))
+    if taken is None:
+        return good.limit(0)
+    return values.select("path", "attr").distinct().join(taken.select("path").distinct(), "path", "left_semi").select("path", "attr")
+
+
+def column_map(columns: list[str], overview: DataFrame, path: str) -> DataFrame:
+    """(path, attr, col, types): which column of the converted rows an attribute of the word element becomes."""
+    order = overview.sparkSession.createDataFrame([(a, i) for i, a in enumerate(columns)], "attr string, col int")
+    own = overview.where((F.col("path") == path) & (F.col("attr") != "")).groupBy("path", "attr").agg(F.count_distinct("value").alias("types"))
+    return own.join(order, "attr").select("path", "attr", "col", "types")

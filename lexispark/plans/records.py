@@ -429,14 +429,6 @@ def buzz_words(s, d):
     return t.table(s, d, "pages").select("page_id", observations.buzz_score(F.col("html")).alias("score"))
 
 
-@query("ngram_language_score", """SELECT doc_id, lang FROM (SELECT doc_id, p.lang, row_number() OVER (PARTITION BY doc_id ORDER BY sum(g.cnt * p.w) DESC, p.lang) AS k FROM
-  (SELECT doc_id, gram, count(*) AS cnt FROM (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM (SELECT doc_id, string_split(lower(text), '') AS c FROM documents)) GROUP BY ALL) g
-  JOIN (VALUES ('eng', 'the', 4), ('eng', 'and', 2), ('eng', 'ing', 2), ('deu', 'der', 3), ('deu', 'ung', 4), ('deu', 'sch', 2), ('fra', 'eau', 3), ('fra', 'les', 1), ('fra', 'que', 2), ('spa', 'que', 1), ('spa', 'ció', 4), ('spa', 'los', 2)) p(lang, gram, w) USING (gram) GROUP BY doc_id, p.lang) WHERE k = 1""")
-def ngram_language_score(s, d):
-    profile = [("eng", "the", 4), ("eng", "and", 2), ("eng", "ing", 2), ("deu", "der", 3), ("deu", "ung", 4), ("deu", "sch", 2), ("fra", "eau", 3), ("fra", "les", 1), ("fra", "que", 2), ("spa", "que", 1), ("spa", "ció", 4), ("spa", "los", 2)]
-    return xmltools.ngram_language(t.table(s, d, "documents"), s.createDataFrame(profile, "lang string, gram string, w int"), 3)
-
-
 @query("scalar_functions", "SELECT p_partkey, hex(p_name) AS hexed, sha256(p_name) AS sha, CASE WHEN p_type = 'PROMO' THEN NULL ELSE p_type END AS na, trunc(p_retailprice * 100) / 100 AS shortened, replace(replace(p_name, '#', ''), ' ', '_') AS plain FROM part")
 def scalar_functions(s, d):
     c = F.col("p_retailprice") * 100
