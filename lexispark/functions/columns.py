@@ -70,3 +70,34 @@ def first_lines(text: Column, n: int, most_chars: int = 3000) -> Column:
 def iso_language(code: Column) -> Column:
     """Two-letter codes of the tables' languages as ISO 639-3; three-letter codes stay, others are empty."""
     return F.when(code == "en", "eng").when(code == "de", "deu").when(code == "fr", "fra").when(code == "es", "spa").when(F.length(code) == 3, code).otherwise("")
+
+
+def valid_url(url: Column) -> Column:
+    return url.rlike(r"^(https?|ftp|file)://[^\s/?#]+")
+
+
+def normalised_url(url: Column) -> Column:
+    """Scheme and host in small letters, / for an empty path, no fragment."""
+    origin = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    path = path_of(url)
+    return F.concat(origin, F.when(path == "", "/").otherwise(path), F.regexp_extract(url, r"(\?[^#]*)", 1))
+
+
+#: Media types by format.
+MEDIA_TYPES = {
+    "RDF": ["application/rdf+xml", "text/turtle", "application/n-triples", "application/n-quads", "application/trig", "application/trix", "application/ld+json", "text/n3"],
+    "XML": ["application/xml", "text/xml", "application/tei+xml"],
+    "HTML": ["text/html", "application/xhtml+xml"],
+    "JSON": ["application/json"],
+    "ARCHIVE": ["application/zip", "application/gzip", "application/x-tar", "application/x-bzip2", "application/x-7z-compressed", "application/x-rar-compressed", "application/x-xz"],
+    "PDF": ["application/pdf"],
+}
+
+
+def format_by_media_type(media_type: Column, url: Column) -> Column:
+    """The format that the media type says; where it says nothing, that of the URL's suffix."""
+    plain = F.lower(F.trim(F.regexp_extract(media_type, "^[^;]*", 0)))
+    out = F.when(plain.isin(MEDIA_TYPES["RDF"]), "RDF")
+    for name, types in list(MEDIA_TYPES.items())[1:]:
+        out = out.when(plain.isin(types), name)
+    return out.otherwise(format_of(url))

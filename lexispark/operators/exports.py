@@ -61,3 +61,30 @@ def display(rows: DataFrame) -> DataFrame:
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """One line per row, in parallel files."""
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+
+
+def statement_lines(triples: DataFrame) -> DataFrame:
+    """(line): triples(s, p, o, o_kind, o_lang, o_type) as N-Triples."""
+    node = lambda c: F.when(c.startswith("_:"), c).otherwise(iri(c))
+    lang, kind = F.coalesce("o_lang", F.lit("")), F.coalesce("o_type", F.lit(""))
+    mark = F.when(lang != "", F.concat(F.lit("@"), lang)).when(kind != "", F.concat(F.lit("^^"), iri(kind))).otherwise("")
+    o = F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), escaped(F.col("o")), F.lit('"'), mark)).otherwise(node(F.col("o")))
+    return triples.select(F.concat(node(F.col("s")), F.lit(" "), iri(F.col("p")), F.lit(" "), o, F.lit(" .")).alias("line"))
+
+
+def save_graph(node: DataFrame, edge: DataFrame, path: str, form: str = "json") -> None:
+    """A graph's nodes and edges, or a term model's, for other tools (json) or for later (parquet)."""
+    for name, df in (("node", node), ("edge", edge)):
+        df.write.mode("overwrite").format(form).save(f"{path.rstrip('/')}/{name}")
+
+
+def merged_json(files: DataFrame) -> DataFrame:
+    """(key, json): resources with their files; resources of a single file whose metadata come from the user and are equal (meta_hash)
+    are one. files(url, file_id, meta_source, meta_hash, lang, format)."""
+    size = files.groupBy("url").agg(F.count("*").alias("n"), F.max("meta_hash").alias("h"), F.bool_and(F.col("meta_source") == "USER").alias("u"))
+    key = F.when((F.col("n") == 1) & F.col("u") & (F.col("h") != ""), F.col("h")).otherwise(F.col("url"))
+    rows = files.join(size.select("url", key.alias("key")), "url")
+    per = rows.groupBy("key").agg(
+        F.sort_array(F.collect_set("url")).alias("urls"), F.sort_array(F.collect_set("lang")).alias("languages"), F.sort_array(F.collect_list(F.struct("file_id", "format", "lang"))).alias("files")
+    )
+    return per.select("key", F.to_json(F.struct("urls", "languages", "files")).alias("json"))

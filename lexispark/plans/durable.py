@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (a local one if unset); removed when the driver ends."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that spark.checkpoint.dir names (a local one if unset); removed when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexispark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in a folder of its own."""
+    path = folder(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -34,7 +34,7 @@ def unescaped(body: Column) -> Column:
 
 
 def parse_triples(lines: DataFrame, line: str = "value") -> DataFrame:
-    """lines with s, p, o, o_kind (uri, blank, literal), o_lang, o_type and corrupt (a line that is no triple, comment or blank)."""
+    """lines with s, p, o, o_kind (uri, blank, literal), o_lang, o_type, g (of quads) and corrupt (a line that is no triple, comment or blank)."""
     part = lambda n: F.regexp_extract(line, TRIPLE, n)
     strip = lambda c: F.regexp_replace(c, "^<|>$", "")
     o = part(3)
@@ -50,6 +50,7 @@ def parse_triples(lines: DataFrame, line: str = "value") -> DataFrame:
         F.when(good, F.when(literal, "literal").when(o.startswith("_:"), "blank").otherwise("uri")).alias("o_kind"),
         F.when(good & literal, F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1)).alias("o_lang"),
         F.when(good & literal, F.regexp_extract(o, r'"\^\^<([^>]*)>$', 1)).alias("o_type"),
+        F.when(good & (part(4) != ""), strip(part(4))).alias("g"),
         F.when(~good, F.col(line)).alias("corrupt"),
     )
 
@@ -198,3 +199,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     w = Window.partitionBy("file_id").orderBy("block", "at")
     rows = _ordered(spark, path)
     return rows.select("file_id", (F.row_number().over(w) - 1).alias("line_no"), "value")
+
+
+def load_graph(spark: SparkSession, path: str, node: str, edge: str, form: str = "json") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as exports.save_graph wrote them; node and edge are their schemas."""
+    return tuple(spark.read.format(form).schema(schema).load(f"{path.rstrip('/')}/{name}") for name, schema in (("node", node), ("edge", edge)))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -44,3 +46,40 @@ def run(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, che
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+#: What an action makes of a request's state; an action that a state doesn't know changes nothing. Only what waits can be cancelled.
+TRANSITIONS = {
+    ("", "queue"): "QUEUED", ("QUEUED", "start"): "ACTIVE", ("ACTIVE", "done"): "DONE", ("ACTIVE", "error"): "ERROR", ("QUEUED", "cancel"): "CANCELLED",
+    ("DONE", "queue"): "QUEUED", ("ERROR", "queue"): "QUEUED", ("CANCELLED", "queue"): "QUEUED",
+}
+
+
+def tracked_all(commands: DataFrame, order: list[str]) -> DataFrame:
+    """(request, state, changes) after all commands(request, action, ...) in order; a request's commands are its own history only."""
+    known = F.create_map(*[F.lit(x) for (state, action), to in TRANSITIONS.items() for x in (f"{state}:{action}", to)])
+    history = F.transform(F.sort_array(F.collect_list(F.struct(*order, "action"))), lambda x: x["action"])
+
+    def step(s, action):
+        to = F.try_element_at(known, F.concat(s["state"], F.lit(":"), action))
+        return F.struct(F.coalesce(to, s["state"]).alias("state"), (s["changes"] + F.when(to.isNull(), 0).otherwise(1)).alias("changes"))
+
+    start = F.struct(F.lit("").alias("state"), F.lit(0).alias("changes"))
+    return commands.groupBy("request").agg(history.alias("h")).select("request", F.aggregate("h", start, step).alias("s")).select("request", "s.*")
+
+
+def tracked(commands: DataFrame) -> DataFrame:
+    """The same over a stream of commands(request, action, ts): a row for each request that a batch has changed. The state is kept per
+    request, so cancelling and repeating work across batches; commands of one batch are taken in the order of ts."""
+
+    def update(key, batches, state):
+        now, changes = state.get if state.exists else ("", 0)
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        for action in rows["action"]:
+            if to := TRANSITIONS.get((now, action)):
+                now, changes = to, changes + 1
+        state.update((now, changes))
+        yield pd.DataFrame({"request": [key[0]], "state": [now], "changes": [changes]})
+
+    out = "request string, state string, changes int"
+    return commands.groupBy("request").applyInPandasWithState(update, out, "state string, changes int", "update", GroupStateTimeout.NoTimeout)

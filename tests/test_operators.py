@@ -2,9 +2,12 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lexispark.functions.columns import full_match
-from lexispark.operators import lifecycle, matching, observations, roles, scoring, search
-from lexispark.sources import readers
+from lexispark.operators import graph, languages, lifecycle, matching, metadata, models, observations, registry, roles, scoring, search, xmltools
+from lexispark.plans.durable import written
+from lexispark.sources import rdf, readers
 from lexispark.streaming import queue
 
 
@@ -104,6 +107,116 @@ def test_stream_of_requests(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("user_id", "event_id"), "user_id") == [(1, 1), (2, 3)]
 
 
+def test_literals_are_unescaped_once_from_left_to_right(spark):
+    body = r'"C:\\new\t\u00e9\U0001F600\"q\""'
+    got = readers.parse_triples(spark.createDataFrame([(f"<a> <p> {body} <g> .",)], "value string")).first()
+    assert (got.o, got.g) == ('C:\\new\té\U0001F600"q"', "g")
+
+
+@pytest.mark.parametrize(
+    ("page", "href", "url"),
+    [
+        ("http://a.b/c/d.html?x#y", "e.txt", "http://a.b/c/e.txt"), ("http://a.b/c/d", "../e", "http://a.b/e"), ("http://a.b/c/d", "./e/../f/", "http://a.b/c/f/"), ("http://a.b", "e", "http://a.b/e"),
+        ("https://a.b/c", "//x.y/z", "https://x.y/z"), ("http://a.b/c/d", "/e?q=/../", "http://a.b/e?q=/../"), ("http://a.b/c/d", "?q", "http://a.b/c/d?q"), ("http://a.b/c/d", "#f", "http://a.b/c/#f"),
+        ("http://a.b/c", "mailto:x@y", "mailto:x@y"), ("http://a.b/c/d/", "../../../e", "http://a.b/e"),
+    ],
+)
+def test_links_are_resolved(spark, page, href, url):
+    df = spark.createDataFrame([(page, href)], "page string, href string")
+    assert df.select(readers.resolved(df.href, df.page).alias("u")).first().u == url
+
+
+def test_links_of_any_quotes_and_references(spark):
+    html = "<a href=x.html>1</a><A class='k' HREF = \"y?a=1&amp;b=2\">2</A><a name=z>"
+    got = readers.html_links(spark.createDataFrame([(1, "http://a.b/c/", html)], "page_id int, url string, html string"))
+    assert rows(got.select("url", "is_file"), "url") == [("http://a.b/c/x.html", True), ("http://a.b/c/y?a=1&b=2", False)]
+
+
+def test_patterns_meet_tokens_by_their_plain_ends(spark):
+    patterns = ["ab.*", "abc?d", ".*ing", "x|yz", "(a|b)c", "a(b|c)", r"\d", r"v\w+s", "[ab]c", "a{2}b", "(?i)QED", "abcdefgh.", ".", "q*", "un.*ly"]
+    tokens = ["abz", "abd", "abcd", "sing", "x", "yz", "ac", "ab", "7", "d", "vows", "bc", "aab", "qed", "abcdefghi", "", "qq", "unduly"]
+    hit = spark.createDataFrame([(1, x, 1) for x in tokens], "file_id int, token string, cnt int")
+    tag = spark.createDataFrame([("M", "C", p, True, "") for p in patterns], "model string, class string, tag string, is_regex boolean, lang string")
+    import re
+
+    want = sorted((x, p) for x in tokens for p in patterns if re.fullmatch(p, x))
+    assert rows(matching.regex_matches(hit, tag).select("token", "tag"), "token", "tag") == want
+
+
+def test_shortest_paths_have_an_edge_and_pass_no_node_twice(spark):
+    edge = spark.createDataFrame([("a", "b"), ("b", "t"), ("a", "c"), ("c", "t"), ("t", "u"), ("u", "t"), ("t", "a"), ("z", "z")], "src string, dst string")
+    got = rows(graph.shortest(edge, spark.createDataFrame([("t",), ("b",)], "node string")), "src")
+    assert got == [("a", "b", ["a", "b"]), ("b", "t", ["b", "t"]), ("c", "t", ["c", "t"]), ("t", "b", ["t", "a", "b"]), ("u", "t", ["u", "t"])]
+
+
+def test_nodes_of_one_tag_and_two_classes_count_twice(spark):
+    hit = spark.createDataFrame([(1, "x", 5)], "file_id int, token string, cnt int")
+    found = spark.createDataFrame([(1, "x", 5, "M", "C", "x"), (1, "x", 5, "M", "D", "x")], "file_id int, token string, cnt int, model string, class string, tag string")
+    assert rows(scoring.scores(hit, found), "model") == [(1, "M", 2, 0, 10, 0, 2.0)]
+
+
+def test_elements_are_chosen_greedily(spark):
+    values = {("/a", "x"): "123456", ("/b", "x"): "56789", ("/c", "x"): "12", ("/b", "y"): "z", ("/d", "u"): ["http://a/1", "http://a/2"], ("/e", "k"): ["long", "one"]}
+    overview = [(1, 0, p, a, v + "v" if a == "x" else v) for (p, a), vs in values.items() for v in vs]
+    df = spark.createDataFrame(overview, "file_id long, node_no int, path string, attr string, value string")
+    assert rows(xmltools.chosen_elements(df, written), "path", "attr") == [("/a", "x"), ("/b", "x"), ("/b", "y"), ("/e", "k")]
+    assert xmltools.chosen_elements(df.limit(0), written).count() == 0
+
+
+def test_languages_of_mixed_texts(spark):
+    texts = spark.createDataFrame([("eng", "the thing that they think " * 9), ("deu", "der die das und nicht ungen " * 9)], "lang string, text string")
+    profile = languages.profiles(texts)
+    df = spark.createDataFrame([(1, "they think"), (2, "und nicht das"), (3, "12 ..."), (4, None)], "id int, text string")
+    assert rows(languages.best(languages.detected(df, ["id"], profile), ["id"]), "id") == [(1, "eng"), (2, "deu")]
+
+
+def test_language_strings(spark):
+    df = spark.createDataFrame([('"en",de',), ("http://lexvo.org/id/iso639-3/fra; ES-mx",), (None,), ("Old English, x",)], "t string")
+    assert [r.c for r in df.select(metadata.language_codes(df.t).alias("c")).collect()] == [["en", "de"], ["fra", "es"], None, []]
+
+
+def test_headers_without_fields_have_defaults(spark):
+    df = spark.createDataFrame([("HTTP/1.0 404 Not Found\r\ncontent-length: x\r\n",), ("",)], "t string")
+    assert [tuple(r) for r in df.select(*registry.header(F.col("t")).values()).collect()] == [(404, 0, "", "", ""), (0, 0, "", "", "")]
+
+
+def test_selections_are_left_where_none_would_stay(spark):
+    df = spark.createDataFrame([(1, "a", True), (1, "b", True), (2, "a", True), (2, "b", False)], "g int, k string, selected boolean")
+    wish = spark.createDataFrame([(1, "a"), (2, "a")], "g int, k string")
+    assert rows(registry.deselected(df, wish, ["g"], "k"), "g", "k") == [(1, "a", False), (1, "b", True), (2, "a", True), (2, "b", False)]
+
+
+def test_updated_dictionaries_match_only_what_is_new(spark):
+    form = "model string, class string, tag string, is_regex boolean, lang string"
+    hit = spark.createDataFrame([(1, "x", 2), (1, "y", 1)], "file_id int, token string, cnt int")
+    old, new = spark.createDataFrame([("M", "C", "x", False, ""), ("M", "C", "y", False, "")], form), spark.createDataFrame([("M", "C", "x", False, ""), ("N", "D", "y", False, "")], form)
+    got = models.updated(hit, matching.matches(hit, old), old, new)
+    assert rows(got.select("token", "model"), "token") == [("x", "M"), ("y", "N")]
+
+
+def test_json_ld_names_and_rdf_xml_spaces(spark, tmp_path):
+    (tmp_path / "a.jsonld").write_text('{"@context": {"@vocab": "http://v/", "n": "http://n/name"}, "@id": "http://s", "@type": "T", "n": ["x", {"@value": "y", "@language": "de"}], "k": {"@id": "http://o"}}\nbroken\n')
+    got = rows(rdf.read(spark, str(tmp_path / "a.jsonld"), "jsonld").select("p", "o", "o_kind", "o_lang"), "p", "o")
+    assert got == [("http://n/name", "x", "literal", ""), ("http://n/name", "y", "literal", "de"), ("http://v/k", "http://o", "uri", ""), (rdf.RDF + "type", "http://v/T", "uri", "")]
+    (tmp_path / "b.rdf").write_text('<rdf:RDF xmlns:rdf="r#" xmlns:d="http://d/">\n<rdf:Description rdf:about="s1"><d:t>a &amp; b</d:t></rdf:Description>\n<rdf:Description rdf:nodeID="n"><d:u rdf:resource="o"/></rdf:Description></rdf:RDF>')
+    assert rows(rdf.read(spark, str(tmp_path / "b.rdf"), "rdf").select("s", "p", "o", "o_kind"), "s") == [("_:n", "http://d/u", "o", "uri"), ("s1", "http://d/t", "a & b", "literal")]
+
+
+def test_stream_of_commands_keeps_states_across_batches(spark, tmp_path):
+    form = "request string, action string, ts int"
+    parts = [[("a", "queue", 1), ("b", "queue", 1), ("c", "start", 1)], [("a", "cancel", 2), ("b", "start", 2), ("b", "cancel", 3)], [("b", "done", 4), ("a", "queue", 5), ("d", "queue", 5)]]
+    checkpoint = str(tmp_path / "check")
+    for part in parts:
+        spark.createDataFrame(part, form).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = queue.tracked(spark.readStream.schema(form).parquet(str(tmp_path / "in")))
+        seen = []
+        q = stream.writeStream.outputMode("update").foreachBatch(lambda df, n, seen=seen: seen.extend(df.collect())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+    assert sorted((r.request, r.state, r.changes) for r in seen) == [("a", "QUEUED", 3), ("b", "DONE", 3), ("d", "QUEUED", 1)]
+    whole = queue.tracked_all(spark.createDataFrame([x for p in parts for x in p], form), ["ts"])
+    assert rows(whole, "request") == [("a", "QUEUED", 3), ("b", "DONE", 3), ("c", "", 0), ("d", "QUEUED", 1)]
+
+
 @pytest.mark.parametrize("hidden", ["lexispark.llm", "corpus_pipeline"])
 def test_nothing_else_imports_the_corpus_operators(hidden):
     import pathlib
