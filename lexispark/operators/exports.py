@@ -88,3 +88,38 @@ def merged_json(files: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set("url")).alias("urls"), F.sort_array(F.collect_set("lang")).alias("languages"), F.sort_array(F.collect_list(F.struct("file_id", "format", "lang"))).alias("files")
     )
     return per.select("key", F.to_json(F.struct("urls", "languages", "files")).alias("json"))
+
+
+def catalogue(files: DataFrame, models: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(line): the whole catalogue of accepted files as N-Triples: data sets with their titles and number of files, distributions with
+    format and size, languages by address, models and the concepts found. files(url, file_id, status, lang, format, n_chars, source),
+    models(file_id, model), concepts(file_id, concept)."""
+    ok = files.where("status = 'ACCEPTED'").withColumn("node", F.concat("url", F.lit("#"), F.sha2(F.col("file_id").cast("string"), 256)))
+    per = ok.groupBy("url").agg(F.max("source").alias("title"), F.count_distinct("file_id").alias("n"))
+    own = ok.select("file_id", "node")
+    term = "http://purl.org/dc/terms/"
+    literal, uri = F.lit("literal"), F.lit("uri")
+    row = lambda df, s, p, o, kind: df.select(F.col(s).alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), kind.alias("o_kind"), F.lit("").alias("o_lang"), F.lit("").alias("o_type"))
+    parts = [
+        row(per, "url", TYPE, F.lit(DATASET), uri), row(per, "url", term + "title", F.col("title"), literal), row(per, "url", term + "extent", F.col("n"), literal),
+        row(ok, "url", DISTRIBUTION, F.col("node"), uri), row(ok, "node", term + "format", F.col("format"), literal), row(ok, "node", "http://www.w3.org/ns/dcat#byteSize", F.col("n_chars"), literal),
+        row(ok.where("lang <> ''"), "node", LANGUAGE, F.concat(F.lit("http://lexvo.org/id/iso639-3/"), "lang"), uri),
+        row(own.join(models, "file_id"), "node", term + "conformsTo", F.col("model"), literal), row(own.join(concepts, "file_id"), "node", term + "subject", F.col("concept"), literal),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return statement_lines(out.distinct())
+
+
+def xml_records(rows: DataFrame, key: str, root: str, elements: dict[str, str]) -> DataFrame:
+    """(key, record): a library record per row, an element for each of elements(element -> column or array column) that is not null."""
+    kinds = dict(rows.dtypes)
+
+    def element(name: str, column: str) -> Column:
+        one = lambda v: F.concat(F.lit(f"<{name}>"), xml_text(v.cast("string")), F.lit(f"</{name}>"))
+        if kinds[column].startswith("array"):
+            return F.coalesce(F.array_join(F.transform(column, one), ""), F.lit(""))
+        return F.coalesce(one(F.col(column)), F.lit(""))
+
+    return rows.select(key, F.concat(F.lit(f"<{root}>"), *[element(n, c) for n, c in elements.items()], F.lit(f"</{root}>")).alias("record"))

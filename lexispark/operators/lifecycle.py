@@ -146,3 +146,27 @@ def language_probabilities(detected: DataFrame) -> DataFrame:
     total = detected.groupBy("file_id").agg(F.count("*").alias("total"))
     per = detected.groupBy("file_id", "lang").agg(F.count("*").alias("n"), F.min("prob").alias("min_prob"), F.max("prob").alias("max_prob"), F.sum("prob").alias("s"))
     return per.join(total, "file_id").select("file_id", "lang", "n", "min_prob", "max_prob", F.round(F.col("s") / F.col("total"), 9).alias("avg_prob"))
+
+
+def reconciled_twice(old: DataFrame, new: DataFrame, keys: list[str], part: list[str], value: str) -> DataFrame:
+    """(keys, value, state): as `reconciled`, and what the full key leaves unmatched is tried by part of it, where that is
+    unambiguous on either side: such rows are moved, with the new value."""
+    state = reconciled(old, new, keys, [value])
+    gone, added = state.where("state = 'dropped'"), state.where("state = 'added'")
+    once = lambda df: df.groupBy(*part).agg(F.count("*").alias("n"), F.first(value).alias("v")).where("n = 1").drop("n")
+    moved = once(gone).select(*part).join(once(added), part)
+    rest = state.join(moved.withColumn("m", F.lit(True)).drop("v"), part, "left")
+    kept = rest.where("NOT (coalesce(m, false) AND state = 'dropped')")
+    return kept.select(*keys, value, F.when(F.col("m") & (F.col("state") == "added"), "moved").otherwise(F.col("state")).alias("state"))
+
+
+def bulk(files: DataFrame, actions: list[tuple[str, str]]) -> DataFrame:
+    """files after (prefix, action) for all whose url begins with a prefix: accept, disable, process, rescan or delete; the first
+    that fits counts."""
+    states = {"accept": "ACCEPTED", "disable": "DISABLED", "process": "PROCESSED", "rescan": "QUEUED", "delete": None}
+    fits, status = F.lit(False), F.col("status")
+    for prefix, action in reversed(actions):
+        hit = F.col("url").startswith(prefix)
+        fits = F.when(hit, action == "delete").otherwise(fits)
+        status = F.when(hit, F.lit(states[action])).otherwise(status)
+    return files.where(~fits).withColumn("status", status)

@@ -108,6 +108,31 @@ def pattern_counts(cell: DataFrame, delimiter: str) -> DataFrame:
     return cell.select(parts.alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("cnt"))
 
 
+def pattern_parts(cell: DataFrame, delimiters: list[str]) -> DataFrame:
+    """(file_id, col, token, cnt): values in parts by the delimiters, then |, then :; columns with more than NUMERIC_TAGS different
+    numbers are out."""
+    quoted = "".join("\\" + d for d in delimiters)
+    parts = cell.select("file_id", "col", F.explode(F.split("value", F.lit(f"[{quoted}|:]"), -1)).alias("token")).where("token <> ''")
+    counts = parts.groupBy("file_id", "col", "token").agg(F.count("*").alias("cnt"))
+    numeric = counts.where(F.col("token").rlike("^[0-9]+$")).groupBy("file_id", "col").agg(F.count("*").alias("n")).where(F.col("n") > NUMERIC_TAGS)
+    return counts.join(numeric, ["file_id", "col"], "left_anti")
+
+
+def sentence_pools(numbered: DataFrame, least: int = SAMPLE_TOKENS) -> DataFrame:
+    """(file_id, sent_no, pool): whole sentences in a row make a pool until it has `least` tokens; none is used twice."""
+    size = numbered.groupBy("file_id", "sent_no").agg(F.count("*").cast("int").alias("n"))
+    rows = F.sort_array(F.collect_list(F.struct("sent_no", "n")))
+
+    def step(s, x):
+        full = s["held"] >= least
+        pool = F.when(full, s["pool"] + 1).otherwise(s["pool"])
+        return F.struct(pool.alias("pool"), F.when(full, x["n"]).otherwise(s["held"] + x["n"]).alias("held"), F.concat(s["out"], F.array(F.struct(x["sent_no"].alias("sent_no"), pool.alias("pool")))).alias("out"))
+
+    none = F.array().cast("array<struct<sent_no:bigint,pool:int>>")
+    start = F.struct(F.lit(0).alias("pool"), F.lit(0).alias("held"), none.alias("out"))
+    return size.groupBy("file_id").agg(rows.alias("r")).select("file_id", F.inline(F.aggregate("r", start, step, lambda s: s["out"])))
+
+
 def first_rows(cell: DataFrame, most: int) -> DataFrame:
     """The first rows of each file; -1: all of them."""
     return cell if most < 0 else cell.where(F.col("row_no") < most)

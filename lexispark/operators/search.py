@@ -66,3 +66,9 @@ def statistics(files: DataFrame) -> DataFrame:
     per = f.groupBy("url").agg(*[F.bool_or(F.col("type") == t).alias(t.lower()) for t in ("CORPUS", "LEXICON", "ONTOLOGY")], *[F.bool_or(F.col("format") == t).alias(t.lower()) for t in ("RDF", "CONLL", "XML")])
     counts = per.agg(F.count("*").alias("resources"), *[F.count_if(c).alias(c) for c in ("corpus", "lexicon", "ontology", "rdf", "conll", "xml")])
     return counts.join(f.agg(F.count_distinct("lang").alias("languages")))
+
+
+def checked(values: DataFrame, known: DataFrame) -> DataFrame:
+    """(value, known): which of the values of a search the catalogue knows at all; a search for others is refused."""
+    there = known.select("value").distinct().withColumn("k", F.lit(True))
+    return values.select("value").distinct().join(there, "value", "left").select("value", F.col("k").isNotNull().alias("known"))

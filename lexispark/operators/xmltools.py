@@ -29,6 +29,14 @@ def key_space(overview: DataFrame) -> DataFrame:
     return overview.where("attr <> ''").groupBy("path").agg(F.sort_array(F.collect_set("attr")).alias("attrs"))
 
 
+def complete_nodes(overview: DataFrame) -> DataFrame:
+    """overview without elements that lack an attribute which others of their path have."""
+    own = overview.where("attr <> ''").groupBy("file_id", "node_no", "path").agg(F.count_distinct("attr").alias("has"))
+    all_ = overview.where("attr <> ''").groupBy("path").agg(F.count_distinct("attr").alias("may"))
+    full = own.join(all_, "path").where("has = may").select("file_id", "node_no")
+    return overview.join(full, ["file_id", "node_no"], "left_semi")
+
+
 def annotation_attributes(overview: DataFrame) -> DataFrame:
     """Attributes that pass two of three checks: few different values, mostly not all small letters, mostly without blanks."""
     v = F.col("value")

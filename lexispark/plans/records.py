@@ -137,7 +137,12 @@ def html_links(s, d):
     return readers.html_links(t.table(s, d, "pages"))
 
 
-@query("html_plain_text", None)
+PLAIN = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>', ' ', 'g')"
+for _reference, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    PLAIN = f"replace({PLAIN}, '{_reference}', '{_char}')"
+
+
+@query("html_plain_text", rf"SELECT page_id, trim(regexp_replace({PLAIN}, '\s+', ' ', 'g')) AS text FROM pages")
 def html_plain_text(s, d):
     return t.table(s, d, "pages").select("page_id", readers.html_text("html").alias("text"))
 
@@ -406,7 +411,7 @@ def rdf_export(s, d):
     return exports.ntriples(t.files(s, d))
 
 
-@query("json_export", None)
+@query("json_export", """SELECT url, to_json({'url': url, 'languages': list(DISTINCT lang ORDER BY lang), 'files': list({'file_id': file_id, 'format': format, 'status': status, 'type': type, 'lang': lang} ORDER BY file_id)})::VARCHAR AS json FROM files GROUP BY url""")
 def json_export(s, d):
     return exports.nested_json(t.files(s, d))
 

@@ -133,7 +133,7 @@ def html_links(pages: DataFrame) -> DataFrame:
 
 def html_text(html: str) -> Column:
     """Markup out, a handful of references decoded, white space collapsed: text enough to search in."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    out = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>", " ")
     return F.trim(F.regexp_replace(decoded(out), r"\s+", " "))
 
 

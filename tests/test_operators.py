@@ -48,6 +48,11 @@ def test_sentences_start_where_the_index_falls(spark):
     assert rows(roles.sentences(df).select("row_no", "sent_no"), "row_no") == [(0, 0), (1, 0), (3, 1), (4, 2)]
 
 
+def test_pools_of_sentences_take_whole_ones_and_none_twice(spark):
+    df = spark.createDataFrame([(1, s, s * 10 + i) for s, n in enumerate([2, 3, 1, 5, 1]) for i in range(n)], "file_id int, sent_no long, row_no int")
+    assert rows(roles.sentence_pools(df, 4).select("sent_no", "pool"), "sent_no") == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)]
+
+
 def test_feature_counts_drop_blanks_and_second_values(spark):
     df = spark.createDataFrame([("Case=Nom|Number=Sing=x|bad|Gloss=No|e=",), ("_",)], "feats string")
     assert rows(roles.feature_counts(df), "name") == [("Case", "Nom", 1), ("Number", "Sing", 1)]
