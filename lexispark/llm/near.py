@@ -37,6 +37,8 @@ SLACK = 0.2
 CHUNK = 4096
 #: The most sets, and shingles, of a block that meets another one in a task (about; hashing deals them out).
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
+#: What a group costs besides its pairs, as so many pairs.
+GROUP_COST = 500.0
 #: Ids (16 bytes each) that may be broadcast to pick texts, and clusters (or their size classes); more of them are shuffled.
 BROADCAST_IDS = BROADCAST_CLUSTERS = 500_000
 
@@ -199,23 +201,38 @@ def _block_links(words: int, percent: int):
     return run
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(cluster, main, pairs) of rows(cluster, component): groups of several components, their largest one, and how many pairs its
+    strays make with all members."""
+    parts = rows.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    per = parts.groupBy("cluster").agg(F.max(F.struct("size", "component")).alias("m"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    return materialize(per.select("cluster", F.col("m.component").alias("main"), ((F.col("all") - F.col("m.size")) * F.col("all").cast("double") + GROUP_COST).alias("pairs")), "mixed")
+
+
 def _rest(rows: DataFrame, classes: DataFrame, members: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
     """Links that the leaders have missed: between different components of `found` that share groups.
 
     Candidates that hang together through groups are a cluster. Its largest component is the main one, the others are
-    strays. Members are dealt into blocks by size class and hash; every block of strays meets the cluster's blocks of the
-    same and the next size class (sets more than one class apart cannot be linked), each pair of blocks in a task of
-    bounded size that counts all intersections and returns a spanning forest of the links. So rows between tasks are
+    strays. Strays meet the members of their cluster, or of their groups where that makes fewer pairs (boilerplate can chain very many
+    different texts into one cluster, of which few share a group). Members are dealt into blocks by size class and hash; every block of
+    strays meets the blocks of the same and the next size class (sets more than one class apart cannot be linked), each pair of blocks
+    in a task of bounded size that counts all intersections and returns a spanning forest of the links. So rows between tasks are
     members per block, never pairs of members."""
     loose = components(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     placed = loose.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = placed.join(classes.select("id", "th", "n"), "id")
-    placed = materialize(placed, "placed")
-    parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("cluster").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("cluster", F.col("m.component").alias("main"))
-    mixed = materialize(mixed, "mixed")
+    placed = materialize(placed.join(classes.select("id", "th", "n"), "id"), "placed")
+    mixed = _mixed(placed)
+    inside = small_join(placed, mixed.select("cluster"), ["cluster"], BROADCAST_CLUSTERS)
+    grouped = materialize(inside.join(members.select("id", "band"), "id").select("id", "th", "n", "component", F.col("cluster").alias("whole"), F.col("band").alias("cluster")), "grouped")
+    mixed_groups = _mixed(grouped)
+    cost = small_join(grouped.select("cluster", "whole").distinct(), mixed_groups, ["cluster"], BROADCAST_CLUSTERS).groupBy(F.col("whole").alias("cluster")).agg(F.sum("pairs").alias("by_group"))
+    by_group = materialize(mixed.join(cost, "cluster", "left").select("cluster", (F.coalesce("by_group", F.lit(0.0)) < F.col("pairs")).alias("groups")), "choice")
+    own = ["id", "th", "n", "cluster", "component"]
+    whole = small_join(inside.select(*own), by_group.where("NOT groups").join(mixed, "cluster").select("cluster", "main"), ["cluster"], BROADCAST_CLUSTERS)
+    split = small_join(grouped, by_group.where("groups").select(F.col("cluster").alias("whole")), ["whole"], BROADCAST_CLUSTERS)
+    split = small_join(split.select(*own), mixed_groups.select("cluster", "main"), ["cluster"], BROADCAST_CLUSTERS)
     log = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int")
-    dealt = small_join(placed, mixed, ["cluster"], BROADCAST_CLUSTERS).select("id", "th", "n", "cluster", "component", (F.col("component") != F.col("main")).alias("stray"), log.alias("size_class"))
+    dealt = whole.select(*own, "main").union(split.select(*own, "main")).select(*own, (F.col("component") != F.col("main")).alias("stray"), log.alias("size_class"))
     counts = dealt.groupBy("cluster", "stray", "size_class").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     counts = materialize(counts, "counts")
     dealt = small_join(dealt, counts, ["cluster", "stray", "size_class"], BROADCAST_CLUSTERS).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")).drop("blocks")

@@ -78,7 +78,10 @@ def test_stages_take_odd_rows(spark, name):
 # 5 near duplicates
 
 
-def test_near_duplicates_of_a_table_in_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("group_cost", [1e9, -1e9])
+def test_near_duplicates_of_a_table_in_small_blocks(spark, monkeypatch, group_cost):
+    """With strays compared within clusters, and within groups; both sides of small joins shuffled."""
+    monkeypatch.setattr(near, "GROUP_COST", group_cost)
     monkeypatch.setattr(near, "BLOCK_SETS", 8)
     monkeypatch.setattr(near, "BROADCAST_CLUSTERS", 0)
     rows = common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
