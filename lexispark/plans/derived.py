@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.columns import iso_language
+from lexispark.sources.readers import spread
 
 #: A small annotation dictionary: model, class, tag, is pattern, language ('' = any).
 TAGS = [
@@ -45,9 +46,14 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(("true" if x else "false") if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """The texts, dealt to all cores."""
+    return spread(table(spark, d, "documents"))
+
+
 def token_count(spark: SparkSession, d: str) -> DataFrame:
     words = F.explode(F.split(F.lower("text"), "[^a-z]+", -1)).alias("token")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), words).where("token <> ''").groupBy("file_id", "token").agg(F.count("*").alias("cnt"))
+    return documents(spark, d).select(F.col("doc_id").alias("file_id"), words).where("token <> ''").groupBy("file_id", "token").agg(F.count("*").alias("cnt"))
 
 
 def tag_dict(spark: SparkSession, d: str = "") -> DataFrame:

@@ -143,7 +143,7 @@ def column_vocabulary(s, d):
 @query("text_columns_spoken", None)
 def text_columns_spoken(s, d):
     """Text columns in which a language is detected, by profiles of the documents."""
-    docs = t.table(s, d, "documents")
+    docs = t.documents(s, d)
     profile = written(languages.profiles(docs.select("lang", "text")))
     c = cell(s, d)
     spoken = languages.detected(c.select("file_id", "col", F.col("value").alias("text")), ["file_id", "col"], profile)
@@ -218,22 +218,22 @@ DETECTED = f"""(SELECT doc_id, lang, round(exp(score - max(score) OVER w) / sum(
 
 
 def _profile(s, d):
-    return written(languages.profiles(t.table(s, d, "documents").select("lang", "text")))
+    return written(languages.profiles(t.documents(s, d).select("lang", "text")))
 
 
 @query("language_profiles", f"SELECT lang, gram, freq FROM {PROFILE}")
 def language_profiles(s, d):
-    return languages.profiles(t.table(s, d, "documents").select("lang", "text"))
+    return languages.profiles(t.documents(s, d).select("lang", "text"))
 
 
 @query("language_detection", f", profile AS {PROFILE} SELECT doc_id, lang, round(prob, 3) AS prob FROM {DETECTED} WHERE prob >= 0.1")
 def language_detection(s, d):
-    return languages.detected(t.table(s, d, "documents").select("doc_id", "text"), ["doc_id"], _profile(s, d)).select("doc_id", "lang", F.round("prob", 3).alias("prob"))
+    return languages.detected(t.documents(s, d).select("doc_id", "text"), ["doc_id"], _profile(s, d)).select("doc_id", "lang", F.round("prob", 3).alias("prob"))
 
 
 @query("ngram_language_score", f", profile AS {PROFILE} SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY prob DESC, lang) AS k FROM {DETECTED}) WHERE k = 1")
 def ngram_language_score(s, d):
-    return languages.best(languages.detected(t.table(s, d, "documents").select("doc_id", "text"), ["doc_id"], _profile(s, d)), ["doc_id"])
+    return languages.best(languages.detected(t.documents(s, d).select("doc_id", "text"), ["doc_id"], _profile(s, d)), ["doc_id"])
 
 
 @query("sentence_languages", None)
@@ -241,7 +241,7 @@ def sentence_languages(s, d):
     """Per document the languages of its lines: how many lines each is the best of, and its mean probability over all lines."""
     from lexispark.operators import lifecycle
 
-    lines = t.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    lines = t.documents(s, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     found = written(languages.detected(lines, ["doc_id", "line"], _profile(s, d)))
     top = languages.best(found, ["doc_id", "line"]).join(found, ["doc_id", "line", "lang"])
     return lifecycle.language_probabilities(top.select(F.col("doc_id").alias("file_id"), "lang", "prob"))

@@ -334,7 +334,7 @@ XML = "'<s id=\"' || p_partkey || '\"><w pos=\"' || p_type || '\" brand=\"' || p
 def xml_docs(s, d):
     p = t.table(s, d, "part")
     text = F.concat(F.lit('<s id="'), F.col("p_partkey").cast("string"), F.lit('"><w pos="'), "p_type", F.lit('" brand="'), "p_brand", F.lit('">'), F.col("p_size").cast("string"), F.lit('</w><w pos="X">y</w></s>'))
-    return p.select(F.col("p_partkey").alias("file_id"), text.alias("xml"))
+    return readers.spread(p.select(F.col("p_partkey").alias("file_id"), text.alias("xml")))
 
 
 OVERVIEW = """(SELECT p_partkey AS file_id, x[1]::INT AS node_no, x[2] AS path, x[3] AS attr, x[4] AS value FROM (SELECT p_partkey, unnest([['0', '/s', '', ''], ['0', '/s', 'id', p_partkey::VARCHAR], ['1', '/s/w', '', ''], ['1', '/s/w', 'pos', p_type], ['1', '/s/w', 'brand', p_brand], ['1', '/s/w', 'text()', p_size::VARCHAR], ['2', '/s/w', '', ''], ['2', '/s/w', 'pos', 'X'], ['2', '/s/w', 'text()', 'y']]) AS x FROM part))"""

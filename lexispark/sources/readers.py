@@ -18,6 +18,13 @@ MIN_ROWS, MAX_ROWS = 100, 2000
 
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it comes in fewer parts than there are (small tables are one file of one row group); what comes in
+    more parts, as large tables do, is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def unescaped(body: Column) -> Column:
     """A literal's text, its escapes read once from left to right."""
     pieces = F.regexp_extract_all(body, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
