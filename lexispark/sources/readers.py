@@ -18,11 +18,15 @@ MIN_ROWS, MAX_ROWS = 100, 2000
 
 
 
+#: Up to this size (in bytes, as Spark estimates it) a table in fewer files than cores is dealt out anew.
+SMALL = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores if it comes in fewer parts than there are (small tables are one file of one row group); what comes in
-    more parts, as large tables do, is left as it is."""
+    """A small table dealt to all cores if it has fewer files than there are (a small file is one task's); others are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
 def unescaped(body: Column) -> Column:
