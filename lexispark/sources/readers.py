@@ -25,7 +25,7 @@ SMALL = 256 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A small table dealt to all cores if it has fewer files than there are (a small file is one task's); others are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
     return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
