@@ -76,11 +76,43 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP4_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(b[i:i + 199]) AS s FROM d, LATERAL (SELECT unnest(range(1, n - 198)) AS i) WHERE n >= 200),
+h AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM h),
+r AS (SELECT doc_id, k, min(i) AS a, max(i) + 199 AS z FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, z FROM r UNION ALL SELECT doc_id, n + 1, n FROM d),
+k AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z), 0) + 1 AS first, a - 1 AS last FROM e),
+t AS (SELECT doc_id, string_agg(hex(b[first:last]), '' ORDER BY first) AS kept FROM k JOIN d USING (doc_id) WHERE last >= first GROUP BY doc_id),
+c AS (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near.near_dedup(docs, words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, chr(31))] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(30) ORDER BY g)) AS h FROM s GROUP BY doc_id),
+m AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h, n) AS rep FROM n),
+r AS (SELECT s.doc_id, g, n FROM s JOIN m USING (doc_id) WHERE doc_id = rep),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+reach(x, y) AS (SELECT DISTINCT x, x FROM l UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+c AS (SELECT x, min(y) AS component FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, rep, d.doc_id) AS component_id, d.doc_id = coalesce(component, rep, d.doc_id) AS kept
+FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN c ON c.x = rep
+"""
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its findings in order, joined, and how many there are."""
     return licenses.findings(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -155,5 +187,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1_SQL,
         "op2_mix": OP2_SQL,
+        "op4_suffix_dedup": OP4_SQL,
+        "op5_near_dedup": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
     }
