@@ -60,8 +60,14 @@ def tag_dict(spark: SparkSession, d: str = "") -> DataFrame:
     return spark.createDataFrame(TAGS, "model string, class string, tag string, is_regex boolean, lang string")
 
 
-def class_edge(spark: SparkSession, d: str = "") -> DataFrame:
-    return spark.createDataFrame(EDGES, "src string, dst string, relation string")
+def class_edge(spark: SparkSession, d: str) -> DataFrame:
+    """EDGES, and below them the suppliers of nations of regions, a tree that grows with the tables."""
+    s, n, r = (table(spark, d, x) for x in ("supplier", "nation", "region"))
+    nation, region = F.concat(F.lit("N:"), "n_name"), F.concat(F.lit("R:"), "r_name")
+    known = spark.createDataFrame(EDGES, "src string, dst string, relation string")
+    below = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("src"), nation.alias("dst"), F.lit("SUB").alias("relation"))
+    above = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(nation, region, F.lit("SUB"))
+    return known.union(below).union(above).union(r.select(region, F.lit("Word"), F.lit("UNION")))
 
 
 def file_language(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +97,8 @@ SQL = rf"""
 WITH RECURSIVE token_count AS (
   SELECT file_id, token, count(*) AS cnt FROM (SELECT doc_id AS file_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM documents) WHERE token <> '' GROUP BY ALL
 ), tag_dict(model, class, tag, is_regex, lang) AS (VALUES {_values(TAGS)}),
-class_edge(src, dst, relation) AS (VALUES {_values(EDGES)}),
+class_edge(src, dst, relation) AS (SELECT * FROM (VALUES {_values(EDGES)}) UNION ALL SELECT 'S' || s_suppkey, 'N:' || n_name, 'SUB' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'N:' || n_name, 'R:' || r_name, 'SUB' FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'R:' || r_name, 'Word', 'UNION' FROM region),
 file_language AS (SELECT doc_id AS file_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' ELSE '' END AS lang FROM documents),
 resource_file AS (
   SELECT 'http://r.example/' || (doc_id % 400) AS url, doc_id AS file_id, f.lang, coalesce(quality = 1, true) AS selected, source, n_chars

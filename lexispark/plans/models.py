@@ -116,7 +116,7 @@ def tags_of_model(s, d):
 
 @query("class_descriptions", "SELECT DISTINCT src AS class, dst AS top, CASE WHEN dst LIKE '%Word' THEN 'about ' || dst END AS comment FROM (SELECT DISTINCT * FROM closure WHERE src <> dst AND dst IN ('Word', 'Nominal'))")
 def class_descriptions(s, d):
-    edge = t.class_edge(s)
+    edge = t.class_edge(s, d)
     found = graph.closure(edge).where("dst IN ('Word', 'Nominal')").select("src", F.array("src", "dst").alias("path"))
     return models.class_descriptions(found, s.createDataFrame([("Word", "about Word")], "class string, comment string"))
 

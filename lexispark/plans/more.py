@@ -75,7 +75,7 @@ def reconcile_twice(s, d):
   UNION SELECT '<' || url || '#' || sha256(file_id::VARCHAR) || '> <http://purl.org/dc/terms/subject> "' || c.dst || '" .' FROM files JOIN found USING (file_id) JOIN closure c ON class = src WHERE status = 'ACCEPTED' AND c.dst IN ('Word', 'ContentWord', 'FunctionWord') AND src <> dst""")
 def catalogue_export(s, d):
     found = _found(s, d)[1].select("file_id", "model", "class").distinct()
-    mapped = graph.concepts(t.tag_dict(s), graph.closure(t.class_edge(s)), _top(s)).select("class", "concept").distinct()
+    mapped = graph.concepts(t.tag_dict(s), graph.closure(t.class_edge(s, d)), _top(s)).select("class", "concept").distinct()
     return exports.catalogue(t.files(s, d), found.select("file_id", "model").distinct(), found.join(mapped, "class").select("file_id", "concept").distinct())
 
 
@@ -97,4 +97,4 @@ def search_values_checked(s, d):
 def labelled_paths(s, d):
     """Paths as texts, each node by its kind."""
     kind = lambda x: F.when(x.startswith("#"), "(any)").when(x.endswith("Word"), F.concat(F.lit("class:"), x)).otherwise(F.concat(F.lit("tag:"), x))
-    return graph.paths(t.class_edge(s)).select("src", "dst", F.array_join(F.transform("path", kind), " > ").alias("label"))
+    return graph.paths(t.class_edge(s, d)).select("src", "dst", F.array_join(F.transform("path", kind), " > ").alias("label"))

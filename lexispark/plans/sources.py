@@ -108,7 +108,7 @@ def files_listed(s, d):
 
 @query("graph_read", "SELECT DISTINCT src, dst, relation FROM class_edge")
 def graph_read(s, d):
-    edge = t.class_edge(s)
+    edge = t.class_edge(s, d)
     path = folder(s, "graph")
     exports.save_graph(edge.select(F.col("src").alias("node")).distinct(), edge, path)
     return readers.load_graph(s, path, "node string", "src string, dst string, relation string")[1].distinct()

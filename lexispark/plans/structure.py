@@ -50,67 +50,67 @@ PATHS = "SELECT DISTINCT src, dst, path FROM closure WHERE src <> dst"
 
 @query("all_paths", PATHS)
 def all_paths(s, d):
-    return graph.paths(t.class_edge(s))
+    return graph.paths(t.class_edge(s, d))
 
 
 @query("closure", "SELECT DISTINCT src, dst FROM closure WHERE src <> dst")
 def closure(s, d):
-    return graph.closure(t.class_edge(s))
+    return graph.closure(t.class_edge(s, d))
 
 
 @query("lowest_classes", "SELECT DISTINCT file_id, class FROM found f WHERE NOT EXISTS (SELECT 1 FROM found g JOIN closure c ON g.class = c.src WHERE g.file_id = f.file_id AND c.dst = f.class)")
 def lowest_classes(s, d):
     found = matching.matches(written(t.token_count(s, d)), t.tag_dict(s), t.file_language(s, d)).select("file_id", "class").distinct()
-    return graph.lowest(found, graph.closure(t.class_edge(s)), "file_id", "class")
+    return graph.lowest(found, graph.closure(t.class_edge(s, d)), "file_id", "class")
 
 
 @query("shortest_path", f"""SELECT src, m[3] AS dst, list_filter(m[2], lambda x: NOT starts_with(x, '#')) AS path FROM (
   SELECT src, min((len(path), path, dst)) AS m FROM (SELECT DISTINCT * FROM closure WHERE src <> dst AND dst IN ({', '.join(repr(x) for x in TOP)})) GROUP BY src)""")
 def shortest_path(s, d):
-    return graph.shortest(t.class_edge(s), _top(s))
+    return graph.shortest(t.class_edge(s, d), _top(s))
 
 
 @query("longest_upper_path", f"SELECT src, list_filter(path, lambda x: NOT starts_with(x, '#')) AS path FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY len(path) DESC, path) AS n FROM ({PATHS})) WHERE n = 1")
 def longest_upper_path(s, d):
-    return graph.longest(graph.paths(t.class_edge(s)), "src")
+    return graph.longest(graph.paths(t.class_edge(s, d)), "src")
 
 
 @query("longest_lower_path", f"SELECT dst, list_filter(path, lambda x: NOT starts_with(x, '#')) AS path FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY len(path) DESC, path) AS n FROM ({PATHS})) WHERE n = 1")
 def longest_lower_path(s, d):
-    return graph.longest(graph.paths(t.class_edge(s)), "dst")
+    return graph.longest(graph.paths(t.class_edge(s, d)), "dst")
 
 
 @query("reach_suffix", "SELECT DISTINCT node FROM (SELECT src AS node FROM closure WHERE (dst LIKE '%entWord' OR dst = 'Nominal') AND src <> dst UNION ALL SELECT unnest([src, dst]) FROM class_edge) WHERE node LIKE '%entWord' OR node = 'Nominal' OR node IN (SELECT src FROM closure WHERE dst LIKE '%entWord' OR dst = 'Nominal')")
 def reach_suffix(s, d):
-    edge = t.class_edge(s)
+    edge = t.class_edge(s, d)
     return graph.reach_suffix(edge, graph.closure(edge), "entWord", s.createDataFrame([("Nominal", "FEATS"), ("Symbol", "POS")], "node string, tier string"))
 
 
 @query("tag_to_concept", f"SELECT DISTINCT tag, class, c.dst AS concept FROM tag_dict JOIN closure c ON class = src WHERE c.dst IN ({', '.join(repr(x) for x in TOP)}) AND src <> dst")
 def tag_to_concept(s, d):
-    return graph.concepts(t.tag_dict(s), graph.closure(t.class_edge(s)), _top(s))
+    return graph.concepts(t.tag_dict(s), graph.closure(t.class_edge(s, d)), _top(s))
 
 
 @query("concepts_of_hits", f"SELECT DISTINCT file_id, token, c.dst AS concept FROM found JOIN closure c ON class = src WHERE c.dst IN ({', '.join(repr(x) for x in TOP)}) AND src <> dst")
 def concepts_of_hits(s, d):
     found = matching.matches(written(t.token_count(s, d)), t.tag_dict(s), t.file_language(s, d))
-    mapped = graph.concepts(t.tag_dict(s), graph.closure(t.class_edge(s)), _top(s))
+    mapped = graph.concepts(t.tag_dict(s), graph.closure(t.class_edge(s, d)), _top(s))
     return found.join(mapped.drop("tag").distinct(), "class").select("file_id", "token", "concept").distinct()
 
 
 @query("concept_sets", "SELECT src, list(DISTINCT dst ORDER BY dst) AS above FROM closure WHERE src <> dst GROUP BY src")
 def concept_sets(s, d):
-    return graph.closure(t.class_edge(s)).groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("above"))
+    return graph.closure(t.class_edge(s, d)).groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("above"))
 
 
 @query("missing_links", "SELECT DISTINCT class FROM tag_dict WHERE class NOT IN (SELECT src FROM closure WHERE dst = 'ContentWord')")
 def missing_links(s, d):
-    return t.tag_dict(s).select("class").distinct().join(graph.closure(t.class_edge(s)).where("dst = 'ContentWord'"), F.col("class") == F.col("src"), "left_anti")
+    return t.tag_dict(s).select("class").distinct().join(graph.closure(t.class_edge(s, d)).where("dst = 'ContentWord'"), F.col("class") == F.col("src"), "left_anti")
 
 
 @query("class_degrees", "SELECT class AS node, (SELECT count(*) FROM class_edge WHERE src = class) AS out_degree, (SELECT count(*) FROM class_edge WHERE dst = class) AS in_degree FROM (SELECT src AS class FROM class_edge UNION SELECT dst FROM class_edge)")
 def class_degrees(s, d):
-    e = t.class_edge(s)
+    e = t.class_edge(s, d)
     ends = e.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("dst", F.lit(0), F.lit(1)))
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
@@ -150,7 +150,7 @@ def feature_class_match(s, d):
     feature = t.table(s, d, "part").select(F.col("p_partkey").alias("row"), F.lit("Word").alias("name"), F.col("p_type").alias("value"))
     label = s.createDataFrame([("Noun", "ECONOMY"), ("Adverb", "PROMO"), ("Symbol", "LARGE")], "class string, label string")
     tier = s.createDataFrame([("Symbol", "FEATS")], "class string, tier string")
-    return matching.feature_matches(feature, label, graph.closure(t.class_edge(s)), tier)
+    return matching.feature_matches(feature, label, graph.closure(t.class_edge(s, d)), tier)
 
 
 @query("word_index_column", "SELECT file_id, min(col) AS col FROM cell WHERE row_no <= 5 AND regexp_full_match(value, '[+-]?[0-9]+') GROUP BY file_id")
