@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.columns import full_match, is_pattern, without_quotes
+from lexispark.plans.durable import written
 
 #: So many plain characters at either end of a pattern are joined on.
 MOST_PLAIN = 4
@@ -55,6 +56,8 @@ def regex_matches(hit: DataFrame, tag: DataFrame) -> DataFrame:
     by_tail = tokens.select("token", "_t", end).join(patterns.where("head = '' AND tail <> ''").drop("head"), "tail").drop("tail")
     rest = tokens.join(patterns.where("head = '' AND tail = ''").drop("head", "tail"))
     found = by_head.unionByName(by_tail).unionByName(rest).where(full_match(F.col("_t"), F.col("tag"))).drop("_t")
+    # written out, so that its true size tells whether the hits need to be shuffled for it
+    found = written(found)
     return hit.join(found, "token").select(*hit.columns, "model", "class", "tag", "lang").withColumn("kind", F.lit("pattern"))
 
 
