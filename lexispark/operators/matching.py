@@ -66,9 +66,9 @@ def matches(hit: DataFrame, tag: DataFrame, file_language: DataFrame | None = No
     both = literal_matches(hit, tag).unionByName(regex_matches(hit, tag))
     if file_language is None:
         return both
-    free = both.where("lang = ''")
-    bound = both.where("lang <> ''").join(file_language, ["file_id", "lang"], "left_semi")
-    return free.unionByName(bound.select(*both.columns))
+    # one pass: split into free and bound tags the matches would be worked out twice
+    spoken = file_language.select("file_id", "lang").distinct().withColumn("_spoken", F.lit(True))
+    return both.join(spoken, ["file_id", "lang"], "left").where("lang = '' OR _spoken").select(*both.columns)
 
 
 def without_known(found: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
