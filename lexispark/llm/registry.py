@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexispark.llm import decontaminate, html, licenses, lines, matroska, mixing, near, pii, quality, suffix
+from lexispark.llm import balls, decontaminate, html, licenses, lines, matroska, mixing, near, phrases, pii, quality, suffix, urls
 from lexispark.llm.common import table
 
 
@@ -98,7 +98,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, chr(31))] ELSE [] END) AS g FROM w
 ), n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(30) ORDER BY g)) AS h FROM s GROUP BY doc_id),
@@ -167,6 +168,65 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.digests(balls.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def _op11_sql(k: int = balls.CLUSTERS, rounds: int = balls.ROUNDS) -> str:
+    """Lloyd's rounds, each a pair of common table expressions: a(i) assigns, c(i) has the centroids."""
+    step = """, a{0} AS MATERIALIZED (SELECT vec_id, v, arg_min(j, (d, j)) AS j, min(d) AS d FROM
+  (SELECT vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{0}) GROUP BY vec_id, v)"""
+    moved = """, c{1} AS MATERIALIZED (SELECT c{0}.j, coalesce(m.c, c{0}.c) AS c FROM c{0} LEFT JOIN
+  (SELECT j, list(x ORDER BY i) AS c FROM (SELECT j, i, ((sum(v[i]::HUGEINT) - (sum(v[i]::HUGEINT) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM a{0}, range(1, 65) g(i) GROUP BY j, i) GROUP BY j) m USING (j))"""
+    out = f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS j, v AS c FROM kept ORDER BY sha256('3:' || vec_id) LIMIT {k})"""
+    for i in range(rounds):
+        out += step.format(i) + moved.format(i, i + 1)
+    return out + step.format(rounds) + f"""
+SELECT vec_id, a{rounds}.j::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a{rounds}.j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.j = a{rounds}.j"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p WHERE piece <> ''),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS k FROM w), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, g, count(*)::HUGEINT AS a FROM g GROUP BY ALL HAVING count(*) >= 100 OR k = 1),
+n AS (SELECT lang, sum(a)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(g, ' ') AS w FROM f WHERE k >= 2),
+t AS MATERIALIZED (SELECT lang, k, g, a, cut, array_to_string(w[1:cut], ' ') AS lg, array_to_string(w[cut + 1:k], ' ') AS rg FROM (SELECT *, unnest([1, 2, 3, 4]) AS cut FROM c) WHERE cut < k),
+x AS (SELECT t.lang, t.k, t.g, t.a, n.n, cut, l.a AS l, r.a AS r, 1000 * t.a * n.n // (l.a * r.a) AS score
+  FROM t JOIN n ON n.lang = t.lang JOIN f l ON l.lang = t.lang AND l.g = t.lg JOIN f r ON r.lang = t.lang AND r.g = t.rg),
+m AS (SELECT lang, k, g, a, n, arg_min(l, (score, cut)) AS l, arg_min(r, (score, cut)) AS r, min(score) AS score FROM x GROUP BY lang, k, g, a, n),
+inside AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS g, max(a) AS a FROM (SELECT *, unnest([2, 3, 4]) AS j FROM c), LATERAL (SELECT unnest(range(1, k - j + 2)) AS i) WHERE j < k GROUP BY 1, 2),
+s AS (SELECT m.lang, m.g AS phrase, m.a, l, r, n, score FROM m LEFT JOIN inside i ON i.lang = m.lang AND i.g = m.g WHERE i.a IS NULL OR 100 * i.a < 100 * m.a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM s) WHERE rank <= 2000
+"""
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP13_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r(rule, verdict, rhost, rpath) AS (VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'), ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
+  ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/'))
+SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(r.verdict, length(rule)), 'allow') AS verdict
+FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -180,6 +240,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_matroska": op9_matroska,
         "op10_pii": op10_pii,
+        "op11_ball_kmeans": op11_ball_kmeans,
+        "op12_collocations": op12_collocations,
+        "op13_url_rules": op13_url_rules,
     }
 
 
@@ -190,4 +253,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_suffix_dedup": OP4_SQL,
         "op5_near_dedup": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
+        "op11_ball_kmeans": _op11_sql(),
+        "op12_collocations": OP12_SQL,
+        "op13_url_rules": OP13_SQL,
     }
