@@ -38,7 +38,11 @@ LEAST, LONGEST, TOP, PERCENT = 100, 5, 2000, 100
 #: Words in one broadcast dictionary; keys in a shard (about; SLOTS bounds them) and shards in one broadcast round.
 WORDS, SHARD, SLOTS, ROUND = 1 << 20, 1 << 16, 1 << 17, 32
 #: Buckets: a power of two, about one per 8 words, so many at most; CHUNK of them are summed together.
-MOST_BUCKETS, CHUNK = 1 << 28, 1 << 20
+MOST_BUCKETS, CHUNK = 1 << 28, 1 << 18
+#: A mapper hands on what it has counted when it has so many words or keys.
+HELD_WORDS, HELD_KEYS = 1 << 17, 1 << 20
+#: Words in a row's array, more only if no piece ends: the JVM copes badly with rows of megabytes.
+ARRAY = 1 << 15
 #: Sums meet in so many parts before they meet in one.
 FAN = 16
 #: Separators of pieces become full stops, tabs blanks.
@@ -183,7 +187,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for x in batches:
             for lang, text in zip(x["lang"].to_pylist(), x["text"], strict=True):
                 found.setdefault(lang, Counter()).update(tokens(text.as_buffer().to_pybytes()))
-            if sum(map(len, found.values())) > WORDS:
+            if sum(map(len, found.values())) > HELD_WORDS:
                 yield from rows(found)
                 found = {}
         yield from rows(found)
@@ -227,11 +231,15 @@ def numbered(docs: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
 
 
 def gathered(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Arrays as one, each but for its zeros' repetitions, cut off by a zero; no row if nothing is left."""
+    """Arrays as one without repetitions of zeros, cut off by a zero, and dealt to rows at zeros."""
     whole = np.concatenate([y for x in arrays for y in (x, np.zeros(1, np.int32))] or [np.zeros(1, np.int32)])
     whole = whole[(whole > 0) | (np.append(whole[1:], 0) > 0)].astype(np.int32)
-    if len(whole) > 1:
-        yield pa.RecordBatch.from_pydict({"words": pa.array([whole.tobytes()], pa.binary())})
+    ends, at = np.flatnonzero(whole == 0), 0
+    while at < len(whole):
+        after = np.searchsorted(ends, at + ARRAY)
+        to = int(ends[after]) if after < len(ends) else len(whole)
+        yield pa.RecordBatch.from_pydict({"words": pa.array([whole[at:to].tobytes()], pa.binary())})
+        at = to
 
 
 def steps(batches: Iterator[pa.RecordBatch], k: int, n_words: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -252,7 +260,7 @@ def heavy(walk: DataFrame, k: int, n_words: int, buckets: int, least: int) -> np
         for _, _, _, keys in steps(batches, k, n_words):
             own.append((mixed(keys, 98) & np.uint64(buckets - 1)).astype(np.int64))
             size += len(keys)
-            if size > 1 << 23:
+            if size > HELD_KEYS:
                 yield from chunked(*np.unique(np.concatenate(own), return_counts=True), min(buckets, CHUNK))
                 own, size = [], 0
         if size:
