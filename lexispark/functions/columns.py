@@ -22,7 +22,7 @@ FORMATS = {
 def full_match(value: Column, pattern: Column | str) -> Column:
     """True if all of value matches (rlike alone finds the pattern anywhere)."""
     body = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return F.regexp(value, F.concat(F.lit("^(?:"), body, F.lit(")$")))
+    return F.regexp(value, F.concat(F.lit("^(?:"), body, F.lit(r")\z")))
 
 
 def without_quotes(value: Column) -> Column:

@@ -1,20 +1,27 @@
 """Tokens against annotation dictionaries.
 
 hit(file_id, token, cnt) holds a file's distinct tokens; tag(model, tag, class, is_regex, lang) the dictionary. A match is a
-hit and a node (model, class, tag). Literal tags are an equi join. Patterns meet the distinct tokens only: those that begin or end
-with plain characters are joined on them and then verified, the others meet every token in a nested loop; what matches is joined
-back by token. Malformed patterns are left out (`valid_patterns`), as one of them would fail the whole job."""
+hit and a node (model, class, tag). Literal tags are an equi join. Patterns meet the distinct tokens only, through an index of the
+texts that their syntax tree says a match must hold (`functions.patterns`): joined on the rarest gram of such a text and then verified.
+Patterns without any such text meet every token in a nested loop; `pattern_index` tells which. What matches is joined back by token.
+Malformed patterns are left out (`valid_patterns`), as one of them would fail the whole job."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.columns import full_match, is_pattern, without_quotes
+from lexispark.functions.patterns import required
 from lexispark.plans.durable import written
 
-#: So many plain characters at either end of a pattern are joined on.
-MOST_PLAIN = 4
+#: Characters of the parts of texts that are joined on, at most.
+GRAM = 3
+#: Tokens of more characters aren't cut into grams but meet every pattern; there are hardly any.
+LONG = 200
 
 
 def valid_patterns(tag: DataFrame) -> DataFrame:
@@ -23,15 +30,43 @@ def valid_patterns(tag: DataFrame) -> DataFrame:
     return tag.where(~F.col("is_regex") | compiled.isNotNull())
 
 
-def plain_ends(pattern: Column) -> tuple[Column, Column]:
-    """What every text that the pattern matches begins and ends with, as far as that is plain to see; empty where it isn't."""
-    # an alternative outside brackets, or an embedded flag, can change both ends
-    open_ = pattern.rlike(r"^[^(]*\||\)[^(]*\||\(\?|\\\\Q")
-    head = F.regexp_extract(pattern, r"^([A-Za-z0-9]*)", 1)
-    head = F.when(F.substring(pattern, F.length(head) + 1, F.lit(1)).isin("*", "?", "{"), F.substring(head, F.lit(1), F.greatest(F.length(head) - 1, F.lit(0)))).otherwise(head)
-    tail = F.regexp_extract(pattern, r"(?:^|[^A-Za-z0-9\\])([A-Za-z0-9]*)$", 1)
-    none = F.lit("")
-    return F.when(open_, none).otherwise(F.substring(head, 1, MOST_PLAIN)), F.when(open_, none).otherwise(F.substring(tail, F.greatest(F.length(tail) - MOST_PLAIN + 1, F.lit(1)), F.lit(MOST_PLAIN)))
+def pattern_index(tag: DataFrame) -> DataFrame:
+    """(tag, kind, text) of the different valid patterns: "whole" and each text that the pattern matches, where these are few;
+    "part" and texts of which every match holds one; "none" (text null) where neither is known."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = [(p, kind, text) for p in x["tag"] for kind, texts in [required(p)] for text in (texts or [None])]
+            yield pd.DataFrame(rows, columns=["tag", "kind", "text"])
+
+    return valid_patterns(tag.where("is_regex")).select("tag").distinct().mapInPandas(run, "tag string, kind string, text string")
+
+
+def _grams(text: Column) -> Column:
+    """All parts of 1 .. GRAM characters."""
+    ends = F.sequence(F.lit(1), F.least(F.length(text), F.lit(GRAM)))
+    every = F.transform(ends, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
+    return F.when(F.length(text) > 0, F.array_distinct(F.flatten(every))).otherwise(F.array().cast("array<string>"))
+
+
+def pattern_tokens(tokens: DataFrame, tag: DataFrame) -> DataFrame:
+    """(token, tag): the different tokens that patterns match in full. Each text that a pattern needs is looked up by that one of its
+    longest grams that the fewest tokens have; only patterns that need none meet every token."""
+    plain = tokens.select("token").distinct().withColumn("_t", without_quotes(F.col("token")))
+    index = written(pattern_index(tag))
+    whole = plain.join(index.where("kind = 'whole'").select("tag", F.col("text").alias("_t")), "_t").select("token", "_t", "tag")
+    size = F.least(F.length("text"), F.lit(GRAM))
+    longest = F.filter(_grams(F.col("text")), lambda g: F.length(g) == size)
+    needs = index.where("kind = 'part'").select("tag", "text", F.explode(longest).alias("gram"))
+    held = plain.where(F.length("_t") <= LONG).select("token", "_t", F.explode(_grams(F.col("_t"))).alias("gram"))
+    held = written(held.join(needs.select("gram").distinct(), "gram", "left_semi"))
+    counted = needs.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    # a gram that no token has is as rare as can be: its pattern meets nothing
+    rarest = counted.groupBy("tag", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    part = held.join(rarest.select("tag", "text", F.col("m.gram").alias("gram")), "gram").where(F.contains("_t", "text")).select("token", "_t", "tag")
+    rest = plain.join(index.where("kind = 'none'").select("tag")).select("token", "_t", "tag")
+    rest = rest.union(plain.where(F.length("_t") > LONG).join(index.where("kind = 'part'").select("tag").distinct()).select("token", "_t", "tag"))
+    return whole.union(part).union(rest).where(full_match(F.col("_t"), F.col("tag"))).select("token", "tag").distinct()
 
 
 def prefilter(hit: DataFrame, tag: DataFrame) -> DataFrame:
@@ -46,19 +81,10 @@ def literal_matches(hit: DataFrame, tag: DataFrame) -> DataFrame:
 
 
 def regex_matches(hit: DataFrame, tag: DataFrame) -> DataFrame:
-    head, tail = plain_ends(F.col("tag"))
-    patterns = valid_patterns(tag.where("is_regex")).select("model", "class", "tag", "lang", head.alias("head"), tail.alias("tail"))
-    tokens = hit.select("token").distinct().withColumn("_t", without_quotes(F.col("token")))
-    sizes = F.sequence(F.lit(1), F.least(F.length("_t"), F.lit(MOST_PLAIN)))
-    begin = F.explode(F.when(F.length("_t") > 0, F.transform(sizes, lambda n: F.substring("_t", F.lit(1), n)))).alias("head")
-    end = F.explode(F.when(F.length("_t") > 0, F.transform(sizes, lambda n: F.substring("_t", F.length("_t") - n + 1, n)))).alias("tail")
-    by_head = tokens.select("token", "_t", begin).join(patterns.where("head <> ''").drop("tail"), "head").drop("head")
-    by_tail = tokens.select("token", "_t", end).join(patterns.where("head = '' AND tail <> ''").drop("head"), "tail").drop("tail")
-    rest = tokens.join(patterns.where("head = '' AND tail = ''").drop("head", "tail"))
-    found = by_head.unionByName(by_tail).unionByName(rest).where(full_match(F.col("_t"), F.col("tag"))).drop("_t")
     # written out, so that its true size tells whether the hits need to be shuffled for it
-    found = written(found)
-    return hit.join(found, "token").select(*hit.columns, "model", "class", "tag", "lang").withColumn("kind", F.lit("pattern"))
+    found = written(pattern_tokens(hit, tag))
+    nodes = found.join(tag.where("is_regex").select("model", "class", "tag", "lang"), "tag")
+    return hit.join(nodes, "token").select(*hit.columns, "model", "class", "tag", "lang").withColumn("kind", F.lit("pattern"))
 
 
 def matches(hit: DataFrame, tag: DataFrame, file_language: DataFrame | None = None) -> DataFrame:

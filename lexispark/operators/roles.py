@@ -52,7 +52,7 @@ def pattern_columns(cell: DataFrame) -> DataFrame:
     than two parts on average, and as many in every value (a word now and then has a hyphen, too)."""
     delimiters = cell.sparkSession.createDataFrame([(d,) for d in DELIMITERS], "delimiter string")
     quoted = F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E"))
-    form = F.concat(F.lit("^([A-Za-z0-9]+"), quoted, F.lit(")+[A-Za-z0-9]+$"))
+    form = F.concat(F.lit("^(?:[A-Za-z0-9]++"), quoted, F.lit(")++[A-Za-z0-9]+$"))
     hit = cell.join(F.broadcast(delimiters)).where(F.regexp("value", form))
     parts = F.length("value") - F.length(F.expr("replace(value, delimiter, '')")) + 1
     return hit.groupBy("file_id", "col", "delimiter").agg(F.count("*").alias("n"), F.avg(parts).alias("parts"), F.count_distinct(parts).alias("forms")).where("n >= 3 AND (delimiter <> '-' OR parts > 2 AND forms = 1)").select("file_id", "col", "delimiter", "n")

@@ -94,7 +94,9 @@ def class_match(s, d):
     return models.class_matches(objects, s.createDataFrame(CLASSES, "model string, class string"))
 
 
-@query("rematched", "SELECT c.file_id, c.token, 'NEWLEX' AS model FROM token_count c LEFT JOIN (SELECT DISTINCT file_id, token FROM found) f ON f.file_id = c.file_id AND f.token = c.token WHERE f.token IS NULL AND (c.token = 'on' OR regexp_full_match(c.token, 'sh.*ing'))")
+@query("rematched", """SELECT file_id, token, 'NEWLEX' AS model FROM token_count JOIN file_language f USING (file_id) WHERE (token = 'on' OR regexp_full_match(token, 'sh.*ing'))
+AND token NOT IN (SELECT tag FROM tag_dict WHERE NOT is_regex AND lang = '') AND token || ':' || f.lang NOT IN (SELECT tag || ':' || lang FROM tag_dict WHERE NOT is_regex)
+AND NOT regexp_full_match(token, '.{3,9}tion') AND NOT regexp_full_match(token, '.{2,8}(ung|keit)') AND NOT regexp_full_match(token, 'th(er|is|at)')""")
 def rematched(s, d):
     hit, found = _found(s, d)
     new = s.createDataFrame([("NEWLEX", "Preposition", "on", False, ""), ("NEWLEX", "Verb", "sh.*ing", True, "")], "model string, class string, tag string, is_regex boolean, lang string")

@@ -134,7 +134,8 @@ def models_by_namespace(s, d):
     return graph.named_models(t.tag_dict(s).select("class").distinct(), s.createDataFrame(NAMES, "ordinal int, model string, namespace string"))
 
 
-@query("orphan_hits", "SELECT c.file_id, c.token, c.cnt FROM token_count c LEFT JOIN (SELECT DISTINCT file_id, token FROM found) f ON f.file_id = c.file_id AND f.token = c.token WHERE f.token IS NULL")
+@query("orphan_hits", """SELECT file_id, token, cnt FROM token_count JOIN file_language f USING (file_id) WHERE token NOT IN (SELECT tag FROM tag_dict WHERE NOT is_regex AND lang = '')
+AND token || ':' || f.lang NOT IN (SELECT tag || ':' || lang FROM tag_dict WHERE NOT is_regex) AND NOT regexp_full_match(token, '.{3,9}tion') AND NOT regexp_full_match(token, '.{2,8}(ung|keit)') AND NOT regexp_full_match(token, 'th(er|is|at)')""")
 def orphan_hits(s, d):
     hit = written(t.token_count(s, d))
     found = matching.matches(hit, t.tag_dict(s), t.file_language(s, d))

@@ -56,6 +56,19 @@ def regex_match(s, d):
     return matching.regex_matches(t.token_count(s, d), t.tag_dict(s))
 
 
+#: Three patterns of each token of six letters or more: a letter left open, an end, alternatives.
+@query("pattern_dictionary_match", r"""SELECT substr(token, 1, 2) || '[a-z]' || substr(token, 4) AS tag, count(*) AS n FROM (SELECT DISTINCT token FROM token_count WHERE length(token) >= 6) GROUP BY 1
+UNION ALL SELECT '.*' || e, (SELECT count(*) FROM (SELECT DISTINCT token FROM token_count WHERE length(token) = 5) f WHERE f.token = e) + n FROM (SELECT right(token, 5) AS e, count(*) AS n FROM (SELECT DISTINCT token FROM token_count WHERE length(token) >= 6) GROUP BY 1)
+UNION ALL SELECT DISTINCT substr(token, 1, 3) || '(' || substr(token, 4, 2) || '|\(|[|)])' || substr(token, 6), 1 FROM token_count WHERE length(token) >= 6""")
+def pattern_dictionary_match(s, d):
+    tokens = written(t.token_count(s, d).select("token").distinct())
+    part = lambda at, n=1_000: F.substring("token", at, n)
+    open_ = F.concat(part(1, 2), F.lit("[a-z]"), part(4))
+    choice = F.concat(part(1, 3), F.lit("("), part(4, 2), F.lit(r"|\(|[|)])"), part(6))
+    tags = tokens.where("length(token) >= 6").select(F.explode(F.array(open_, F.concat(F.lit(".*"), part(-5, 5)), choice)).alias("tag"), F.lit(True).alias("is_regex")).distinct()
+    return matching.pattern_tokens(tokens, tags).groupBy("tag").agg(F.count("*").alias("n"))
+
+
 @query("language_filtered_match", "SELECT * FROM found")
 def language_filtered_match(s, d):
     return _found(s, d)[1]

@@ -12,12 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A line of N-Triples or N-Quads: subject, predicate, object with language or type, graph.
-TRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
+#: A line of N-Triples or N-Quads: subject, predicate, object with language or type, graph. Repeated groups are possessive here and
+#: wherever texts may be long: others recurse in the JVM for each repetition.
+TRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]++|\\.)*+"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
 MIN_ROWS, MAX_ROWS = 100, 2000
 
-
-
 #: Up to this size (in bytes, as Spark estimates it) a table in fewer files than cores is dealt out anew.
 SMALL = 256 << 20
 
@@ -50,7 +49,7 @@ def parse_triples(lines: DataFrame, line: str = "value") -> DataFrame:
     strip = lambda c: F.regexp_replace(c, "^<|>$", "")
     o = part(3)
     literal = o.startswith('"')
-    body = F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1)
+    body = F.regexp_extract(o, r'^"((?:[^"\\]++|\\.)*+)"', 1)
     body = unescaped(body)
     good = part(2) != ""
     return lines.where(~F.col(line).rlike(r"^\s*(#.*)?$")).select(
@@ -138,7 +137,7 @@ def html_links(pages: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
     href = decoded(F.trim(F.regexp_replace(F.col("raw"), "^[\"']|[\"']$", "")))
     links = pages.select("page_id", F.col("url").alias("page"), F.explode(found).alias("raw")).select("page_id", "page", href.alias("href")).where("href <> ''")
-    last = F.regexp_extract("url", r"^[^/]+//[^/?#]*(?:/[^/?#]*)*/([^/?#]*)", 1)
+    last = F.regexp_extract("url", r"^[^/]+//[^/?#]*[^?#]*/([^/?#]*)", 1)
     return links.select("page_id", "href", resolved(F.col("href"), F.col("page")).alias("url")).withColumn("is_file", last.contains("."))
 
 

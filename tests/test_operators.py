@@ -148,6 +148,43 @@ def test_patterns_meet_tokens_by_their_plain_ends(spark):
     assert rows(matching.regex_matches(hit, tag).select("token", "tag"), "token", "tag") == want
 
 
+def test_patterns_found_by_their_texts_are_those_of_a_plain_full_match(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(matching, "LONG", 6)
+
+    rng = random.Random(5)
+    pieces = ["a", "b", "ab", "cab", ".", ".*", "[ab]", "[^a]", r"\(", r"\.", r"[(|]", "a?", "b+", "c{2}", "(?:b{0,2})", r"\w", r"\d*", "(?=c)", "^", "$", r"\Qa.b\E", "[a-c]", "[a-z]", "(?i)", "(?<n>b)", r"\x61", "é", "[a-c&&[b]]", "[]a]", "\\p{L}", "{", "}", "x{1}", "(ab|c){2}", r"(a)\1"]
+
+    def made(depth):
+        out = "".join(rng.choice(pieces) if depth == 0 or rng.random() < 0.7 else f"({made(depth - 1)})" + rng.choice(["", "*", "?", "+", "{2}", "{0,1}", "??"]) for _ in range(rng.randrange(1, 5)))
+        return out + ("|" + made(depth) if rng.random() < 0.25 else "")
+
+    patterns = sorted({made(2) for _ in range(1500)} | {r"N\(x|V", "(", "a**", "", "|"})
+    tokens = sorted({"".join(rng.choice("abc(.|éxV1") for _ in range(rng.randrange(7))) for _ in range(400)} | {"N(x", "V", "a.b", "cab" * 3})
+    hit = spark.createDataFrame([(x,) for x in tokens], "token string")
+    tag = written(matching.valid_patterns(spark.createDataFrame([(p, True) for p in patterns], "tag string, is_regex boolean")))
+    want = written(hit.join(tag.select("tag")).where(full_match(F.col("token"), F.col("tag"))).select("token", "tag"))
+    got = written(matching.pattern_tokens(hit, tag))
+    assert got.count() > 2000 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    kinds = dict(matching.pattern_index(tag).groupBy("kind").agg(F.countDistinct("tag")).collect())
+    assert min(kinds["whole"], kinds["part"]) > 50
+
+
+def test_long_texts_do_not_overflow_the_stack(spark):
+    n = 1_000_000
+    line = '<http://a> <http://b> "' + "x\\n" * n + '" .'
+    got = readers.parse_triples(spark.createDataFrame([(line,), ('<http://a> <http://b> "' + "x" * 10 * n + '"@en .',)], "value string"))
+    assert sorted(r[0] for r in got.select(F.length("o")).collect()) == [2 * n, 10 * n]
+    cells = spark.createDataFrame([(1, i, 0, "a-" * n + "a") for i in range(3)], "file_id int, row_no int, col int, value string")
+    assert roles.pattern_columns(cells).select("delimiter").collect() == [("-",)]
+    page = spark.createDataFrame([(1, "http://a.b/", f"<a href='http://x{'/y' * n}/z.txt'>")], "page_id int, url string, html string")
+    assert [r[0] for r in readers.html_links(page).select("is_file").collect()] == [True]
+    hit = spark.createDataFrame([("ab" * n,), ("ab",)], "token string")
+    tag = spark.createDataFrame([("(ab)*+", True), ("a.*b", True), ("ab|x", True)], "tag string, is_regex boolean")
+    assert matching.pattern_tokens(hit, tag).groupBy("tag").count().collect().__len__() == 3
+
+
 def test_shortest_paths_have_an_edge_and_pass_no_node_twice(spark):
     edge = spark.createDataFrame([("a", "b"), ("b", "t"), ("a", "c"), ("c", "t"), ("t", "u"), ("u", "t"), ("t", "a"), ("z", "z")], "src string, dst string")
     got = rows(graph.shortest(edge, spark.createDataFrame([("t",), ("b",)], "node string")), "src")
