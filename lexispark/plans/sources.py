@@ -11,7 +11,7 @@ from lexispark.plans.derived import SQL
 from lexispark.plans.durable import folder, written
 from lexispark.plans.records import TRIPLES, triples
 from lexispark.plans.text_models import _found
-from lexispark.sources import rdf, readers
+from lexispark.sources import rdf, readers, turtle
 
 Q: dict = {}
 
@@ -56,6 +56,31 @@ def trix_read(s, d):
     return rdf.read(s, _lines(s, x.select(F.concat(F.lit("<triple>\n"), uri("s"), uri("p"), o, F.lit("</triple>"))), "trix"), "trix").select(*PART)
 
 
+def _turtle(x):
+    """Turtle of x in three ways: whole addresses, a prefix bound before, a prefix bound anew with a list of properties."""
+    local = F.regexp_extract("p", "#(.*)$", 1)
+    text = F.concat(F.lit('"""'), "o", F.lit('"""@'), "o_lang")
+    o = F.when(F.col("o_kind") == "uri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(text)
+    s = F.concat(F.lit("<"), "s", F.lit(">"))
+    plain = F.concat(s, F.lit(" <"), "p", F.lit("> "), o, F.lit(" ."))
+    bound = F.concat(F.lit("@prefix v: <http://x.example/vocab#> . # v:\n"), s, F.lit("\n  v:"), local, F.lit(" "), o, F.lit(" ; ."))
+    anew = F.concat(F.lit("PREFIX v: <http://x.example/>\nPREFIX w: <http://x.example/vocab#> "), s, F.lit(" w:"), local, F.lit("\n"), o, F.lit(" , "), o, F.lit("."))
+    return F.when(F.col("at") % 3 == 0, plain).when(F.col("at") % 3 == 1, bound).otherwise(anew)
+
+
+@query("turtle_read", STATEMENTS)
+def turtle_read(s, d):
+    x = triples(s, d).withColumn("o_lang", F.coalesce("o_lang", F.lit("")))
+    return rdf.read(s, _lines(s, x.select(_turtle(x)), "made.ttl"), "ttl").select(*PART).distinct()
+
+
+@query("trig_read", f"SELECT s, p, o, CASE WHEN pos % 2 = 0 THEN 'http://g.example/' || pos % 5 END AS g FROM {TRIPLES}")
+def trig_read(s, d):
+    x = triples(s, d).withColumn("o_lang", F.coalesce("o_lang", F.lit("")))
+    graph = F.concat(F.lit("GRAPH <http://g.example/"), (F.col("at") % 5).cast("string"), F.lit("> {\n"), _turtle(x), F.lit("\n}"))
+    return turtle.turtle(s, _lines(s, x.select(F.when(F.col("at") % 2 == 0, graph).otherwise(_turtle(x))), "made.trig")).select("s", "p", "o", "g").distinct()
+
+
 @query("rdf_xml_read", STATEMENTS)
 def rdf_xml_read(s, d):
     x = _typed(s, d)

@@ -1,14 +1,16 @@
 """RDF syntaxes that come in records: TriX, RDF/XML descriptions, JSON-LD by lines. All give (file_id, s, p, o, o_kind, o_lang, o_type).
 
 Files are read as text, cut at the records' ends, so that large ones are split; no record needs its neighbours but for the names of
-namespaces, which are joined per file. Turtle and TriG have no records and are not read."""
+namespaces, which are joined per file. Turtle and TriG have no records; `turtle` reads them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.sources import readers
 from lexispark.sources.readers import decoded
+from lexispark.sources.turtle import turtle
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 COLUMNS = ["file_id", "s", "p", "o", "o_kind", "o_lang", "o_type"]
@@ -77,17 +79,26 @@ def json_ld(spark: SparkSession, path: str) -> DataFrame:
     return one.select("file_id", full(F.col("s")).alias("s"), F.when(is_type, F.lit(RDF + "type")).otherwise(full(F.col("k"))).alias("p"), o.alias("o"), kind.alias("o_kind"), F.coalesce(get("@language"), F.lit("")).alias("o_lang"), F.coalesce(get("@type"), F.lit("")).alias("o_type"))
 
 
-READERS = {"trix": trix, "rdf": rdf_xml, "xml": rdf_xml, "jsonld": json_ld}
+READERS = {"trix": trix, "rdf": rdf_xml, "xml": rdf_xml, "jsonld": json_ld, "ttl": turtle, "trig": turtle, "nt": readers.ntriples, "nq": readers.ntriples}
+#: Endings and MIME types of the syntaxes.
+SYNTAXES = {"nt": "nt", "nq": "nq", "ttl": "ttl", "n3": "ttl", "trig": "trig", "trix": "trix", "rdf": "rdf", "owl": "rdf", "xml": "rdf", "jsonld": "jsonld"}
+MIMES = {"application/n-triples": "nt", "application/n-quads": "nq", "text/turtle": "ttl", "text/n3": "ttl", "application/trig": "trig", "application/trix": "trix", "application/rdf+xml": "rdf", "application/ld+json": "jsonld"}
 
 
-def read(spark: SparkSession, path: str, syntax: str) -> DataFrame:
-    """A file or folder in one syntax: nt, nq, trix, rdf, jsonld."""
-    from lexispark.sources import readers
+def syntax_of(path: str, mime: str = "") -> str | None:
+    """The syntax by MIME type, else by the name's ending (packed or not); None if neither is known."""
+    name = path.rstrip("/").rpartition("/")[2].lower().removesuffix(".gz").removesuffix(".bz2")
+    return MIMES.get(mime.partition(";")[0].strip().lower()) or SYNTAXES.get(name.rpartition(".")[2])
 
-    if syntax in ("nt", "nq"):
-        found = readers.ntriples(spark, path).where("corrupt IS NULL")
-        return found.select(*COLUMNS[:5], F.coalesce("o_lang", F.lit("")).alias("o_lang"), F.coalesce("o_type", F.lit("")).alias("o_type"))
-    return READERS[syntax](spark, path)
+
+def read(spark: SparkSession, path: str, syntax: str | None = None, mime: str = "") -> DataFrame:
+    """The statements of a file or folder in one syntax: nt, nq, ttl, trig, trix, rdf, jsonld; by default that of MIME type or name."""
+    syntax = syntax or syntax_of(path, mime)
+    if syntax not in READERS:
+        raise ValueError(f"unknown syntax of {path}")
+    found = READERS[syntax](spark, path)
+    found = found.where("corrupt IS NULL") if "corrupt" in found.columns else found
+    return found.select(*COLUMNS[:5], F.coalesce("o_lang", F.lit("")).alias("o_lang"), F.coalesce("o_type", F.lit("")).alias("o_type"))
 
 
 def words_in_order(triples: DataFrame, next_word: str, columns: dict[str, str], depth: int = 1000) -> DataFrame:
