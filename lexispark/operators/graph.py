@@ -50,9 +50,9 @@ def closure(edge: DataFrame, rounds: int = 30) -> DataFrame:
         step = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").where("src <> dst")
         known = written(known.union(step).distinct())
         if (now := known.count()) == size:
-            break
+            return known
         size = now
-    return known
+    raise RuntimeError(f"the closure did not settle in {rounds} rounds")
 
 
 def lowest(members: DataFrame, closed: DataFrame, group: str, node: str) -> DataFrame:
@@ -77,6 +77,8 @@ def shortest(edge: DataFrame, targets: DataFrame, rounds: int = 1000) -> DataFra
         if front.isEmpty():
             break
         known = written(known.union(front))
+    else:
+        raise RuntimeError(f"paths of more than {rounds} edges are left")
     one = known.groupBy("src").agg(F.min(F.struct(F.size("path").alias("n"), "path", "dst")).alias("m"))
     return one.select("src", F.col("m.dst").alias("dst"), visible(F.col("m.path")).alias("path"))
 

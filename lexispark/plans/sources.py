@@ -87,7 +87,7 @@ def rdf_xml_read(s, d):
     local = F.regexp_extract("p", "#(.*)$", 1)
     own = F.when(F.col("o_kind") == "uri", F.concat(F.lit(' rdf:resource="'), exports.xml_text(F.col("o")), F.lit('"/>'))).otherwise(F.concat(F.lit(' xml:lang="'), "o_lang", F.lit('">'), exports.xml_text(F.col("o")), F.lit("</v:"), local, F.lit(">")))
     text = F.concat(F.lit('<rdf:Description xmlns:v="http://x.example/vocab#" rdf:about="'), exports.xml_text(F.col("s")), F.lit('">\n <v:'), local, own, F.lit("\n</rdf:Description>"))
-    return rdf.read(s, _lines(s, x.select(text), "rdf"), "rdf").select(*PART)
+    return rdf.read(s, _lines(s, x.select(text), "rdf"), "rdf-records").select(*PART)
 
 
 @query("json_ld_read", STATEMENTS)
@@ -95,7 +95,45 @@ def json_ld_read(s, d):
     x = _typed(s, d)
     value = F.when(F.col("o_kind") == "uri", F.to_json(F.struct(F.col("o").alias("@id")))).otherwise(F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_lang").alias("@language"))))
     text = F.concat(F.lit('{"@context": {"v": "http://x.example/vocab#"}, "@id": "'), "s", F.lit('", "v:'), F.regexp_extract("p", "#(.*)$", 1), F.lit('": ['), value, F.lit("]}"))
-    return rdf.read(s, _lines(s, x.select(text), "jsonld"), "jsonld").select(*PART)
+    return rdf.read(s, _lines(s, x.select(text), "jsonld"), "jsonl").select(*PART)
+
+
+def _documents(s, rows, name, head, between, foot):
+    """rows(k, text) as some twenty files, each a document of its rows."""
+    path = folder(s, name)
+    texts = rows.groupBy(F.col("k") % 20).agg(F.array_join(F.array_sort(F.collect_list("text")), between).alias("text"))
+    texts.select(F.concat(F.lit(head), "text", F.lit(foot)).alias("value"), F.monotonically_increasing_id().alias("file")).write.partitionBy("file").text(path)
+    return path + "/*"
+
+
+NESTED = f"""SELECT s, p, o, o_kind, coalesce(o_lang, '') AS o_lang FROM {TRIPLES} UNION ALL SELECT DISTINCT 'http://b.example/' || replace(p_brand, '#', '-'), 'http://x.example/vocab#made', 'http://p.example/' || p_partkey, 'uri', '' FROM part
+UNION ALL SELECT 'http://p.example/' || p_partkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://x.example/vocab#Part', 'uri', '' FROM part"""
+
+
+@query("rdf_xml_documents", NESTED)
+def rdf_xml_documents(s, d):
+    x, xml = t.table(s, d, "part"), exports.xml_text
+    brand = F.concat(F.lit('<rdf:Description rdf:about="http://b.example/'), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit('">\n <v:made>'))
+    label = F.concat(F.lit('<v:label xml:lang="'), F.when(F.col("p_partkey") % 2 == 0, "de").otherwise("fr"), F.lit('"><![CDATA['), "p_name", F.lit("]]></v:label>"))
+    part = F.concat(F.lit('<v:Part rdf:about="'), F.col("p_partkey").cast("string"), F.lit('" xml:lang="en"><v:brand>'), xml(F.col("p_brand")), F.lit('</v:brand>\n<v:type rdf:resource="http://t.example/'), xml(F.col("p_type")), F.lit('"/>'), label, F.lit("</v:Part>"))
+    rows = x.select(F.col("p_partkey").alias("k"), F.concat(brand, part, F.lit("</v:made></rdf:Description>")).alias("text"))
+    head = f'<?xml version="1.0"?>\n<rdf:RDF xmlns:rdf="{rdf.RDF}" xmlns:v="http://x.example/vocab#" xml:base="http://p.example/">'
+    return rdf.read(s, _documents(s, rows, "documents", head, "\n", "</rdf:RDF>"), "rdf").select(*PART)
+
+
+@query("json_ld_documents", NESTED)
+def json_ld_documents(s, d):
+    x = t.table(s, d, "part")
+    field = lambda c: F.to_json(F.struct(F.col(c).alias("x")))
+    inner = lambda c: F.expr(f"substring({c}, 6, length({c}) - 6)")  # noqa: E731  the value of {"x":...}
+    rows = x.select("*", field("p_brand").alias("b"), field("p_type").alias("ty"), field("p_name").alias("na"))
+    part = F.concat(
+        F.lit('{"id": "p:'), F.col("p_partkey").cast("string"), F.lit('", "@type": "Part", "brand": '), inner("b"), F.lit(', "type": {"@id": "http://t.example/'), "p_type", F.lit('"}, "label": {"'),
+        F.when(F.col("p_partkey") % 2 == 0, "de").otherwise("fr"), F.lit('": ['), inner("na"), F.lit("]}}"),
+    )
+    text = F.concat(F.lit('{"id": "http://b.example/'), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit('", "made": ['), part, F.lit("]}"))
+    head = '{"@context": {"@vocab": "http://x.example/vocab#", "p": "http://p.example/", "id": "@id", "brand": {"@language": "en"}, "label": {"@container": "@language"}}, "@graph": ['
+    return rdf.read(s, _documents(s, rows.select(F.col("p_partkey").alias("k"), text.alias("text")), "documents", head, ",\n", "]}"), "jsonld").select(*PART)
 
 
 @query("conll_read", "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER AS row_no, unnest([0, 1]) AS col, unnest([n_nationkey::VARCHAR, n_name]) AS value FROM nation")
@@ -147,7 +185,7 @@ def terms_read(s, d):
     return readers.load_graph(s, path, "s string", "s string, p string, o string", "parquet")[1]
 
 
-@query("conll_rdf_rows", "SELECT 'w' || conv_id || '.' || min(turn) OVER (PARTITION BY conv_id) AS head, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS row_no, role AS pos, CASE WHEN turn % 2 = 0 THEN turn::VARCHAR END AS even FROM conversations")
+@query("conll_rdf_rows", "SELECT 'w' || conv_id || '.' || min(turn) OVER (PARTITION BY conv_id) AS head, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS row_no, role AS pos, CASE WHEN turn % 2 = 0 THEN turn::VARCHAR END AS even FROM conversations")
 def conll_rdf_rows(s, d):
     from pyspark.sql import Window
 

@@ -1,4 +1,4 @@
-"""RDF syntaxes that come in records: TriX, RDF/XML descriptions, JSON-LD by lines. All give (file_id, s, p, o, o_kind, o_lang, o_type).
+"""RDF syntaxes that come in records: TriX, flat RDF/XML descriptions, JSON-LD by lines; documents of any nesting are read by `trees`. All give (file_id, s, p, o, o_kind, o_lang, o_type).
 
 Files are read as text, cut at the records' ends, so that large ones are split; no record needs its neighbours but for the names of
 namespaces, which are joined per file. Turtle and TriG have no records; `turtle` reads them."""
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.sources import readers
+from lexispark.sources import readers, trees
 from lexispark.sources.readers import decoded
 from lexispark.sources.turtle import turtle
 
@@ -79,7 +79,8 @@ def json_ld(spark: SparkSession, path: str) -> DataFrame:
     return one.select("file_id", full(F.col("s")).alias("s"), F.when(is_type, F.lit(RDF + "type")).otherwise(full(F.col("k"))).alias("p"), o.alias("o"), kind.alias("o_kind"), F.coalesce(get("@language"), F.lit("")).alias("o_lang"), F.coalesce(get("@type"), F.lit("")).alias("o_type"))
 
 
-READERS = {"trix": trix, "rdf": rdf_xml, "xml": rdf_xml, "jsonld": json_ld, "ttl": turtle, "trig": turtle, "nt": readers.ntriples, "nq": readers.ntriples}
+#: rdf and jsonld are whole documents, rdf-records and jsonl the flat forms that are split.
+READERS = {"trix": trix, "rdf": trees.rdf_xml, "jsonld": trees.json_ld, "rdf-records": rdf_xml, "jsonl": json_ld, "ttl": turtle, "trig": turtle, "nt": readers.ntriples, "nq": readers.ntriples}
 #: Endings and MIME types of the syntaxes.
 SYNTAXES = {"nt": "nt", "nq": "nq", "ttl": "ttl", "n3": "ttl", "trig": "trig", "trix": "trix", "rdf": "rdf", "owl": "rdf", "xml": "rdf", "jsonld": "jsonld"}
 MIMES = {"application/n-triples": "nt", "application/n-quads": "nq", "text/turtle": "ttl", "text/n3": "ttl", "application/trig": "trig", "application/trix": "trix", "application/rdf+xml": "rdf", "application/ld+json": "jsonld"}
@@ -92,7 +93,8 @@ def syntax_of(path: str, mime: str = "") -> str | None:
 
 
 def read(spark: SparkSession, path: str, syntax: str | None = None, mime: str = "") -> DataFrame:
-    """The statements of a file or folder in one syntax: nt, nq, ttl, trig, trix, rdf, jsonld; by default that of MIME type or name."""
+    """The statements of a file or folder in one of READERS' syntaxes, by default that of MIME type or name. What isn't understood is
+    left out; the readers themselves have it in `corrupt`."""
     syntax = syntax or syntax_of(path, mime)
     if syntax not in READERS:
         raise ValueError(f"unknown syntax of {path}")
@@ -101,21 +103,24 @@ def read(spark: SparkSession, path: str, syntax: str | None = None, mime: str =
     return found.select(*COLUMNS[:5], F.coalesce("o_lang", F.lit("")).alias("o_lang"), F.coalesce("o_type", F.lit("")).alias("o_type"))
 
 
-def words_in_order(triples: DataFrame, next_word: str, columns: dict[str, str], depth: int = 1000) -> DataFrame:
+def words_in_order(triples: DataFrame, next_word: str, columns: dict[str, str]) -> DataFrame:
     """(head, row_no, word, columns...): annotation kept as statements, as rows: sentences are followed from the words that no other
-    points at, at most `depth` words long; each column is the object of its predicate, or null."""
-    import uuid
+    points at; each column is the object of its predicate, or null. Ways back are doubled each round, so a sentence of n words takes
+    log n of them; words that only a cycle leads to have no place and are left out."""
+    from lexispark.plans.durable import written
 
-    spark = triples.sparkSession
     link = triples.where(F.col("p") == next_word).select("s", "o").distinct()
     words = triples.where(F.col("p").isin(next_word, *columns.values())).select(F.col("s").alias("word")).distinct()
-    heads = words.join(link.select(F.col("o").alias("word")), "word", "left_anti")
-    names = [f"lexispark_{uuid.uuid4().hex}" for _ in range(2)]
-    link.createOrReplaceTempView(names[0])
-    heads.createOrReplaceTempView(names[1])
-    order = spark.sql(f"""WITH RECURSIVE w(head, row_no, word) MAX RECURSION LEVEL {depth} AS (SELECT word, 0, word FROM {names[1]}
-      UNION ALL SELECT w.head, w.row_no + 1, n.o FROM w JOIN {names[0]} n ON n.s = w.word WHERE w.row_no < {depth - 1}) SELECT * FROM w""")
-    for name in names:
-        spark.catalog.dropTempView(name)
+    heads = written(words.join(link.select(F.col("o").alias("word")), "word", "left_anti"))
+    first = heads.select(F.col("word").alias("back"), F.lit(True).alias("done"))
+    way = written(link.select(F.col("o").alias("word"), F.col("s").alias("back"), F.lit(1).cast("long").alias("row_no")).join(first, "back", "left").select("word", "back", "row_no", F.coalesce("done", F.lit(False)).alias("done")))
+    order, limit = heads.select(F.col("word").alias("head"), F.lit(0).cast("long").alias("row_no"), "word"), way.count().bit_length()
+    for _ in range(limit):
+        if way.where("NOT done").isEmpty():
+            break
+        further = way.select(F.col("word").alias("back"), F.col("back").alias("far"), F.col("row_no").alias("more"), F.col("done").alias("there"))
+        moved = way.where("NOT done").join(further, "back").select("word", F.col("far").alias("back"), (F.col("row_no") + F.col("more")).alias("row_no"), F.col("there").alias("done"))
+        way = written(way.where("done").union(moved))
+    order = order.union(way.where("done").select("back", "row_no", "word"))
     wide = triples.where(F.col("p").isin(list(columns.values()))).groupBy(F.col("s").alias("word")).agg(*[F.min(F.when(F.col("p") == p, F.col("o"))).alias(c) for c, p in columns.items()])
     return order.join(wide, "word", "left").select("head", "row_no", "word", *columns)

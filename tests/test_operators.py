@@ -238,10 +238,10 @@ def test_updated_dictionaries_match_only_what_is_new(spark):
 
 def test_json_ld_names_and_rdf_xml_spaces(spark, tmp_path):
     (tmp_path / "a.jsonld").write_text('{"@context": {"@vocab": "http://v/", "n": "http://n/name"}, "@id": "http://s", "@type": "T", "n": ["x", {"@value": "y", "@language": "de"}], "k": {"@id": "http://o"}}\nbroken\n')
-    got = rows(rdf.read(spark, str(tmp_path / "a.jsonld"), "jsonld").select("p", "o", "o_kind", "o_lang"), "p", "o")
+    got = rows(rdf.read(spark, str(tmp_path / "a.jsonld"), "jsonl").select("p", "o", "o_kind", "o_lang"), "p", "o")
     assert got == [("http://n/name", "x", "literal", ""), ("http://n/name", "y", "literal", "de"), ("http://v/k", "http://o", "uri", ""), (rdf.RDF + "type", "http://v/T", "uri", "")]
     (tmp_path / "b.rdf").write_text('<rdf:RDF xmlns:rdf="r#" xmlns:d="http://d/">\n<rdf:Description rdf:about="s1"><d:t>a &amp; b</d:t></rdf:Description>\n<rdf:Description rdf:nodeID="n"><d:u rdf:resource="o"/></rdf:Description></rdf:RDF>')
-    assert rows(rdf.read(spark, str(tmp_path / "b.rdf"), "rdf").select("s", "p", "o", "o_kind"), "s") == [("_:n", "http://d/u", "o", "uri"), ("s1", "http://d/t", "a & b", "literal")]
+    assert rows(rdf.read(spark, str(tmp_path / "b.rdf"), "rdf-records").select("s", "p", "o", "o_kind"), "s") == [("_:n", "http://d/u", "o", "uri"), ("s1", "http://d/t", "a & b", "literal")]
 
 
 def test_stream_of_commands_keeps_states_across_batches(spark, tmp_path):
