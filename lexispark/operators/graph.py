@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What stands between class and class in OWL, and the relation it becomes.
@@ -87,10 +87,75 @@ def visible(path):
     return F.filter(path, lambda x: ~x.startswith("#"))
 
 
-def longest(found: DataFrame, node: str) -> DataFrame:
-    """The longest path per start (node = src) or end (node = dst), the least by its nodes among equals."""
-    w = Window.partitionBy(node).orderBy(F.size("path").desc(), "path")
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(node, visible(F.col("path")).alias("path"))
+def cycles(edge: DataFrame) -> DataFrame:
+    """(node, component): the classes that lie on cycles, with the largest class of their strongly connected component.
+
+    Edges that can't be on a cycle are trimmed from the ends; in what is left the largest name that reaches a class is its colour, and
+    the classes of a colour from which its name is reached are a component. Found ones go, and the rest is searched again."""
+    from lexispark.plans.durable import written
+
+    edges = written(edge.select("src", "dst").where("src <> dst").distinct())
+    found = None
+    while True:
+        size = -1
+        while (now := edges.count()) not in (size, 0):
+            size = now
+            ends = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+            edges = written(edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"))
+        if not now:
+            break
+        colour = front = written(edges.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct())
+        while not front.isEmpty():
+            reached = edges.join(front, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("now"))
+            front = written(colour.join(reached, "node").where("now > colour").select("node", F.col("now").alias("colour")))
+            colour = written(colour.union(front).groupBy("node").agg(F.max("colour").alias("colour")))
+        inside = edges.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
+        inside = written(inside.select("src", "dst"))
+        member = front = written(colour.where("node = colour"))
+        while not front.isEmpty():
+            before = inside.join(front, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "colour").distinct()
+            front = written(before.join(member, ["node", "colour"], "left_anti"))
+            member = written(member.union(front))
+        found = member if found is None else found.union(member)
+        gone = member.select(F.col("node").alias("src"))
+        edges = written(edges.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
+    several = found.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+    return written(found.join(several, "colour").select("node", F.col("colour").alias("component")))
+
+
+def longest(edge: DataFrame, node: str) -> DataFrame:
+    """The longest simple path of one edge or more per start (node = src) or end (node = dst), the least by its nodes among equals;
+    anonymous nodes hidden.
+
+    Simple paths are listed only inside strongly connected components, where nothing shorter than listing is known; one that is left
+    isn't met again. So over all other edges each class keeps its best path, and a round hands on the paths that got better."""
+    from lexispark.plans.durable import written
+
+    up = node == "src"
+    end, other = ("src", "dst") if up else ("dst", "src")
+    pairs = edge.select("src", "dst").where("src <> dst").distinct()
+    part = cycles(edge)
+    of = lambda name: part.select(F.col("node").alias(name), F.col("component").alias(name + "_in"))
+    both = written(pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left"))
+    inner = both.where("src_in = dst_in").select("src", "dst")
+    outer = written(both.where("src_in IS NULL OR dst_in IS NULL OR src_in <> dst_in").select(F.col(end).alias("x"), F.col(other).alias("w")))
+    every = both.select(F.col("src").alias("v")).union(both.select("dst")).distinct()
+    own = every.select("v", F.col("v").alias("x"), F.array("v").alias("path"))
+    if not inner.isEmpty():
+        own = own.union(paths(inner).select(F.col(end).alias("v"), F.col(other).alias("x"), "path"))
+    own = written(own)
+    best_of = F.min(F.struct((-F.size("path")).alias("n"), "path")).alias("m")
+    best = front = written(own.groupBy("v").agg(best_of))
+    # from each way through a component and out of it
+    ways = written(own.join(outer, "x").select("v", "w", F.col("path").alias("way")))
+    while not front.isEmpty():
+        joined = F.concat("way", "m.path") if up else F.concat("m.path", "way")
+        got = ways.join(front.withColumnRenamed("v", "w"), "w").select("v", joined.alias("path")).groupBy("v").agg(best_of.alias("now"))
+        front = written(got.join(best, "v").where("now < m").select("v", F.col("now").alias("m")))
+        best = written(best.union(front).groupBy("v").agg(F.min("m").alias("m")))
+    return best.where("m.n < -1").select(F.col("v").alias(node), visible(F.col("m.path")).alias("path"))
 
 
 def reach_suffix(edge: DataFrame, closed: DataFrame, suffix: str, tier: DataFrame | None = None) -> DataFrame:

@@ -72,12 +72,12 @@ def shortest_path(s, d):
 
 @query("longest_upper_path", f"SELECT src, list_filter(path, lambda x: NOT starts_with(x, '#')) AS path FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY len(path) DESC, path) AS n FROM ({PATHS})) WHERE n = 1")
 def longest_upper_path(s, d):
-    return graph.longest(graph.paths(t.class_edge(s, d)), "src")
+    return graph.longest(t.class_edge(s, d), "src")
 
 
 @query("longest_lower_path", f"SELECT dst, list_filter(path, lambda x: NOT starts_with(x, '#')) AS path FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY len(path) DESC, path) AS n FROM ({PATHS})) WHERE n = 1")
 def longest_lower_path(s, d):
-    return graph.longest(graph.paths(t.class_edge(s, d)), "dst")
+    return graph.longest(t.class_edge(s, d), "dst")
 
 
 @query("reach_suffix", "SELECT DISTINCT node FROM (SELECT src AS node FROM closure WHERE (dst LIKE '%entWord' OR dst = 'Nominal') AND src <> dst UNION ALL SELECT unnest([src, dst]) FROM class_edge) WHERE node LIKE '%entWord' OR node = 'Nominal' OR node IN (SELECT src FROM closure WHERE dst LIKE '%entWord' OR dst = 'Nominal')")
