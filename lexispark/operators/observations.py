@@ -96,8 +96,18 @@ def pool(new: DataFrame, seen: DataFrame) -> DataFrame:
 def folder_sample(files: DataFrame, good: int = 50, bad: int = 100, most: int = 200, least: int = 100) -> DataFrame:
     """files(folder, path, good) that are still read: a folder stops once it has `good` good ones or more, more than `bad` bad
     ones, or `most` in all; folders of fewer than `least` files are read whole. Counts are those before each file, by path."""
-    before = Window.partitionBy("folder").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)).over(before), F.lit(0))
-    g, b = n(F.col("good")), n(~F.col("good"))
-    size = F.count("*").over(Window.partitionBy("folder"))
-    return files.withColumns({"_g": g, "_b": b, "_s": size}).where((F.col("_s") < least) | ~((F.col("_g") >= good) | (F.col("_b") > bad) | (F.col("_g") + F.col("_b") >= most))).drop("_g", "_b", "_s")
+    from lexispark.plans.durable import written
+
+    # ranges of paths, so that a large folder is many of them; counts of a folder's ranges are summed
+    dealt = written(files.repartitionByRange("folder", "path").withColumn("_r", F.spark_partition_id()))
+    per = dealt.groupBy("folder", "_r").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    upto = Window.partitionBy("folder").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    sums = per.select("folder", "_r", (F.sum("g").over(upto) - F.col("g")).alias("_g"), (F.sum("b").over(upto) - F.col("b")).alias("_b"), F.sum("g").over(upto).alias("_g2"), F.sum("b").over(upto).alias("_b2"), F.sum(F.col("g") + F.col("b")).over(Window.partitionBy("folder")).alias("_s"))
+    stops = lambda g, b: (g >= good) | (b > bad) | (g + b >= most)
+    whole = (F.col("_s") < least) | ~stops(F.col("_g2"), F.col("_b2"))
+    ranges = dealt.join(sums.where(whole | ~stops(F.col("_g"), F.col("_b"))).withColumn("_w", whole), ["folder", "_r"])
+    # only the range in which a folder stops is looked into
+    before = Window.partitionBy("folder", "_r").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    n = lambda c: F.coalesce(F.count_if(c).over(before), F.lit(0))
+    inside = ranges.where("NOT _w").withColumns({"_x": n(F.col("good")), "_y": n(~F.col("good"))}).where(~stops(F.col("_g") + F.col("_x"), F.col("_b") + F.col("_y")))
+    return ranges.where("_w").select(*files.columns).union(inside.select(*files.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.columns import full_match
@@ -46,6 +46,25 @@ def inverted_index(pairs: DataFrame, key: str, value: str) -> DataFrame:
     return pairs.select(key, value).distinct().groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(value)).alias("values"))
 
 
+#: Values that one posting list spans.
+WIDTH = 1 << 16
+
+
+def posting_lists(pairs: DataFrame, key: str, value: str, width: int = WIDTH) -> DataFrame:
+    """(key, bucket, n, gaps): the inverted index in lists of bounded size: a key's values (numbers) from bucket * width on, sorted,
+    as the distance of each from the one before it, of the first from the bucket's begin. A key that all files hold is many rows."""
+    values = pairs.select(F.col(key).alias("key"), F.floor(F.col(value) / width).alias("bucket"), F.pmod(value, F.lit(width)).cast("int").alias("at")).distinct()
+    lists = values.groupBy("key", "bucket").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("at")).alias("x"))
+    return lists.select("key", "bucket", "n", F.transform("x", lambda at, i: at - F.coalesce(F.get("x", i - 1), F.lit(0))).alias("gaps"))
+
+
+def holding(postings: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
+    """(value): the values that stand with all of keys. Lists are read one by one, and only those of the keys."""
+    lists = postings.where(F.col("key").isin(keys)).select("key", "bucket", F.posexplode("gaps").alias("i", "gap"))
+    at = F.sum("gap").over(Window.partitionBy("key", "bucket").orderBy("i"))
+    return lists.select((F.col("bucket") * width + at).alias("value")).groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") == len(set(keys))).select("value")
+
+
 def by_single_type(types: DataFrame, wanted: str) -> DataFrame:
     """Resources of a type; UNKNOWN means that it is the only type edge."""
     if wanted != "UNKNOWN":

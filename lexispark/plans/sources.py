@@ -136,14 +136,14 @@ def json_ld_documents(s, d):
     return rdf.read(s, _documents(s, rows.select(F.col("p_partkey").alias("k"), text.alias("text")), "documents", head, ",\n", "]}"), "jsonld").select(*PART)
 
 
-@query("conll_read", "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER AS row_no, unnest([0, 1]) AS col, unnest([n_nationkey::VARCHAR, n_name]) AS value FROM nation")
+@query("conll_read", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_no, unnest([0, 1]) AS col, unnest([n_nationkey::VARCHAR, n_name]) AS value FROM nation")
 def conll_read(s, d):
     n = t.table(s, d, "nation").orderBy("n_nationkey").coalesce(1)
     path = _lines(s, n.select(F.concat(F.when(F.col("n_nationkey") % 5 == 0, "# remark\n").otherwise(""), F.col("n_nationkey").cast("string"), F.lit("\t"), "n_name")), "conll")
     return readers.conll(s, path, least=3, most=2000).select("row_no", "col", "value")
 
 
-@query("numbered_lines", "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER AS line_no, n_name AS value FROM nation")
+@query("numbered_lines", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS line_no, n_name AS value FROM nation")
 def numbered_lines(s, d):
     return readers.numbered_lines(s, _lines(s, t.table(s, d, "nation").orderBy("n_nationkey").coalesce(1).select("n_name"), "lines")).select("line_no", "value")
 

@@ -205,6 +205,17 @@ def inverted_index(s, d):
     return search.inverted_index(_found(s, d)[1], "tag", "file_id").withColumnRenamed("tag", "key")
 
 
+@query("posting_lists", """SELECT tag AS "key", bucket, count(*) AS n, list(gap ORDER BY file_id) AS gaps FROM (
+  SELECT *, file_id % 128 - coalesce(lag(file_id % 128) OVER (PARTITION BY tag, bucket ORDER BY file_id), 0) AS gap FROM (SELECT DISTINCT tag, file_id, file_id // 128 AS bucket FROM found)) GROUP BY tag, bucket""")
+def posting_lists(s, d):
+    return search.posting_lists(_found(s, d)[1], "tag", "file_id", 128)
+
+
+@query("posting_search", "SELECT file_id FROM found WHERE tag IN ('the', 'of', '.{3,9}tion') GROUP BY file_id HAVING count(DISTINCT tag) = 3")
+def posting_search(s, d):
+    return search.holding(written(posting_lists(s, d)), ["the", "of", ".{3,9}tion"], 128).select(F.col("value").alias("file_id"))
+
+
 @query("class_index", 'SELECT class AS "key", count(DISTINCT file_id) AS n, list(DISTINCT file_id ORDER BY file_id) AS "values" FROM found GROUP BY class')
 def class_index(s, d):
     return search.inverted_index(_found(s, d)[1], "class", "file_id").withColumnRenamed("class", "key")

@@ -76,16 +76,23 @@ def _ordered(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(*where, "value")
 
 
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows(file_id, block, at, ...) with their place in the file: counts of a file's splits are summed, and rows numbered in each
+    split alone."""
+    counts = rows.groupBy("file_id", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("file_id", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("file_id", "block").orderBy("at")) - 1
+    return rows.withColumn(name, own).join(offsets, ["file_id", "block"]).withColumn(name, F.col("before") + F.col(name)).drop("before")
+
+
 def conll(spark: SparkSession, path: str, least: int = MIN_ROWS, most: int = MAX_ROWS, comment: str = "#") -> DataFrame:
     """(file_id, row_no, col, value): files with `least` rows or more, each cut at `most` (-1: whole), blank and comment lines left out.
 
-    Files are read by lines and may be of any size; a split's rows beyond `most` are dropped before they are sorted."""
+    Files are read by lines and may be of any size, as rows are numbered split by split."""
     rows = _ordered(spark, path).where((F.trim("value") != "") & ~F.col("value").startswith(comment))
     long = rows.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("file_id")
-    if most >= 0:
-        part = Window.partitionBy("file_id", "block").orderBy("at")
-        rows = rows.withColumn("k", F.row_number().over(part)).where(F.col("k") <= most).drop("k")
-    rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("file_id").orderBy("block", "at")) - 1)
+    rows = _numbered(rows, "row_no")
     rows = rows.where(F.col("row_no") < most) if most >= 0 else rows
     return rows.join(long, "file_id", "left_semi").select("file_id", "row_no", F.posexplode(F.split("value", "\t", -1)).alias("col", "value"))
 
@@ -205,10 +212,8 @@ def xml_overview(docs: DataFrame, most: int = -1) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_id, line_no, value): line_no counts in file order; a file's lines are numbered in one task."""
-    w = Window.partitionBy("file_id").orderBy("block", "at")
-    rows = _ordered(spark, path)
-    return rows.select("file_id", (F.row_number().over(w) - 1).alias("line_no"), "value")
+    """(file_id, line_no, value): line_no counts in file order, whatever the splits."""
+    return _numbered(_ordered(spark, path), "line_no").select("file_id", "line_no", "value")
 
 
 def load_graph(spark: SparkSession, path: str, node: str, edge: str, form: str = "json") -> tuple[DataFrame, DataFrame]:

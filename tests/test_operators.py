@@ -185,6 +185,46 @@ def test_long_texts_do_not_overflow_the_stack(spark):
     assert matching.pattern_tokens(hit, tag).groupBy("tag").count().collect().__len__() == 3
 
 
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(500)))
+    (tmp_path / "b.txt").write_text("# no\nx\t1\n\ny\t2\n" * 60)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        got = readers.numbered_lines(spark, f"{tmp_path}/a.txt").collect()
+        assert sorted((r["line_no"], r["value"]) for r in got) == [(i, f"line {i}") for i in range(500)]
+        for most, n in ((-1, 120), (50, 50)):
+            cells = readers.conll(spark, f"{tmp_path}/b.txt", least=100, most=most).collect()
+            assert sorted((r["row_no"], r["col"], r["value"]) for r in cells) == sorted((i, c, ("x", "1", "y", "2")[i % 2 * 2 + c]) for i in range(n) for c in (0, 1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("limits", [(3, 4, 6, 5), (50, 2, 90, 1), (1, 0, 1, 0), (500, 500, 500, 1)])
+def test_folders_stop_as_if_read_file_by_file(spark, limits):
+    import random
+
+    rng = random.Random(4)
+    good, bad, most, least = limits
+    files = [(f, f"{i:04}", rng.random() < 0.7) for f, n in (("big", 300), ("small", 4), ("mid", 20)) for i in range(n)]
+    want = []
+    for folder in ("big", "small", "mid"):
+        own, g, b = [x for x in files if x[0] == folder], 0, 0
+        for x in own:
+            if len(own) < least or not (g >= good or b > bad or g + b >= most):
+                want.append(x)
+            g, b = g + x[2], b + (not x[2])
+    got = observations.folder_sample(spark.createDataFrame(files, "folder string, path string, good boolean").repartition(3), good, bad, most, least).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_posting_lists_are_of_bounded_size_and_meet(spark):
+    pairs = spark.range(1000).selectExpr("explode(array('all', if(id % 3 = 0, 'third', 'all'), if(id % 5 = 0, 'fifth', 'all'))) AS tag", "id")
+    lists = search.posting_lists(pairs, "tag", "id", 64)
+    assert lists.where("key = 'all'").count() == 16 and lists.agg(F.max("n")).first()[0] == 64
+    assert rows(search.holding(lists, ["all", "third", "fifth"], 64), "value") == [(i,) for i in range(0, 1000, 15)]
+    assert search.holding(lists, ["all", "none"], 64).collect() == []
+
+
 def test_shortest_paths_have_an_edge_and_pass_no_node_twice(spark):
     edge = spark.createDataFrame([("a", "b"), ("b", "t"), ("a", "c"), ("c", "t"), ("t", "u"), ("u", "t"), ("t", "a"), ("z", "z")], "src string, dst string")
     got = rows(graph.shortest(edge, spark.createDataFrame([("t",), ("b",)], "node string")), "src")
