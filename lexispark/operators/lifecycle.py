@@ -119,10 +119,14 @@ def propagated(source: DataFrame, target: DataFrame) -> DataFrame:
     columns = F.sort_array(F.collect_set("col"))
     wanted = source.agg(columns.alias("cols"))
     fits = target.groupBy("file_id").agg(columns.alias("cols")).join(wanted, "cols").select("file_id")
-    mine = target.join(fits, "file_id", "left_semi").select("file_id", "col", "value").distinct().withColumn("_t", F.lit(True))
-    given = fits.crossJoin(source.select("col", "value").distinct()).withColumn("_s", F.lit(True))
-    both = given.join(mine, ["file_id", "col", "value"], "full_outer")
-    return both.select("file_id", "col", "value", F.when(F.col("_t").isNull(), "added").when(F.col("_s").isNull(), "removed").otherwise("kept").alias("state"))
+    mine = target.join(fits, "file_id", "left_semi").select("file_id", "col", "value").distinct()
+    given = source.select("col", "value").distinct()
+    known = mine.join(given.withColumn("_s", F.lit(True)), ["col", "value"], "left").select("file_id", "col", "value", F.when(F.col("_s"), "kept").otherwise("removed").alias("state"))
+    # what a file lacks of the edit's values; only files that lack something are asked which
+    had = known.where("state = 'kept'").groupBy("file_id").agg(F.count("*").alias("n"))
+    lacking = fits.join(had, "file_id", "left").join(given.agg(F.count("*").alias("all"))).where("coalesce(n, 0) < all").select("file_id")
+    every = lacking.join(source.agg(F.collect_set(F.struct("col", "value")).alias("edit"))).select("file_id", F.explode("edit").alias("e")).select("file_id", "e.col", "e.value")
+    return known.union(every.join(mine, ["file_id", "col", "value"], "left_anti").select("file_id", "col", "value", F.lit("added").alias("state")))
 
 
 def quota_state(files: DataFrame, size: int, resources: int, count: int) -> DataFrame:

@@ -12,8 +12,8 @@ def scores(hit: DataFrame, found: DataFrame) -> DataFrame:
     """Per file and model: different_hit_types (nodes, each a class with its tag), exclusive_hit_types (nodes reached by hits with one match),
     hit_count_total and exclusive_hit_count_total (counts, each node once: of its hits the largest, then the least token),
     coverage (nodes per distinct token of the file)."""
-    # All that follows is per file, so matches are dealt by file once; a file's are bounded by its own tokens, so hot tokens are no matter.
-    edges = found.repartition("file_id").withColumn("degree", F.count("*").over(Window.partitionBy("file_id", "token")))
+    # a file may be a whole table's predicate, so only a token's matches in it meet in one task; the rest are aggregates
+    edges = found.withColumn("degree", F.count("*").over(Window.partitionBy("file_id", "token")))
     node = edges.groupBy("file_id", "model", "class", "tag").agg(F.max("cnt").alias("cnt"), F.max(F.when(F.col("degree") == 1, F.col("cnt"))).alias("own"))
     per_file = hit.groupBy("file_id").agg(F.count("*").alias("tokens"))
     by_model = node.groupBy("file_id", "model").agg(

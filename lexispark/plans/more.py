@@ -88,9 +88,9 @@ def mods_records(s, d):
     return exports.xml_records(rows, "id", "mods", {"title": "title", "place": "place", "note": "note", "identifier": "id", "subject": "subjects"})
 
 
-@query("search_values_checked", "SELECT v AS value, v IN (SELECT tag FROM tag_dict) AS known FROM (SELECT unnest(['the', 'und', 'nothing', '']) AS v)")
+@query("search_values_checked", "SELECT token AS value, token IN (SELECT tag FROM tag_dict) AS known FROM (SELECT DISTINCT token FROM token_count WHERE length(token) <= 4)")
 def search_values_checked(s, d):
-    return search.checked(s.createDataFrame([("the",), ("und",), ("nothing",), ("",)], "value string"), t.tag_dict(s).select(F.col("tag").alias("value")))
+    return search.checked(t.token_count(s, d).where("length(token) <= 4").select(F.col("token").alias("value")), t.tag_dict(s).select(F.col("tag").alias("value")))
 
 
 @query("labelled_paths", "SELECT DISTINCT src, dst, array_to_string(list_transform(path, lambda x: CASE WHEN starts_with(x, '#') THEN '(any)' WHEN x LIKE '%Word' THEN 'class:' || x ELSE 'tag:' || x END), ' > ') AS label FROM closure WHERE src <> dst")

@@ -207,21 +207,29 @@ def merged_resources(s, d):
     return merged_json(s, d).select("key", F.from_json("json", "urls array<string>")["urls"].alias("urls"))
 
 
-@query("language_profile_override", "SELECT lang, gram, freq FROM (VALUES ('eng', 'the', 9), ('deu', 'und', 5), ('fra', 'les', 3)) v(lang, gram, freq)")
+PROFILE = "(SELECT lang, token AS gram, sum(cnt)::BIGINT AS freq, {n} AS k FROM token_count JOIN file_language USING (file_id) WHERE file_id % 3 = {n} AND lang IN ({langs}) GROUP BY lang, token)"
+BUILT_IN, EXTRA, OWN = (["eng", "deu", "fra", "spa"], ["deu", "fra"], ["fra"])
+
+
+@query("language_profile_override", "SELECT lang, gram, freq FROM (SELECT *, max(k) OVER (PARTITION BY lang) AS last FROM (" + " UNION ALL ".join("SELECT * FROM " + PROFILE.format(n=n, langs=", ".join(map(repr, x))) for n, x in enumerate((BUILT_IN, EXTRA, OWN))) + ")) WHERE k = last")
 def language_profile_override(s, d):
-    form = "lang string, gram string, freq int"
-    built_in = s.createDataFrame([("eng", "the", 4), ("eng", "ing", 2), ("deu", "der", 3)], form)
-    return languages.overridden(built_in, s.createDataFrame([("deu", "ung", 1), ("fra", "les", 3)], form), s.createDataFrame([("eng", "the", 9), ("deu", "und", 5)], form))
+    """Word profiles of thirds of the texts: built-in ones, extra ones for two languages, own ones for one."""
+    words = written(t.token_count(s, d).join(t.file_language(s, d), "file_id"))
+    one = lambda n, langs: words.where((F.col("file_id") % 3 == n) & F.col("lang").isin(langs)).groupBy("lang", F.col("token").alias("gram")).agg(F.sum("cnt").alias("freq"))
+    return languages.overridden(*[one(n, x) for n, x in enumerate((BUILT_IN, EXTRA, OWN))])
+
+
+RELOADED = [(0, "M1", "a"), (1, "M2", "[b-m]"), (2, "M3", "th"), (3, "M4", "[0-9]")]
 
 
-@query("reloaded_models", "SELECT DISTINCT m.model, tag FROM (SELECT class, max_by(model, ordinal) AS model FROM (SELECT DISTINCT class FROM tag_dict) JOIN (VALUES (0, 'M1', 'Con'), (1, 'M2', 'De'), (2, 'M3', 'Pr')) n(ordinal, model, namespace) ON starts_with(class, namespace) GROUP BY class) m JOIN tag_dict USING (class)")
+@query("reloaded_models", f"SELECT n.model, token AS tag FROM (SELECT token, max(ordinal) AS ordinal FROM (SELECT DISTINCT token FROM token_count WHERE length(token) > 2) JOIN (VALUES {t._values(RELOADED)}) n(ordinal, model, namespace) ON regexp_matches(token, '^(?:' || namespace || ')') GROUP BY token) JOIN (VALUES {t._values(RELOADED)}) n(ordinal, model, namespace) USING (ordinal)")
 def reloaded_models(s, d):
-    """Models read anew, named by their namespaces, and the dictionary made of them."""
-    tags = t.tag_dict(s)
-    named = graph.named_models(tags.select("class").distinct(), s.createDataFrame([(0, "M1", "Con"), (1, "M2", "De"), (2, "M3", "Pr")], "ordinal int, model string, namespace string"))
-    fresh = tags.drop("model").join(named, "class")
-    words = models.dictionary(fresh, fresh.select("class")).where("kind = 'tag'").select(F.col("value").alias("tag"))
-    return fresh.join(words, "tag", "left_semi").select("model", "tag").distinct()
+    """Models read anew from the texts' words as classes, named by their namespaces, and the dictionary made of them."""
+    words = written(t.token_count(s, d).where("length(token) > 2").select(F.col("token").alias("class")).distinct())
+    named = graph.named_models(words, s.createDataFrame(RELOADED, "ordinal int, model string, namespace string"))
+    fresh = named.select("model", "class", F.col("class").alias("tag"), F.lit(False).alias("is_regex"), F.lit("").alias("lang"))
+    known = models.dictionary(fresh, fresh.select("class")).where("kind = 'tag'").select(F.col("value").alias("tag"))
+    return fresh.join(known, "tag", "left_semi").select("model", "tag").distinct()
 
 
 @query("export_job", """SELECT f.url, max(f.source) AS title, count(DISTINCT f.file_id) AS files, count(DISTINCT m.model) AS models FROM files f LEFT JOIN found m USING (file_id)

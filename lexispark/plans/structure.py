@@ -126,12 +126,16 @@ def graph_from_triples(s, d):
     return graph.build(rows)
 
 
-NAMES = [(0, "M1", "Con.*"), (1, "M2", ".*Word"), (2, "M3", "Pr.*")]
+#: Namespaces of the parts' and types' addresses.
+NAMES = [(0, "M1", "http://p.example/1"), (1, "M2", "http://p.example/.*7$"), (2, "M3", "http://t[.]example/(ECO|PRO)"), (3, "M4", "http://p.example/1.*5")]
+ADDRESSES = "(SELECT 'http://p.example/' || p_partkey AS class FROM part UNION SELECT 'http://t.example/' || p_type FROM part)"
 
 
-@query("models_by_namespace", f"SELECT class, max_by(model, ordinal) AS model FROM (SELECT DISTINCT class FROM tag_dict) JOIN (VALUES {t._values(NAMES)}) n(ordinal, model, namespace) ON regexp_matches(class, '^(?:' || namespace || ')') GROUP BY class")
+@query("models_by_namespace", f"SELECT class, max_by(model, ordinal) AS model FROM {ADDRESSES} JOIN (VALUES {t._values(NAMES)}) n(ordinal, model, namespace) ON regexp_matches(class, '^(?:' || namespace || ')') GROUP BY class")
 def models_by_namespace(s, d):
-    return graph.named_models(t.tag_dict(s).select("class").distinct(), s.createDataFrame(NAMES, "ordinal int, model string, namespace string"))
+    p = t.table(s, d, "part")
+    classes = p.select(F.concat(F.lit("http://p.example/"), F.col("p_partkey").cast("string")).alias("class")).union(p.select(F.concat(F.lit("http://t.example/"), "p_type"))).distinct()
+    return graph.named_models(classes, s.createDataFrame(NAMES, "ordinal int, model string, namespace string"))
 
 
 @query("orphan_hits", """SELECT file_id, token, cnt FROM token_count JOIN file_language f USING (file_id) WHERE token NOT IN (SELECT tag FROM tag_dict WHERE NOT is_regex AND lang = '')
