@@ -9,7 +9,7 @@ from fnmatch import translate
 import numpy as np
 import pytest
 
-from lexispark.llm import balls, phrases, registry, urls
+from lexispark.llm import balls, phrases, pii, registry, urls
 
 ARRAYS = "vec_id long, embedding array<float>, n long, cluster string, v string"
 
@@ -164,3 +164,9 @@ def test_rules_need_a_path(spark):
 
 def test_every_dealt_operator_has_its_query():
     assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in registry.queries() if x.startswith("op")}
+
+
+def test_long_domains_do_not_overflow_the_stack(spark):
+    texts = ["x@" + "a." * 50_000, "y@" + "b." * 20 + "com ", "x@" + "a." * 9000 + "com", "z@ok.org"]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert got[0]["text"] == texts[0] and got[1]["text"] != texts[1] and got[3]["text"] != texts[3]
