@@ -92,6 +92,14 @@ def updated(hit: DataFrame, found: DataFrame, old: DataFrame, new: DataFrame) ->
     return stay.union(again).distinct()
 
 
+def changed_matches(hit: DataFrame, found: DataFrame, old: DataFrame, new: DataFrame, file_language: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(dropped, added) matches when a dictionary becomes another: those of nodes that are gone, and those of nodes that are new."""
+    node = ["model", "class", "tag", "is_regex", "lang"]
+    gone = old.join(new, node, "left_anti").select("model", "class", "tag", "lang", F.when(F.col("is_regex"), "pattern").otherwise("tag").alias("kind"))
+    fresh = new.join(old, node, "left_anti").select(*new.columns)
+    return found.join(gone, gone.columns, "left_semi").select(*found.columns), matching.matches(hit, fresh, file_language).select(*found.columns)
+
+
 def tags_of_models(found: DataFrame, files: DataFrame) -> DataFrame:
     """(url, model, class, tag, token, cnt): the nodes of each model that a resource's files reach, once each, with the most frequent
     token (of equal ones the least)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexispark.functions.columns import extension_of
-from lexispark.operators import graph, matching, metadata, models
+from lexispark.operators import graph, matching, metadata, models, scoring
 from lexispark.plans import derived as t
 from lexispark.plans.derived import SQL
 from lexispark.plans.durable import written
@@ -111,6 +111,33 @@ def model_updated(s, d):
     return models.updated(hit, matching.matches(hit, old), old, new).select("file_id", "token", "model", "class", "tag")
 
 
+#: The dictionary after an update: a model gone, one changed, one new.
+UPDATED = [x for x in t.TAGS if x[0] != "MIXLEX" and x[2] != "und"] + [("GERLEX", "Conjunction", "oder", False, ""), ("NEWLEX", "Verb", "th.*(ing|ed)", True, ""), ("NEWLEX", "Article", "the", False, "eng")]
+
+
+def model_update_job(s, d):
+    """The chain after a model update: the old matches' scores, nodes reset and reloaded, hits that have become orphans dropped, new
+    nodes matched, and scores brought up to date from the changes; with the number of each file's orphans."""
+    hit, old = written(t.token_count(s, d)), t.tag_dict(s)
+    found = written(matching.matches(hit, old, t.file_language(s, d)))
+    scored = written(scoring.scores(hit, found))
+    new = s.createDataFrame(UPDATED, old.schema)
+    dropped, added = (written(x) for x in models.changed_matches(hit, found, old, new, t.file_language(s, d)))
+    scores = scoring.rescored(scored, hit, found, dropped, added)
+    key = F.concat_ws(":", F.col("file_id").cast("string"), "token").alias("hit_id")
+    left = found.join(dropped, found.columns, "left_anti").select(*found.columns).union(added.select(*found.columns))
+    orphans = graph.orphans(hit.select("file_id", key, F.lit("t").alias("kind")), left.select(key), "l").groupBy("file_id").agg(F.count("*").alias("orphans"))
+    return scores.join(orphans, "file_id", "left").select("file_id", "model", *scoring.SUMS, "coverage", F.coalesce("orphans", F.lit(0)).alias("orphans"))
+
+
+Q["model_update_job"] = (
+    model_update_job,
+    SQL.replace(t._values(t.TAGS), t._values(UPDATED))
+    + """SELECT s.file_id, model, different_hit_types, exclusive_hit_types, hit_count_total, exclusive_hit_count_total, coverage, tokens - hits AS orphans
+  FROM scores s JOIN (SELECT file_id, count(*) AS tokens FROM token_count GROUP BY 1) USING (file_id) JOIN (SELECT file_id, count(DISTINCT token) AS hits FROM found GROUP BY 1) USING (file_id)""",
+)
+
+
 @query("tags_of_model", "SELECT url, model, class, tag, arg_min(token, (-cnt, token)) AS token, max(cnt) AS cnt FROM found JOIN files USING (file_id) GROUP BY url, model, class, tag")
 def tags_of_model(s, d):
     return models.tags_of_models(_found(s, d)[1], t.files(s, d))

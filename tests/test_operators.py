@@ -225,6 +225,26 @@ def test_posting_lists_are_of_bounded_size_and_meet(spark):
     assert search.holding(lists, ["all", "none"], 64).collect() == []
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_scores_from_changes_are_those_of_all_matches(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    hits = [(f, f"t{i}", rng.randrange(1, 9)) for f in range(6) for i in range(8)]
+    schema = "file_id int, token string, cnt int, model string, class string, tag string"
+    every = sorted({(*rng.choice(hits), rng.choice("MN"), "c", rng.choice("xyz")) for _ in range(90)})
+    before = {m for m in every if rng.random() < 0.7}
+    dropped = {m for m in before if rng.random() < 0.2 and m[0] < 4} | {m for m in before if m[0] == 0}
+    added = {m for m in every if m not in before and m[0] in (1, 2, 5)}
+    frame = lambda x: spark.createDataFrame(sorted(x), schema)
+    hit = spark.createDataFrame(hits, "file_id int, token string, cnt int")
+    got = scoring.rescored(scoring.scores(hit, frame(before)), hit, frame(before), frame(dropped), frame(added))
+    want = scoring.scores(hit, frame((before - dropped) | added)).select(*got.columns)
+    assert rows(got, "file_id", "model") == rows(want, "file_id", "model") and want.count() > 5
+    same = scoring.rescored(want, hit, frame(before), frame(before).limit(0), frame(before).limit(0))
+    assert rows(same, "file_id", "model") == rows(want, "file_id", "model")
+
+
 def test_shortest_paths_have_an_edge_and_pass_no_node_twice(spark):
     edge = spark.createDataFrame([("a", "b"), ("b", "t"), ("a", "c"), ("c", "t"), ("t", "u"), ("u", "t"), ("t", "a"), ("z", "z")], "src string, dst string")
     got = rows(graph.shortest(edge, spark.createDataFrame([("t",), ("b",)], "node string")), "src")
