@@ -83,3 +83,48 @@ def tracked(commands: DataFrame) -> DataFrame:
 
     out = "request string, state string, changes int"
     return commands.groupBy("request").applyInPandasWithState(update, out, "state string, changes int", "update", GroupStateTimeout.NoTimeout)
+
+
+#: What is told of a request when it enters a state, and of a sign of life while it is worked on.
+NOTICES = {"ACTIVE": "STARTED", "DONE": "FINISHED", "ERROR": "FINISHED", "CANCELLED": "FINISHED"}
+ALIVE, ALIVE_NOTICE = "progress", "INPROGRESS"
+
+
+def followed(commands: DataFrame, limit: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(request, ts, state, notice, overdue): what is to be told of a stream of commands(request, action, ts), as it happens. A
+    request that is worked on must show itself (progress, done, error) within the limit of event time; else it goes into ERROR, with
+    overdue set, once the watermark has passed. States are kept per request across batches; commands of one batch are taken in the
+    order of ts, and those that a state doesn't know tell nothing."""
+    span = int(pd.Timedelta(limit).total_seconds() * 1000)
+
+    def update(key, batches, state):
+        now, last = state.get if state.exists else ("", 0)
+        told = []
+        if state.hasTimedOut:
+            if now == "ACTIVE":
+                now = "ERROR"
+                told.append((last + span, now, "FINISHED", True))
+        else:
+            for action, ms in pd.concat(list(batches)).sort_values("ms", kind="stable")[["action", "ms"]].itertuples(index=False):
+                if now == "ACTIVE" and last + span < ms:  # it was overdue before this came
+                    now = "ERROR"
+                    told.append((last + span, now, "FINISHED", True))
+                to = TRANSITIONS.get((now, action))
+                if to is None and not (now == "ACTIVE" and action == ALIVE):
+                    continue
+                last = int(ms)
+                if to is None:
+                    told.append((last, now, ALIVE_NOTICE, False))
+                else:
+                    now = to
+                    if now in NOTICES:
+                        told.append((last, now, NOTICES[now], False))
+        state.update((now, last))
+        if now == "ACTIVE":
+            state.setTimeoutTimestamp(max(last + span, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *x) for x in told], columns=["request", "ms", "state", "notice", "overdue"])
+
+    out = "request string, ms long, state string, notice string, overdue boolean"
+    timed = commands.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    found = timed.groupBy("request").applyInPandasWithState(update, out, "state string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("request", F.timestamp_millis("ms").alias("ts"), "state", "notice", "overdue")
