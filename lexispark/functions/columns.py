@@ -101,3 +101,44 @@ def format_by_media_type(media_type: Column, url: Column) -> Column:
     for name, types in list(MEDIA_TYPES.items())[1:]:
         out = out.when(plain.isin(types), name)
     return out.otherwise(format_of(url))
+
+
+#: The bytes that packed files and PDF begin with.
+SIGNATURES = {"ARCHIVE": ["504B0304", "504B0506", "1F8B", "425A68", "377ABCAF271C", "526172211A07", "FD377A585A00"], "PDF": ["255044462D"]}
+#: Bytes and lines of a file's head that decide on its format.
+HEAD, HEAD_LINES = 1 << 16, 200
+
+
+def format_by_content(content: Column) -> Column:
+    """The format that the head of a file (binary) shows: signatures; then markup by its root element, statements, JSON, and lines with
+    equally many tabs (three at least); else TEXT. UNKNOWN for empty files and other binary ones; null for null."""
+    raw = F.substring(content, 1, HEAD)
+    code = F.hex(F.substring(raw, 1, 8))
+    out = F.when(F.length(raw) == 0, "UNKNOWN")
+    for name, marks in SIGNATURES.items():
+        for mark in marks:
+            out = out.when(code.startswith(mark), name)
+    out = out.when(F.hex(F.substring(raw, 258, 5)) == "7573746172", "ARCHIVE")  # ustar
+    text = F.regexp_replace(F.make_valid_utf8(raw.cast("string")), r"^﻿?\s*+", "")
+    binary = text.rlike(r"[\x00-\x08\x0E-\x1A]")
+    root = F.regexp_extract(text, r"^(?:<\?[^>]*+>\s*+|<!--(?s:.*?)-->\s*+|<!DOCTYPE[^>\[]*+(?:\[[^\]]*+\])?+\s*+>\s*+){0,50}<([A-Za-z_][\w.-]*+(?::[A-Za-z_][\w.-]*+)?+(?=[\s/>])[^>]*+)", 1)
+    name = F.lower(F.regexp_extract(root, r"^[^\s/>]*+", 0))
+    html = F.lower(F.substring(text, 1, 200)).rlike(r"^<!doctype\s++html\b") | name.isin("html", "head", "body")
+    rdf_root = name.rlike("^(?:[^:]*+:)?rdf$") | (name == "trix")
+    bare = F.regexp_replace(text, r"^(?:#[^\n]*+\n\s*+)*+", "")
+    statements = bare.rlike(r"(?i)^(?:@prefix|@base|prefix|base)\s") | bare.rlike(r"^(?:<[^<>\s]*+>|_:\S++)\s++<[^<>\s]*+>\s++[^\n]*+(?<=[.\r])(?:\n|$)")
+    linked = text.rlike(r'"@(?:context|id|graph|type)"\s*+:')
+    lines = F.slice(F.split(text, r"\r?\n", HEAD_LINES + 2), 1, HEAD_LINES)
+    # the last line of a cut head may be a part of one
+    lines = F.when(F.length(raw) == HEAD, F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1)))).otherwise(lines)
+    filled = F.filter(lines, lambda x: (F.trim(x) != "") & ~x.startswith("#"))
+    tabs = F.transform(filled, lambda x: F.length(x) - F.length(F.translate(x, "\t", "")))
+    regular = (F.size(filled) >= 3) & (F.array_min(tabs) >= 1) & (F.size(F.array_distinct(tabs)) == 1)
+    out = out.when(binary, "UNKNOWN").when(text == "", "UNKNOWN").when(html, "HTML").when(rdf_root, "RDF").when(statements, "RDF").when(root != "", "XML")
+    return F.when(content.isNotNull(), out.when(text.rlike(r"^[\[{]"), F.when(linked, "RDF").otherwise("JSON")).when(regular, "CONLL").otherwise("TEXT"))
+
+
+def format_of_file(content: Column, media_type: Column, url: Column) -> Column:
+    """The format by media type, else by name, else by content."""
+    known = format_by_media_type(F.coalesce(media_type, F.lit("")), url)
+    return F.when(known.isin("UNKNOWN", "NOEXT") | known.isNull(), F.coalesce(format_by_content(content), known)).otherwise(known)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexispark.functions import columns
 from lexispark.functions.columns import format_of, normalised_url, valid_url
 from lexispark.operators import exports, graph, languages, lifecycle, metadata, models, observations, registry, scoring
 from lexispark.plans import derived as t
@@ -303,6 +304,22 @@ def url_checks(s, d):
 TYPES = "CASE conv_id % 4 WHEN 0 THEN 'RDF' WHEN 1 THEN 'HTML' WHEN 2 THEN 'CONLL' ELSE 'UNKNOWN' END"
 
 
+#: What stands in a file of each format, by the remainder of its number; {} is a text of the tables.
+CONTENTS = [
+    ("XML", "<?xml version=\"1.0\"?>\\n<!-- {} -->\\n<tei:text>{}</tei:text>"), ("RDF", "# {}\\n@prefix v: <http://v/> .\\n"), ("RDF", "<http://s> <http://p> \"{}\" ."), ("RDF", "<?xml version=\"1.0\"?><rdf:RDF xmlns:rdf=\"x\">{}</rdf:RDF>"),
+    ("RDF", "{\"@context\": {}, \"x\": \"{}\"}"), ("JSON", "{\"x\": \"{}\"}"), ("HTML", "  <!DOCTYPE html><html><p>{}</p></html>"), ("CONLL", "# {}\\n1\\ta\\tN\\n2\\tb\\t{}\\n\\n1\\tc\\t_"), ("TEXT", "{}, a b\\n"), ("PDF", "%PDF-1.4 {}"), ("UNKNOWN", ""),
+]
+
+
+@query("format_by_content", f"SELECT p_partkey, {[x for x, _ in CONTENTS]}[p_partkey % {len(CONTENTS)} + 1] AS format, CASE WHEN p_partkey % 2 = 0 THEN 'JSON' ELSE {[x for x, _ in CONTENTS]}[p_partkey % {len(CONTENTS)} + 1] END AS by_all FROM part")
+def format_by_content(s, d):
+    text = F.element_at(F.array(*[F.lit(x.replace("\\n", "\n").replace("\\t", "\t")) for _, x in CONTENTS]), (F.col("p_partkey") % len(CONTENTS) + 1).cast("int"))
+    x = t.table(s, d, "part").withColumn("c", F.replace(text, F.lit("{}"), F.col("p_name")).cast("binary"))
+    media = F.when(F.col("p_partkey") % 4 == 0, "application/json; charset=utf-8")
+    url = F.when(F.col("p_partkey") % 2 == 0, "http://a.b/c.json").otherwise("http://a.b/c")
+    return x.select("p_partkey", columns.format_by_content(F.col("c")).alias("format"), columns.format_of_file(F.col("c"), media, url).alias("by_all"))
+
+
 @query("format_by_type", f"SELECT DISTINCT conv_id, {TYPES} AS format FROM conversations")
 def format_by_type(s, d):
     """The format by media type, and by the name's suffix where the type says nothing."""

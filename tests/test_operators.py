@@ -245,6 +245,21 @@ def test_scores_from_changes_are_those_of_all_matches(spark, seed):
     assert rows(same, "file_id", "model") == rows(want, "file_id", "model")
 
 
+def test_formats_by_content(spark):
+    from lexispark.functions.columns import format_by_content
+
+    n = 300_000
+    want = [
+        (b"", "UNKNOWN"), (b" \n", "UNKNOWN"), (b"PK\x03\x04xx", "ARCHIVE"), (b"\x1f\x8b\x08", "ARCHIVE"), (b"a" * 257 + b"ustar\x00", "ARCHIVE"), (b"%PDF-1.7", "PDF"), (b"\x00\x01\x02", "UNKNOWN"),
+        (b"\xef\xbb\xbf<?xml version='1.0'?><a/>", "XML"), (b"<a b='c'>" + b"x" * n, "XML"), (b"<!DOCTYPE x [<!ENTITY a 'b'>]><x>", "XML"), (b"<html>", "HTML"), (b"<!doctype HTML>", "HTML"), (b"<!-- " + b"- " * n, "TEXT"), (b"<TriX xmlns='x'>", "RDF"),
+        (b"<http://a> <http://b> <http://c> .\n", "RDF"), (b"_:a <http://b> \"" + b"x" * 1000 + b"\" .", "RDF"), (b"#c\n\n#d\nPREFIX a: <b>", "RDF"), (b"<RDF xmlns='x'>", "RDF"), (b"{\"@id\": 1}", "RDF"), (b"[1, 2]", "JSON"),
+        (b"1\ta\n2\tb\n3\tc\n", "CONLL"), (b"1\ta\tb\n" * n, "CONLL"), (b"1\ta\n2\tb\tc\n3\tc\n", "TEXT"), (b"1\ta\n2\tb\n", "TEXT"), ("été".encode() * n, "TEXT"), (b"caf\xe9 latin", "TEXT"), (b"a < b", "TEXT"), (b"[" * n, "JSON"), (b"#" * n, "TEXT"), (b"\n" * n, "UNKNOWN"),
+    ]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, (c, _) in enumerate(want)] + [(99, None)], "i int, c binary")
+    got = {r["i"]: r["f"] for r in df.select("i", format_by_content(df.c).alias("f")).collect()}
+    assert got == {i: f for i, (_, f) in enumerate(want)} | {99: None}
+
+
 def test_shortest_paths_have_an_edge_and_pass_no_node_twice(spark):
     edge = spark.createDataFrame([("a", "b"), ("b", "t"), ("a", "c"), ("c", "t"), ("t", "u"), ("u", "t"), ("t", "a"), ("z", "z")], "src string, dst string")
     got = rows(graph.shortest(edge, spark.createDataFrame([("t",), ("b",)], "node string")), "src")
