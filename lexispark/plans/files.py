@@ -85,11 +85,15 @@ def conll_handler(s, d):
 ALLOWED = f"(SELECT * FROM {TRIPLES} WHERE p NOT LIKE '%#label' AND (o_kind = 'uri' OR length(o) <= 35 AND NOT regexp_matches(o, '[:/@., \\[\\]{{}}]') AND NOT regexp_full_match(o, '[0-9]+')))"
 
 
-@query("rdf_handler", f"""SELECT p, model, count(*)::BIGINT AS different_hit_types, round(count(*) / any_value(n), 6) AS coverage FROM (SELECT DISTINCT x.p, model, class, tag, n FROM (SELECT DISTINCT p, o FROM {ALLOWED}) x JOIN (VALUES {t._values(CHAT)}) c(model, class, tag, is_regex, lang) ON CASE WHEN is_regex THEN regexp_full_match(o, tag) ELSE o = tag END
+#: With names that a predicate's first objects hold.
+NAMED = [*CHAT, *[("BRANDS", "Brand", f"Brand#{n}", False, "") for n in (2, 4, 17)], *[("TYPES", "Type", f"http://t.example/{x}", False, "") for x in ("PROMO", "ECONOMY")]]
+
+
+@query("rdf_handler", f"""SELECT p, model, count(*)::BIGINT AS different_hit_types, round(count(*) / any_value(n), 6) AS coverage FROM (SELECT DISTINCT x.p, model, class, tag, n FROM (SELECT DISTINCT p, o FROM {ALLOWED}) x JOIN (VALUES {t._values(NAMED)}) c(model, class, tag, is_regex, lang) ON CASE WHEN is_regex THEN regexp_full_match(o, tag) ELSE o = tag END
   JOIN (SELECT p, count(DISTINCT o) AS n FROM {ALLOWED} GROUP BY p) z ON z.p = x.p
-  WHERE x.p IN (SELECT p FROM (SELECT p, o, row_number() OVER (PARTITION BY p ORDER BY min(pos), o) AS r FROM {ALLOWED} GROUP BY p, o) WHERE r <= 10 AND o IN ('user', 'assistant', 'Brand#23', 'PROMO', 'ECONOMY'))) GROUP BY p, model HAVING count(*) >= 0.05 * any_value(n) AND count(DISTINCT tag) > 1""")
+  WHERE x.p IN (SELECT p FROM (SELECT p, o, row_number() OVER (PARTITION BY p ORDER BY min(pos), o) AS r FROM {ALLOWED} GROUP BY p, o) WHERE r <= 10 AND o IN (SELECT tag FROM (VALUES {t._values(NAMED)}) k(model, class, tag, is_regex, lang)))) GROUP BY p, model HAVING count(*) >= 0.05 * any_value(n) AND count(DISTINCT tag) > 1""")
 def rdf_handler(s, d):
-    return handlers.rdf(triples(s, d), "at", chat(s), written, coverage=0.05)
+    return handlers.rdf(triples(s, d), "at", s.createDataFrame(NAMED, f"model {TAG}"), written, coverage=0.05)
 
 
 @query("xml_handler", f"""SELECT path, attr, model, coverage FROM (SELECT *, row_number() OVER (PARTITION BY path, attr ORDER BY coverage DESC, own DESC, total DESC, owned DESC, model) AS k FROM (
