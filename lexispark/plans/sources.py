@@ -13,6 +13,7 @@ from lexispark.plans.durable import folder, written
 from lexispark.plans.records import TRIPLES, triples
 from lexispark.plans.text_models import _found
 from lexispark.sources import rdf, readers, turtle
+from lexispark.streaming import queue
 
 Q: dict = {}
 
@@ -331,10 +332,13 @@ def format_by_type(s, d):
     return t.table(s, d, "conversations").select("conv_id", format_by_media_type(media, url).alias("format")).distinct()
 
 
-@query("requests_tracked", None)
+TO = "MAP {" + ", ".join(f"'{state}:{action}': '{to}'" for (state, action), to in queue.TRANSITIONS.items()) + "}[split_part(s, '|', 1) || ':' || a]"
+
+
+@query("requests_tracked", f"""SELECT request, split_part(r, '|', 1) AS state, split_part(r, '|', 2)::INTEGER AS changes FROM (
+  SELECT request, list_reduce(list_prepend('|0', list(action ORDER BY ts, event_id)), lambda s, a: CASE WHEN {TO} IS NULL THEN s ELSE {TO} || '|' || (split_part(s, '|', 2)::INTEGER + 1) END) AS r FROM (
+    SELECT user_id::VARCHAR AS request, ts, event_id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 7 = 0 THEN 'cancel' WHEN event_id % 3 = 0 THEN 'start' WHEN event_id % 3 = 1 THEN 'done' ELSE 'queue' END AS action FROM events) GROUP BY request)""")
 def requests_tracked(s, d):
     """The state of each request after all commands on it, as the stream keeps it (here over the whole table)."""
-    from lexispark.streaming import queue
-
     action = F.when(F.col("event_type") == "error", "error").when(F.col("event_id") % 7 == 0, "cancel").when(F.col("event_id") % 3 == 0, "start").when(F.col("event_id") % 3 == 1, "done").otherwise("queue")
     return queue.tracked_all(t.table(s, d, "events").select(F.col("user_id").cast("string").alias("request"), action.alias("action"), "ts", "event_id"), ["ts", "event_id"])
