@@ -9,7 +9,7 @@ from lexispark.plans import derived as t
 from lexispark.plans.derived import SQL
 from lexispark.plans.durable import written
 from lexispark.plans.records import OVERVIEW, xml_docs
-from lexispark.plans.structure import CELLS, _numbered, _top, cell
+from lexispark.plans.structure import CELLS, SENT, _numbered, _top, cell
 from lexispark.plans.text_models import _found
 from lexispark.sources import readers
 
@@ -37,7 +37,10 @@ def pattern_part_counts(s, d):
     return roles.pattern_parts(cell(s, d).where("col IN (2, 4)"), ["-", "=", "."])
 
 
-@query("sentence_pools", None)
+@query("sentence_pools", f"""SELECT * FROM (WITH RECURSIVE z AS (SELECT file_id, sent_no, count(*)::INTEGER AS n, row_number() OVER (PARTITION BY file_id ORDER BY sent_no) AS k FROM ({SENT}) GROUP BY file_id, sent_no),
+  p AS (SELECT file_id, sent_no, k, 0 AS pool, n AS held FROM z WHERE k = 1
+    UNION ALL SELECT z.file_id, z.sent_no, z.k, CASE WHEN held >= 4 THEN pool + 1 ELSE pool END, CASE WHEN held >= 4 THEN z.n ELSE held + z.n END FROM p JOIN z ON z.file_id = p.file_id AND z.k = p.k + 1)
+  SELECT file_id, sent_no, pool FROM p)""")
 def sentence_pools(s, d):
     return roles.sentence_pools(_numbered(s, d), 4)
 
