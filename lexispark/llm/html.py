@@ -1,12 +1,16 @@
 """Main text of web pages, with site templates removed.
 
 Each page is parsed once into a tree (tolerant of open and stray tags). What is no article by its markup goes: scripts, styles,
-menus (nav, menu), the page's headers and footers, asides, forms and their controls, and elements whose role, class or id names
-them as a menu, header, footer, sidebar, notice, advert, form or reader comment; likewise what is not shown (hidden, template,
-a closed dialog). Of the main element (else the body) the outermost articles make the text if they hold half of it or more,
+menus (nav, menu), the page's headers (not an article's), footers, asides, forms and their controls, and elements whose role,
+class or id names them as a menu, header, footer, sidebar, notice, advert, form or reader comment: by nothing but such a name and
+words of layout (site-footer, ad-box), so notice-period and menu-recipes stay, as does a heading's id, which names its topic. A form
+or a named element that holds the page's main element is a frame around it and stays. What is not shown goes (hidden, template, a closed
+dialog). Of the main element (else the body) the outermost articles make the text if they hold half of it or more,
 all of them, whatever their size; else all of it does. What is left is cut into blocks.
 
-Site templates: every block element that is left has a hash of its subtree (tag, text and subtrees). Spark counts, per host and
+Site templates: every block element that is left has a hash of its subtree (tag, text and subtrees); inside an article also of the
+places of it and what it stands in among their siblings, from the nearer end, as articles may share passages, but a site's frame
+repeats them at one place. Spark counts, per host and
 per section of it (the first part of the path), the different pages that hold a hash; pages are different if the texts
 left of them are, so an article that is published at several addresses counts once. A subtree on MIN_PAGES different pages or
 more that are SHARE or more of the host's or the section's different pages is template: it is deleted with all it holds.
@@ -49,8 +53,18 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo "
     "form searchform search login signup subscribe comment comments commentlist disqus".split()
 )
-#: Parts of a name by which it is the article's own (post-header) while it stands inside one.
-OWN = frozenset("content article post entry story main body text".split())
+# Words of layout that stand beside these in names.
+LAYOUT = frozenset(
+    "site page main top bottom left right side center inner outer primary secondary global mobile desktop sticky fixed "
+    "box bar block area section region zone slot unit space wrapper wrap container holder panel group row column col "
+    "list item items link links button toggle title text body content message policy info copyright logo image widget "
+    "article post entry story user reader author reply respond thread google overlay window card".split()
+)
+#: First parts of a name whose header is the article's own (post-header): anywhere, and while it stands inside one.
+OWN = frozenset("article post entry story".split())
+OWN_INSIDE = OWN | frozenset("content main body text".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SIZES = re.compile(r"[0-9]+(?:x[0-9]+)?")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -135,11 +149,11 @@ def _all(node: Node) -> list[Node]:
     return found
 
 
-def _named_away(node: Node, in_article: bool) -> bool:
-    """Whether the markup says that this is no part of an article."""
-    if node.tag in DROPPED:
+def _named_away(node: Node, in_article: bool, around: dict[str, set[int]]) -> bool:
+    """Whether the markup says that this is no part of an article; around: the ids of nodes that an element of a name stands in."""
+    if node.tag in DROPPED and not (node.tag == "form" and (id(node) in around["main"] or id(node) in around["article"])):
         return True
-    if node.tag == "header" and not (in_article and any(x.tag in ("h1", "h2") for x in _all(node))):
+    if node.tag == "header" and not in_article:
         return True
     if not node.attributes.strip("/ "):
         return node.tag == "dialog"
@@ -148,22 +162,38 @@ def _named_away(node: Node, in_article: bool) -> bool:
         return True
     if node.tag in ("html", "body"):
         return False
-    if named.get("role", "").lower() in ROLES:
-        return True
-    for token in f"{named.get('class', '')} {named.get('id', '')}".split():
-        parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if x]
-        # what a name begins or ends with says what it is: site-footer, comment-list; but post-header is part of the post
-        if parts and (parts[0] in NAMES or parts[-1] in NAMES) and not (in_article and parts[-1] == "header" and parts[0] in OWN):
-            return True
-    return False
+    names = f"{named.get('class', '')} {'' if node.tag in HEADINGS else named.get('id', '')}".split()
+    away = named.get("role", "").lower() in ROLES or any(_is_frame(x, in_article) for x in names)
+    return away and id(node) not in around["main"]
+
+
+def _is_frame(name: str, in_article: bool) -> bool:
+    """Whether a class or id is made of nothing but what sites call their frame, and words of layout."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if x]
+    if not any(x in NAMES for x in parts) or not all(x in NAMES or x in LAYOUT or SIZES.fullmatch(x) for x in parts):
+        return False
+    return not (parts[-1] == "header" and parts[0] in (OWN_INSIDE if in_article else OWN))
+
+
+def _around(root: Node, tags: tuple[str, ...]) -> dict[str, set[int]]:
+    """Per tag the ids of the nodes that an element of it stands in."""
+    found: dict[str, set[int]] = {tag: set() for tag in tags}
+    for x in reversed(_all(root)):  # what stands inside comes first
+        for c in x.children:
+            if isinstance(c, Node):
+                for tag, ids in found.items():
+                    if c.tag == tag or id(c) in ids:
+                        ids.add(id(x))
+    return found
 
 
 def _pruned(node: Node) -> None:
+    around = _around(node, ("main", "article"))
     work = [(node, False)]
     while work:
         x, inside = work.pop()
         inside = inside or x.tag in ("article", "main")
-        x.children = [c for c in x.children if isinstance(c, str) or not _named_away(c, inside)]
+        x.children = [c for c in x.children if isinstance(c, str) or not _named_away(c, inside, around)]
         work.extend((c, inside) for c in x.children if isinstance(c, Node))
 
 
@@ -192,11 +222,26 @@ def roots(page: str | None) -> list[Node]:
     return articles if articles and 2 * sum(map(_size, articles)) >= sum(map(_size, regions)) else regions
 
 
+def _placed(node: Node) -> list[tuple]:
+    """The children, last first, each element with its place among the block elements: from the start, or below 0 from the end."""
+    n, i, out = sum(isinstance(c, Node) and c.tag in BLOCKS for c in node.children), 0, []
+    for c in node.children:
+        out.append((c, True, i if i < n - 1 - i else i - n))
+        i += isinstance(c, Node) and c.tag in BLOCKS
+    return out[::-1]
+
+
+def _place(parent: str, place: int) -> str:
+    """The way to an element in an article, of bounded length; nothing outside."""
+    return f"{xxhash.xxh64_intdigest(parent)}/{place}" if parent else ""
+
+
 def cut(page: str | None) -> tuple[list[str], list[int], list[int], list[int]]:
     """The page's blocks in order, the block element (by number, -1: none) that each stands in, and those elements' subtree
     hashes and parents. An element has a smaller number than those inside it; roots have none."""
     texts, owners, hashes, parents, run = [], [], [], [], []
     inside = [-1]  # the elements that are being walked
+    places: list[str] = [""]  # of each: where it stands in the article
     parts: list[list[str]] = [[]]  # of each: what its hash is made of
 
     def flush() -> None:
@@ -207,23 +252,24 @@ def cut(page: str | None) -> tuple[list[str], list[int], list[int], list[int]]:
         run.clear()
 
     for root in roots(page):
-        inside, parts = [-1], [[]]
-        work: list = [(c, True) for c in reversed(root.children)]
+        inside, parts, places = [-1], [[]], ["a" if root.tag == "article" else ""]
+        work: list = _placed(root)
         while work:
-            x, enter = work.pop()
+            x, enter, place = work.pop()
             if isinstance(x, str):
                 run.append(x)
             elif not enter:
                 flush()
-                number, own = inside.pop(), parts.pop()
+                number, own, at = inside.pop(), parts.pop(), places.pop()
                 if own:
                     digest = xxhash.xxh64_intdigest("\x00".join([x.tag, *own])) - 2**63
-                    hashes[number] = digest
+                    hashes[number] = xxhash.xxh64_intdigest(f"{at}\x00{digest}") - 2**63 if at else digest
                     parts[-1].append(f"<{digest}")
             elif x.tag in BLOCKS:
                 flush()
-                work.append((x, False))
-                work.extend((c, True) for c in reversed(x.children))
+                work.append((x, False, 0))
+                work.extend(_placed(x))
+                places.append(_place(places[-1], place))
                 parents.append(inside[-1])
                 inside.append(len(hashes))
                 hashes.append(0)
@@ -231,7 +277,7 @@ def cut(page: str | None) -> tuple[list[str], list[int], list[int], list[int]]:
             else:
                 if x.tag in ("br", "td", "th", "img"):
                     run.append(" ")
-                work.extend((c, True) for c in reversed(x.children))
+                work.extend((c, True, place) for c in reversed(x.children))
         flush()
     return texts, owners, hashes, parents
 
