@@ -132,24 +132,25 @@ def template_similarity(templates: DataFrame) -> DataFrame:
     return sized.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("similarity"))
 
 
-def chosen_elements(overview: DataFrame, written, most_urls: int = 2) -> DataFrame:
-    """(path, attr): attributes worth annotating. Those with at most `most_urls` values, all addresses, or with values of one
+def chosen_elements(overview: DataFrame, written, most_urls: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, path, attr): attributes worth annotating. Those with at most `most_urls` values, all addresses, or with values of one
     character only are dropped. Of the elements that carry an attribute of one name, those that cover its values are taken, greedily:
-    each round the one that adds most (of equal ones the least path); all attributes of the elements taken stay."""
-    values = written(overview.where("attr NOT IN ('', 'text()')").select("path", "attr", "value").distinct())
+    each round the one that adds most (of equal ones the least path); all attributes of the elements taken stay. keys: columns that
+    tell files apart, each of which is then covered by itself."""
+    values = written(overview.where("attr NOT IN ('', 'text()')").select(*keys, "path", "attr", "value").distinct())
     url = F.col("value").rlike("^[A-Za-z][A-Za-z0-9+.-]*://")
-    per = values.groupBy("path", "attr").agg(F.bool_and(url).alias("urls"), F.count("*").alias("n"), F.max(F.length("value")).alias("longest"))
-    good = per.where(~((F.col("urls") & (F.col("n") <= most_urls)) | (F.col("longest") <= 1))).select("path", "attr")
-    left = written(values.join(good, ["path", "attr"], "left_semi"))
+    per = values.groupBy(*keys, "path", "attr").agg(F.bool_and(url).alias("urls"), F.count("*").alias("n"), F.max(F.length("value")).alias("longest"))
+    good = per.where(~((F.col("urls") & (F.col("n") <= most_urls)) | (F.col("longest") <= 1))).select(*keys, "path", "attr")
+    left = written(values.join(good, [*keys, "path", "attr"], "left_semi"))
     taken = None
     while not left.isEmpty():
-        gain = left.groupBy("attr", "path").agg(F.count("*").alias("n")).groupBy("attr").agg(F.min(F.struct((-F.col("n")).alias("n"), "path")).alias("m")).select("attr", "m.path")
+        gain = left.groupBy(*keys, "attr", "path").agg(F.count("*").alias("n")).groupBy(*keys, "attr").agg(F.min(F.struct((-F.col("n")).alias("n"), "path")).alias("m")).select(*keys, "attr", "m.path")
         gain = written(gain)
         taken = gain if taken is None else taken.union(gain)
-        left = written(left.join(left.join(gain, ["attr", "path"]).select("attr", "value").distinct(), ["attr", "value"], "left_anti").select("path", "attr", "value"))
+        left = written(left.join(left.join(gain, [*keys, "attr", "path"]).select(*keys, "attr", "value").distinct(), [*keys, "attr", "value"], "left_anti").select(*keys, "path", "attr", "value"))
     if taken is None:
         return good.limit(0)
-    return values.select("path", "attr").distinct().join(taken.select("path").distinct(), "path", "left_semi").select("path", "attr")
+    return values.select(*keys, "path", "attr").distinct().join(taken.select(*keys, "path").distinct(), [*keys, "path"], "left_semi").select(*keys, "path", "attr")
 
 
 def column_map(columns: list[str], overview: DataFrame, path: str) -> DataFrame:

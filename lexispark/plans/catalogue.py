@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of queries; each has Q: name -> (function of (spark, sf_dir), SQL or None).
-MODULES = ("text_models", "structure", "records", "registry", "models", "files", "sources", "more")
+MODULES = ("text_models", "structure", "records", "registry", "models", "files", "sources", "more", "chains")
 
 
 def _all() -> dict:
