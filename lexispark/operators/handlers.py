@@ -95,6 +95,14 @@ def rdf(triples: DataFrame, order: str, tag: DataFrame, written: Callable[[DataF
     return scored_units(values, "p", tag).where((F.col("coverage") >= coverage) & ~F.col("trivial")).select("p", "model", "different_hit_types", "coverage")
 
 
+def rdf_files(triples: DataFrame, order: str, tag: DataFrame, written: Callable[[DataFrame], DataFrame], coverage: float = scoring.COVERAGE, most: int = 10) -> DataFrame:
+    """(file_id, p, model, coverage): rdf() for each file of triples(file_id, p, o, o_kind) by itself."""
+    ok = triples.where(observations.object_allowed(F.col("p"), F.col("o"), F.col("o_kind"))).withColumn("p", F.struct("file_id", "p"))
+    allowed = observations.allowed_predicates(observations.sampled_object_counts(ok, most, order), tag).where("allowed").select("p")
+    values = written(ok.join(allowed, "p", "left_semi").groupBy("p", F.col("o").alias("token")).agg(F.count("*").alias("cnt")).withColumn("file_id", F.lit(0)))
+    return scored_units(values, "p", tag).where((F.col("coverage") >= coverage) & ~F.col("trivial")).select("p.*", "model", "coverage")
+
+
 def xml(overview: DataFrame, tag: DataFrame, written: Callable[[DataFrame], DataFrame], coverage: float = scoring.COVERAGE) -> DataFrame:
     """(path, attr, model, coverage): an XML file's chain: attributes whose values all occur once are dropped, the others' values are
     matched and scored, and each attribute keeps its best model of enough coverage."""

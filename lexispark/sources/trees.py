@@ -328,10 +328,20 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def rdf_xml(spark: SparkSession, path: str) -> DataFrame:
     """RDF/XML documents: nested nodes, typed nodes, attributes as properties, parseType, containers, collections, reification."""
-    return _read(_files(spark, path), lambda out, content: XmlWalk(out, content).run())
+    return rdf_xml_documents(_files(spark, path))
+
+
+def rdf_xml_documents(files: DataFrame) -> DataFrame:
+    """The same of files(path, content); the path is the file's id."""
+    return _read(files, lambda out, content: XmlWalk(out, content).run())
 
 
 def json_ld(spark: SparkSession, path: str) -> DataFrame:
     """JSON-LD documents with their own contexts: terms, prefixes, typed terms, containers, graphs, lists, reverse properties. Remote
     contexts are not fetched: such a document is corrupt."""
-    return _read(_files(spark, path), lambda out, content: JsonWalk(out).run(content.decode("utf-8", "replace")))
+    return json_ld_documents(_files(spark, path))
+
+
+def json_ld_documents(files: DataFrame) -> DataFrame:
+    """The same of files(path, content); the path is the file's id."""
+    return _read(files, lambda out, content: JsonWalk(out).run(content.decode("utf-8", "replace")))
