@@ -1,13 +1,16 @@
 """Language detection by profiles of word-bounded character n-grams; profile(lang, gram, freq).
 
 A text's grams are weighed by the logarithm of their share in each language's profile; the languages' likelihoods, made to sum to
-1, are the probabilities. Grams are made of the different words of a text, each counted once with its number."""
+1, are the probabilities. Grams are made of the different words of a text, each counted once with its number, and weighed where they
+stand: only a text's sums by language are shuffled."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.operators import tokens
+
 SIZE, GRAMS, LEAST = 3, 300, 0.1
 #: What a gram that a profile lacks counts as.
 SMOOTHING = 0.5
@@ -20,14 +23,18 @@ def grams(word: Column, size: int = SIZE) -> Column:
 
 
 def words(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, word, cnt) of texts(keys, text): letters in a row, in small letters."""
-    split = F.explode(F.split(F.lower("text"), r"[\s\p{P}\p{S}0-9]+", -1)).alias("word")
-    return texts.select(*keys, split).where("word <> ''").groupBy(*keys, "word").agg(F.count("*").alias("cnt"))
+    """(keys, word, cnt) of texts(keys, text): letters in a row, in small letters; each text for itself."""
+    return tokens.counted(texts, keys, F.split(F.lower("text"), r"[\s\p{P}\p{S}0-9]+", -1), "word")
+
+
+def gram_rows(texts: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
+    """(keys, gram, cnt), a row for each different word of a text that holds the gram."""
+    return words(texts, keys).select(*keys, F.explode(grams(F.col("word"), size)).alias("gram"), "cnt")
 
 
 def counted(texts: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
     """(keys, gram, cnt)."""
-    return words(texts, keys).select(*keys, F.explode(grams(F.col("word"), size)).alias("gram"), "cnt").groupBy(*keys, "gram").agg(F.sum("cnt").alias("cnt"))
+    return gram_rows(texts, keys, size).groupBy(*keys, "gram").agg(F.sum("cnt").alias("cnt"))
 
 
 def profiles(texts: DataFrame, most: int = GRAMS, size: int = SIZE) -> DataFrame:
@@ -50,11 +57,12 @@ def detected(texts: DataFrame, keys: list[str], profile: DataFrame, least: float
     weighed = profile.join(total, "lang").select("lang", "gram", (F.log(F.col("freq") + SMOOTHING) - F.log(F.lit(SMOOTHING))).alias("w"))
     # of what all grams weigh in a language only those in its profile differ from the smoothing, so only they are joined
     base = total.select("lang", (F.log(F.lit(SMOOTHING)) - F.log(F.col("total") + SMOOTHING * (F.col("n") + 1))).alias("base"))
-    known = counted(texts, keys, size).join(profile.select("gram").distinct(), "gram", "left_semi")
-    mass = known.groupBy(*keys).agg(F.sum("cnt").alias("mass"))
-    hits = known.join(weighed, "gram").groupBy(*keys, "lang").agg(F.sum(F.col("cnt") * F.col("w")).alias("s"))
-    score = hits.join(mass, keys).join(base, "lang").withColumn("score", F.col("s") + F.col("mass") * F.col("base"))
+    # a row without language for each gram of any profile, which makes the mass; what is summed is summed before it is shuffled
+    every = profile.select("gram").distinct().select(F.lit(None).cast("string").alias("lang"), "gram", F.lit(1.0).alias("w"))
+    s = gram_rows(texts, keys, size).join(weighed.union(every), "gram").groupBy(*keys, "lang").agg(F.sum(F.col("cnt") * F.col("w")).alias("s"))
     w = Window.partitionBy(*keys)
+    mass = F.max(F.when(F.col("lang").isNull(), F.col("s"))).over(w)
+    score = s.withColumn("mass", mass).join(base, "lang").withColumn("score", F.col("s") + F.col("mass") * F.col("base"))
     p = F.exp(F.col("score") - F.max("score").over(w))
     prob = score.withColumn("p", p).withColumn("prob", F.round(F.col("p") / F.sum("p").over(w), 6))
     return prob.where(F.col("prob") >= least).select(*keys, "lang", "prob")
@@ -62,4 +70,9 @@ def detected(texts: DataFrame, keys: list[str], profile: DataFrame, least: float
 
 def best(found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, lang): the most probable, the first by code among equals."""
-    return found.groupBy(*keys).agg(F.min(F.struct((-F.col("prob")).alias("p"), "lang")).alias("m")).select(*keys, F.col("m.lang").alias("lang"))
+    return most_probable(found, keys).drop("prob")
+
+
+def most_probable(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lang, prob): the most probable, the first by code among equals."""
+    return found.groupBy(*keys).agg(F.min(F.struct((-F.col("prob")).alias("p"), "lang")).alias("m")).select(*keys, F.col("m.lang").alias("lang"), (-F.col("m.p")).alias("prob"))
