@@ -246,6 +246,5 @@ def sentence_languages(s, d):
     from lexispark.operators import lifecycle
 
     lines = t.documents(s, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    found = written(languages.detected(lines, ["doc_id", "line"], _profile(s, d)))
-    top = languages.best(found, ["doc_id", "line"]).join(found, ["doc_id", "line", "lang"])
+    top = languages.most_probable(languages.detected(lines, ["doc_id", "line"], _profile(s, d)), ["doc_id", "line"])
     return lifecycle.language_probabilities(top.select(F.col("doc_id").alias("file_id"), "lang", "prob"))
