@@ -108,6 +108,24 @@ def fits_anywhere(text, template):
     return False
 
 
+def test_license_findings_come_from_what_templates_save(monkeypatch):
+    """Texts of several templates' wording are told apart by compression alone; wording that fits is never given up for it."""
+    scanner, rng = licenses.Scanner(), random.Random(67)
+    names = ["GPL-3.0", "GPL-2.0", "AGPL-3.0", "LGPL-2.1"]
+    named = lambda: [[f[1] for f in scanner.scan(licenses.TEMPLATES[k])] for k in names]
+    assert named() == [[k] for k in names]
+    for name, wanted in scanner.words.items():
+        for _ in range(60):
+            w = list(wanted)
+            for i in rng.sample(range(len(w)), scanner.allowed[name]):
+                w[i] = rng.choice(["other", "", w[i] + "x"])
+            assert scanner.saved([x for x in w if x], name) > 0
+    monkeypatch.setattr(scanner, "saved", lambda stretch, name: 0.5)
+    assert named() != [[k] for k in names]
+    monkeypatch.setattr(scanner, "saved", lambda stretch, name: 0.0)
+    assert named() == [[] for _ in names]
+
+
 def test_license_findings_are_those_of_trying_all_stretches(spark):
     rng = random.Random(66)
     texts, want = [], []
