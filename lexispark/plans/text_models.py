@@ -17,6 +17,11 @@ def _found(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return hit, written(matching.matches(hit, t.tag_dict(s), t.file_language(s, d)))
 
 
+def _only_found(s: SparkSession, d: str) -> DataFrame:
+    """The matches alone: no hit is written for them, as the dictionary's few tags meet the hits in one pass."""
+    return matching.matches(t.token_count(s, d), t.tag_dict(s), t.file_language(s, d))
+
+
 def _candidates(s: SparkSession, d: str) -> DataFrame:
     hit, found = _found(s, d)
     manual = (F.col("file_id") % 13 == 0) & (F.col("model") == "MIXLEX")
@@ -61,7 +66,7 @@ def regex_match(s, d):
 UNION ALL SELECT '.*' || e, (SELECT count(*) FROM (SELECT DISTINCT token FROM token_count WHERE length(token) = 5) f WHERE f.token = e) + n FROM (SELECT right(token, 5) AS e, count(*) AS n FROM (SELECT DISTINCT token FROM token_count WHERE length(token) >= 6) GROUP BY 1)
 UNION ALL SELECT DISTINCT substr(token, 1, 3) || '(' || substr(token, 4, 2) || '|\(|[|)])' || substr(token, 6), 1 FROM token_count WHERE length(token) >= 6""")
 def pattern_dictionary_match(s, d):
-    tokens = written(t.token_count(s, d).select("token").distinct())
+    tokens = written(t.tokens_of(s, d))
     part = lambda at, n=1_000: F.substring("token", at, n)
     open_ = F.concat(part(1, 2), F.lit("[a-z]"), part(4))
     choice = F.concat(part(1, 3), F.lit("("), part(4, 2), F.lit(r"|\(|[|)])"), part(6))
@@ -71,7 +76,7 @@ def pattern_dictionary_match(s, d):
 
 @query("language_filtered_match", "SELECT * FROM found")
 def language_filtered_match(s, d):
-    return _found(s, d)[1]
+    return _only_found(s, d)
 
 
 @query("new_matches_only", "SELECT * FROM literal_match m WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.file_id = m.file_id AND f.token = m.token AND f.model = m.model AND f.tag = m.tag)")
@@ -87,12 +92,12 @@ def model_scores(s, d):
 
 @query("hit_tags", "SELECT file_id, model, list(DISTINCT tag ORDER BY tag) AS tags FROM found GROUP BY ALL")
 def hit_tags(s, d):
-    return _found(s, d)[1].select("file_id", "model", "tag").distinct().groupBy("file_id", "model").agg(F.sort_array(F.collect_list("tag")).alias("tags"))
+    return _only_found(s, d).select("file_id", "model", "tag").distinct().groupBy("file_id", "model").agg(F.sort_array(F.collect_list("tag")).alias("tags"))
 
 
 @query("tag_properties", "SELECT file_id, model, only_numeric, only_symbolic, max_tag_length::INTEGER AS max_tag_length, (only_numeric OR only_symbolic OR max_tag_length = 1 OR types = 1) AS trivial FROM properties")
 def tag_properties(s, d):
-    return scoring.tag_properties(_found(s, d)[1]).drop("types")
+    return scoring.tag_properties(_only_found(s, d)).drop("types")
 
 
 BEST = """SELECT file_id, model, coverage, method FROM (
@@ -196,19 +201,19 @@ def comment_text(s, d):
 
 @query("search_by_tag", "SELECT DISTINCT 'http://r.example/' || (file_id % 400) AS url FROM found WHERE lower(tag) = 'und' OR class = 'Pronoun'")
 def search_by_tag(s, d):
-    found = _found(s, d)[1].where((F.lower("tag") == "und") | (F.col("class") == "Pronoun"))
+    found = _only_found(s, d).where((F.lower("tag") == "und") | (F.col("class") == "Pronoun"))
     return found.select(F.concat(F.lit("http://r.example/"), (F.col("file_id") % 400).cast("string")).alias("url")).distinct()
 
 
 @query("inverted_index", 'SELECT tag AS "key", count(DISTINCT file_id) AS n, list(DISTINCT file_id ORDER BY file_id) AS "values" FROM found GROUP BY tag')
 def inverted_index(s, d):
-    return search.inverted_index(_found(s, d)[1], "tag", "file_id").withColumnRenamed("tag", "key")
+    return search.inverted_index(_only_found(s, d), "tag", "file_id").withColumnRenamed("tag", "key")
 
 
 @query("posting_lists", """SELECT tag AS "key", bucket, count(*) AS n, list(gap ORDER BY file_id) AS gaps FROM (
   SELECT *, file_id % 128 - coalesce(lag(file_id % 128) OVER (PARTITION BY tag, bucket ORDER BY file_id), 0) AS gap FROM (SELECT DISTINCT tag, file_id, file_id // 128 AS bucket FROM found)) GROUP BY tag, bucket""")
 def posting_lists(s, d):
-    return search.posting_lists(_found(s, d)[1], "tag", "file_id", 128)
+    return search.posting_lists(_only_found(s, d), "tag", "file_id", 128)
 
 
 @query("posting_search", "SELECT file_id FROM found WHERE tag IN ('the', 'of', '.{3,9}tion') GROUP BY file_id HAVING count(DISTINCT tag) = 3")
@@ -218,7 +223,7 @@ def posting_search(s, d):
 
 @query("class_index", 'SELECT class AS "key", count(DISTINCT file_id) AS n, list(DISTINCT file_id ORDER BY file_id) AS "values" FROM found GROUP BY class')
 def class_index(s, d):
-    return search.inverted_index(_found(s, d)[1], "class", "file_id").withColumnRenamed("class", "key")
+    return search.inverted_index(_only_found(s, d), "class", "file_id").withColumnRenamed("class", "key")
 
 
 @query("autocomplete", "SELECT DISTINCT token FROM token_count WHERE contains(lower(token), 'shon')")
