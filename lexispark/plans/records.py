@@ -168,7 +168,7 @@ def approved(s, d):
 def parse_result(s, d):
     from lexispark.operators import matching
 
-    found = matching.matches(t.token_count(s, d), t.tag_dict(s), t.file_language(s, d)).groupBy("file_id").agg(F.count("*").alias("n"))
+    found = matching.matches(t.token_count(s, d, t.tag_dict(s)), t.tag_dict(s), t.file_language(s, d)).groupBy("file_id").agg(F.count("*").alias("n"))
     rows = t.file_language(s, d).join(found, "file_id", "left").fillna({"n": 0})
     return rows.select("file_id", lifecycle.parse_result(F.when(F.col("file_id") % 17 == 0, "x").otherwise(""), F.col("n"), (F.col("lang") != "").cast("int")).alias("result"))
 

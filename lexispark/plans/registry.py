@@ -157,7 +157,7 @@ def file_edges(s, d):
     from lexispark.operators import matching
 
     f = t.files(s, d)
-    models = matching.matches(t.token_count(s, d), t.tag_dict(s), t.file_language(s, d)).select("file_id", F.lit("model").alias("edge"), F.col("model").alias("target")).distinct()
+    models = matching.matches(t.token_count(s, d, t.tag_dict(s)), t.tag_dict(s), t.file_language(s, d)).select("file_id", F.lit("model").alias("edge"), F.col("model").alias("target")).distinct()
     return f.select("file_id", F.lit("language").alias("edge"), F.col("lang").alias("target")).union(models).union(f.select("file_id", F.lit("vocabulary"), "source"))
 
 

@@ -3,10 +3,12 @@
 import re
 import string
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions import patterns
-from lexispark.operators import handlers, matching, roles
+from lexispark.operators import handlers, matching, roles, tokens
+from lexispark.plans import catalogue
 from lexispark.plans import derived as t
 
 TAG = "model string, class string, tag string, is_regex boolean, lang string"
@@ -60,3 +62,32 @@ def test_roles_count_a_columns_values_once(spark, tmp_path):
     assert "NestedLoop" not in plan(roles.pattern_columns(cell))
     parts = {(r.col, r.delimiter, r.n) for r in roles.pattern_columns(cell).collect()}
     assert parts == {(3, "-", 120), (5, "+", 3)}
+
+
+def test_tokens_are_told_apart_before_they_are_counted(spark, tmp_path):
+    texts = [(1, "The nation, the THE station on la"), (1, "la la xung"), (2, "on on"), (3, ""), (4, None), (None, "die 12 die, hoffnung")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tag, d = t.tag_dict(spark), str(tmp_path)
+    some = t.token_count(spark, d, tag)
+    # what goes is gone before the first exchange and before the counts, and each text is split once
+    assert plan(some).count("split(") == 1 and "_words" not in plan(some)
+    got = {(r.file_id, r.token): r.cnt for r in some.collect()}
+    assert got == {(1, "the"): 3, (1, "nation"): 1, (1, "station"): 1, (1, "la"): 3, (1, "xung"): 1, (None, "die"): 2, (None, "hoffnung"): 1}
+    every = matching.matches(t.token_count(spark, d), tag)
+    assert sorted(map(repr, matching.matches(some, tag).collect())) == sorted(map(repr, every.select(*matching.matches(some, tag).columns).collect()))
+
+
+def test_dictionaries_whose_tokens_all_need_a_look(spark):
+    hit = spark.createDataFrame([(1, "l'a;", 1), (1, "xyz", 1), (1, "nation", 1), (1, None, 1)], "file_id int, token string, cnt int")
+    tags = lambda *rows: spark.createDataFrame([("M", "c", x, r, "") for x, r in rows], TAG)
+    assert matching.may_match(tags(("[a-z]+", True))) is None
+    assert matching.may_match(tags(*((f"w{i}", False) for i in range(matching.FEW + 1)))) is None
+    kept = lambda tag: [r.token for r in hit.where(matching.may_match(tag)).collect()]
+    assert kept(tags(("la", False), (".*tion", True))) == ["l'a;", "nation"]
+    assert kept(tags(("la", False)).limit(0)) == [] and kept(tags((None, False), ("(", True))) == []
+
+
+@pytest.mark.parametrize("name", ["model_updated"])
+def test_only_tokens_that_may_match_are_counted(spark, monkeypatch, name):
+    monkeypatch.setattr(tokens, "counted", None)
+    assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
