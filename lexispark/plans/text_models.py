@@ -19,7 +19,7 @@ def _found(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _only_found(s: SparkSession, d: str) -> DataFrame:
     """The matches alone: no hit is written for them, as the dictionary's few tags meet the hits in one pass."""
-    return matching.matches(t.token_count(s, d), t.tag_dict(s), t.file_language(s, d))
+    return matching.matches(t.token_count(s, d, t.tag_dict(s)), t.tag_dict(s), t.file_language(s, d))
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
@@ -53,12 +53,12 @@ def annotation_prefilter(s, d):
 
 @query("literal_match", "SELECT * FROM literal_match")
 def literal_match(s, d):
-    return matching.literal_matches(t.token_count(s, d), t.tag_dict(s))
+    return matching.literal_matches(t.token_count(s, d, t.tag_dict(s).where("NOT is_regex")), t.tag_dict(s))
 
 
 @query("regex_match", "SELECT * FROM regex_match")
 def regex_match(s, d):
-    return matching.regex_matches(t.token_count(s, d), t.tag_dict(s))
+    return matching.regex_matches(t.token_count(s, d, t.tag_dict(s).where("is_regex")), t.tag_dict(s))
 
 
 #: Three patterns of each token of six letters or more: a letter left open, an end, alternatives.
@@ -81,7 +81,8 @@ def language_filtered_match(s, d):
 
 @query("new_matches_only", "SELECT * FROM literal_match m WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.file_id = m.file_id AND f.token = m.token AND f.model = m.model AND f.tag = m.tag)")
 def new_matches_only(s, d):
-    hit, found = _found(s, d)
+    hit = written(t.token_count(s, d, t.tag_dict(s)))
+    found = matching.matches(hit, t.tag_dict(s), t.file_language(s, d))
     return matching.without_known(matching.literal_matches(hit, t.tag_dict(s)), found, ["file_id", "token", "model", "tag"])
 
 
