@@ -267,7 +267,8 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("suffix"), "text")).withColumn("id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), "text"))
     long = rows.where(F.octet_length("text") >= SPAN)
-    prints = long.select("id", "t1", "text").mapInPandas(_prints, "print long, id long, at int, own long")
+    # read twice; making them anew costs several times what writing them does
+    prints = materialize(long.select("id", "t1", "text").mapInPandas(_prints, "print long, id long, at int, own long"), "prints")
     twice = prints.groupBy("print").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("n")).where("a <> b").select("print", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))
     # written out, so that both sides of the join come from exchanges of their own and a hot piece's rows can be split
     twice = materialize(twice, "twice")

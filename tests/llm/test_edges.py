@@ -12,7 +12,7 @@ import pytest
 from test_corpus import components_of, docs, empty, hits_of, lines_left, luhn, prose
 
 import corpus_pipeline
-from lexispark.llm import common, decontaminate, html, licenses, lines, matroska, mixing, near, pii, quality, registry
+from lexispark.llm import common, decontaminate, html, licenses, lines, matroska, mixing, near, pii, quality, registry, suffix
 
 #: Names that the operators use for columns of their own, at any place.
 CLASHING = "key doc row line gone host section parsed a b own own_th cdf u times id th wanted hits made w grams p item item_id item_at start n salt x found q d _q _d words h1 h2 first last halves hashes print at size lines mine theirs runs n_hash".split()
@@ -373,3 +373,14 @@ def test_pages_that_no_template_touches_keep_their_text(spark):
     d = spark.createDataFrame([(1, "http://a.example/x", "<p>One</p>"), (1, "http://a.example/x", "<p>One</p>"), (2, "no address", "<p>Two")], "page_id long, url string, html string")
     assert sorted(r.text for r in html.extract(d).collect()) == ["One", "One", "Two"]
     assert empty(spark).count() == 0
+
+
+def test_pieces_of_texts_are_hashed_once(spark, monkeypatch):
+    made, kept = [], suffix.materialize
+    monkeypatch.setattr(suffix, "materialize", lambda df, name: (made.append(df), kept(df, name))[1])
+    text = "".join(chr(97 + i * i % 23) for i in range(400))
+    d = spark.createDataFrame([(1, text), (2, "x" + text), (3, "short")], "doc_id long, text string")
+    result = suffix.remove_repeats(d)
+    assert {r.doc_id: r.n_removed for r in result.collect()} == {1: 400, 2: 400, 3: 0}
+    # no step but the first makes them from the texts, and the shards are of the written ones
+    assert sum(df._jdf.queryExecution().optimizedPlan().toString().count("_prints(") for df in [*made, result]) == 1
