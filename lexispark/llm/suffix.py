@@ -147,7 +147,17 @@ def suffix_array(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     slot = ranked(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
     rank = np.zeros(n + SPAN, np.int64)
     rank[order] = slot
-    for step in (8, 16, 32, 64, 72):
+    wanted = np.zeros(n, bool)
+    wanted[starts] = True
+    # a round reads ranks at a place and step bytes on, so each needs only the places that the rounds after it read
+    steps, needed = (8, 16, 32, 64, 72), [wanted]
+    for step in steps[:0:-1]:
+        needed.append(needed[-1].copy())
+        needed[-1][step:] |= needed[-2][:-step]
+    spot = np.arange(n)  # the slot's number among all places; ranks are such numbers
+    for step in steps:
+        keep = needed.pop()[order]
+        order, slot, spot = order[keep], slot[keep], spot[keep]
         alone = np.concatenate([slot[1:] != slot[:-1], [True]]) & np.concatenate([[True], slot[1:] != slot[:-1]])
         open_ = np.flatnonzero(~alone)  # slots of groups that hold several suffixes
         if not len(open_):
@@ -157,10 +167,8 @@ def suffix_array(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
         turned = np.argsort(by, kind="stable")
         order[open_], by = at[turned], by[turned]
         new = ranked(np.concatenate([[True], by[1:] != by[:-1]]))
-        slot[open_] = open_[new]
+        slot[open_] = spot[open_][new]
         rank[order[open_]] = slot[open_]
-    wanted = np.zeros(n, bool)
-    wanted[starts] = True
     return order[wanted[order]], key
 
 

@@ -384,3 +384,16 @@ def test_pieces_of_texts_are_hashed_once(spark, monkeypatch):
     assert {r.doc_id: r.n_removed for r in result.collect()} == {1: 400, 2: 400, 3: 0}
     # no step but the first makes them from the texts, and the shards are of the written ones
     assert sum(df._jdf.queryExecution().optimizedPlan().toString().count("_prints(") for df in [*made, result]) == 1
+
+
+def test_rounds_sort_only_what_later_ones_read(monkeypatch):
+    rng = np.random.default_rng(3)
+    region = lambda: np.tile(rng.integers(97, 99, 40, dtype=np.uint8), 7)[: suffix.SPAN + 10]
+    data = np.concatenate([x for r in (region(), region()) for x in (r, r)] + [np.zeros(3 * suffix.SPAN, np.uint8)])
+    starts = np.concatenate([np.arange(11) + i * (suffix.SPAN + 10) for i in range(4)])
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **kw: (sizes.append(len(x)), sort(x, **kw))[1])
+    order, _ = suffix.suffix_array(data, starts)
+    text = lambda i: data[i : i + suffix.SPAN].tobytes()
+    assert sorted(order.tolist()) == starts.tolist() and [text(i) for i in order] == sorted(text(i) for i in starts)
+    assert sizes[-1] <= len(starts) < sizes[1]
