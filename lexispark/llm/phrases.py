@@ -41,8 +41,9 @@ WORDS, SHARD, SLOTS, ROUND = 1 << 20, 1 << 16, 1 << 17, 32
 MOST_BUCKETS, CHUNK = 1 << 28, 1 << 18
 #: A mapper hands on what it has counted when it has so many words or keys.
 HELD_WORDS, HELD_KEYS = 1 << 17, 1 << 20
-#: Words in a row's array, more only if no piece ends: the JVM copes badly with rows of megabytes.
-ARRAY = 1 << 15
+#: Words in a row's array, more only if no piece ends: the JVM copes badly with rows of megabytes. A row has up to 20 bytes a word, so the
+#: readers, which else hold 4096 rows at once, take READ_ROWS of them, and what goes to Python at once is bounded by BATCH_BYTES.
+ARRAY, READ_ROWS, BATCH_BYTES = 1 << 15, 64, 4 << 20
 #: Sums meet in so many parts before they meet in one.
 FAN = 16
 #: Separators of pieces become full stops, tabs blanks.
@@ -370,8 +371,8 @@ def advanced(walk: DataFrame, k: int, n_words: int, slots: Slots, ids: np.ndarra
 
 @contextmanager
 def small_batches(spark) -> Iterator[None]:
-    """Within it, batches that go to Python are bounded by rows and bytes; results don't depend on it."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+    """Within it, batches that are read and that go to Python are bounded by rows and bytes; results don't depend on it."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS)}
     before = {k: spark.conf.get(k) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

@@ -103,6 +103,15 @@ def test_phrases_are_those_of_a_plain_count(spark, seed, monkeypatch):
     assert want and sorted(map(tuple, got)) == sorted(want)
 
 
+def test_phrases_read_few_rows_at_once(spark):
+    """A row of the walk has up to 20 bytes a word: what a task reads at once stays within 64 MB; the session's setting comes back."""
+    setting = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(setting)
+    with phrases.small_batches(spark):
+        assert int(spark.conf.get(setting)) * phrases.ARRAY * 20 <= 64 << 20
+    assert spark.conf.get(setting) == before
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([(None, None)], "text string, lang string")).collect() == []
     assert phrases.collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
