@@ -63,14 +63,24 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key that more rows have than this is salted where a join is shuffled.
+HOT_ROWS = 20_000
+
+
 def small_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, salts: int = 32) -> DataFrame:
     """The inner join of big with a side that is small as a rule: broadcast if its row count, checked here, is within the bound.
-    Else it is repeated for each salt, so that a key that very many rows of big have is no single task's."""
+    Else both are shuffled, and the keys that more than HOT_ROWS rows of big have are dealt to salts, so that none is a single task's;
+    as there are few such keys, little of the small side is repeated."""
     if small.limit(rows + 1).count() <= rows:
         return big.join(F.broadcast(small), on)
-    (salt,) = fresh(big, "salt")
-    spread = big.withColumn(salt, F.pmod(F.xxhash64(*kept(big)), F.lit(salts)).cast("int"))
-    return spread.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, salt]).drop(salt)
+    salt, often = fresh(big, "salt", "often")
+    hot = materialize(big.groupBy(*on).agg(F.count("*").alias(often)).where(F.col(often) > HOT_ROWS), "hot")
+    if hot.isEmpty():
+        return big.join(small.hint("merge"), on)
+    is_hot = F.col(often).isNotNull()
+    dealt = big.join(F.broadcast(hot), on, "left").withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(*kept(big)), F.lit(salts))).otherwise(0).cast("int")).drop(often)
+    again = small.join(F.broadcast(hot), on, "left").withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(often)
+    return dealt.join(again.hint("merge"), [*on, salt]).drop(salt)
 
 
 @contextmanager

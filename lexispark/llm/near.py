@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import bounded_batches, components, fresh, kept, materialize, maybe_broadcast, small_join
+from lexispark.llm.common import bounded_batches, components, fresh, kept, materialize, small_join
 
 BANDS, ROWS = 30, 4
 REGISTERS = BANDS * ROWS
@@ -39,8 +40,9 @@ CHUNK = 4096
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 #: What a group costs besides its pairs, as so many pairs.
 GROUP_COST = 500.0
-#: Ids (16 bytes each) that may be broadcast to pick texts, and clusters (or their size classes); more of them are shuffled.
-BROADCAST_IDS = BROADCAST_CLUSTERS = 500_000
+#: Ids that may be broadcast to pick texts, and clusters (or their size classes), of which one plan has several; more of them are
+#: shuffled. A row takes the driver some hundred bytes, more than once. FILTER_IDS hashes (8 bytes each) may go to the tasks.
+BROADCAST_IDS, BROADCAST_CLUSTERS, FILTER_IDS = 50_000, 20_000, 2_000_000
 
 _RANDOM = np.random.default_rng(20240501)
 _BYTES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
@@ -246,11 +248,33 @@ def _rest(rows: DataFrame, classes: DataFrame, members: DataFrame, found: DataFr
     sides = sides.select("cluster", "task", "side", "block_of.*")
     sent = dealt.join(sides, ["cluster", *own]).select("task", "side", "id", "th", "component")
     ids = dealt.select(F.col("id").alias("doc_id"), "th").distinct()
-    texts = rows.join(maybe_broadcast(ids, BROADCAST_IDS), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("id"), "text")
+    texts = picked(rows, ids).select(F.col("doc_id").alias("id"), "text")
     sent = sent.drop("th").join(texts, "id")
     return materialize(sent.groupBy("task").applyInPandas(_block_links(words, percent), "a long, b long"), "rest")
 
 
+def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows(doc_id, text, th) that ids(doc_id, th) name, one for each. Few ids are broadcast. Of more, sorted hashes go to the
+    tasks, and only rows that these let through are shuffled to meet the ids; beyond FILTER_IDS all rows are."""
+    pair, n = ["doc_id", "th"], ids.limit(FILTER_IDS + 1).count()
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), pair).dropDuplicates(pair)
+    if n <= FILTER_IDS:
+        key = F.xxhash64(*pair).alias("key")
+        shared = rows.sparkSession.sparkContext.broadcast(np.sort(ids.select(key).toArrow()["key"].to_numpy()))
+
+        def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for x in batches:
+                keys = x["key"].to_numpy()
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                yield x.select(rows_of).filter(pa.array(known[at] == keys))
+
+        rows_of = rows.columns
+        rows = rows.select("*", key).mapInArrow(through, rows.schema)
+    return rows.join(ids.hint("merge"), pair).dropDuplicates(pair)
+
+
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, th, n_shingles, component): th is the text's xxhash64."""
     with bounded_batches(docs.sparkSession):
@@ -278,7 +302,7 @@ def _near_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
         both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(F.pandas_udf(_rated(percent / 100), "boolean")("na", "nb", "ra", "rb"))
         likely_pairs = materialize(both.select("a", "b", "tha", "thb"), "pairs")
         ids = likely_pairs.select(F.col("a").alias("id"), F.col("tha").alias("th")).union(likely_pairs.select("b", "thb")).distinct()
-        texts = rows.join(maybe_broadcast(ids.select(F.col("id").alias("doc_id"), "th"), BROADCAST_IDS), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+        texts = picked(rows, ids.select(F.col("id").alias("doc_id"), "th"))
         texts = materialize(texts.select(F.col("doc_id").alias("id"), "text"), "texts")
         pick = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
         return materialize(likely_pairs.select("a", "b").join(pick("b"), "b").join(pick("a"), "a").where(F.pandas_udf(_verify(words, percent), "boolean")("ta", "tb")).select("a", "b"), "links")

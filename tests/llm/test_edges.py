@@ -89,6 +89,31 @@ def test_near_duplicates_of_a_table_in_small_blocks(spark, monkeypatch, group_co
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == components_of([(r.doc_id, r.text) for r in rows.collect()], 3, 85)
 
 
+@pytest.mark.parametrize("filtered", [0, 10**6])
+def test_near_duplicates_with_nothing_broadcast(spark, monkeypatch, filtered):
+    """Texts picked by a filter in the tasks, or without one; keys of several rows are salted."""
+    for module, name, value in ((near, "BROADCAST_IDS", 0), (near, "FILTER_IDS", filtered), (near, "BROADCAST_CLUSTERS", 0), (common, "HOT_ROWS", 3)):
+        monkeypatch.setattr(module, name, value)
+    rows = common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    got = near.near_dedup(rows, 3, 85).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == components_of([(r.doc_id, r.text) for r in rows.collect()], 3, 85)
+
+
+@pytest.mark.parametrize("hot", [100, 20_000])
+def test_small_join_beyond_its_bound_repeats_hot_keys_only(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    big = spark.range(3000).selectExpr("id", "CASE WHEN id < 500 THEN 0 ELSE id END AS k")
+    small = spark.range(0, 4000, 2).selectExpr("id AS k", "id + 1 AS v")
+    got = common.small_join(big, small, ["k"], 10)
+    assert ("Generate" in got._jdf.queryExecution().toString()) == (hot < 500)
+    assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted(map(tuple, big.join(small, "k").select("id", "k", "v").collect()))
+
+
+def test_broadcasts_of_near_duplicates_stay_small():
+    """Several stand in one plan; the driver holds each more than once, a row at some hundred bytes."""
+    assert 100 * (near.BROADCAST_IDS + 5 * near.BROADCAST_CLUSTERS) <= 16 << 20
+
+
 # 6 licenses
 
 
